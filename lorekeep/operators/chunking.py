@@ -45,7 +45,7 @@ def chunk(
         raise ValueError(f"tokenizer must be one of {tk.TOKENIZERS}")
     carried = list(keep) if keep is not None else [name for name in df.columns if name != col]
     stride = size - overlap
-    base = drop_blank(df, col).withColumn("__text", F.col(col))
+    base = df.withColumn("__text", F.col(col))
     if tokenizer == "ws":
         base = base.withColumn("__pieces", tk.ws_pieces(F.col("__text")))
         base = base.withColumn("__tokens", tk.ws_tokens(F.col("__pieces")))
@@ -59,7 +59,9 @@ def chunk(
         base = base.withColumn("__tokens", tk.bpe_ids(F.col("__text")))
         base = base.withColumn("__n", F.size("__tokens"))
         part = None
-    base = base.withColumn("__total", window_count(F.col("__n"), size, overlap))
+    # a blank text gets no windows here; a filter would compute a derived text twice
+    total = window_count(F.col("__n"), size, overlap)
+    base = base.withColumn("__total", F.when(tk.is_blank(F.col("__text")), 0).otherwise(total))
 
     end_of = lambda index: F.least(index * stride + size, F.col("__n"))
     indexes = F.sequence(F.lit(0), F.col("__total") - 1)
@@ -83,7 +85,8 @@ def chunk(
         (i * stride).alias("start_token"),
         end_of(i).alias("end_token"),
     )
-    exploded = base.select(*carried, F.explode(F.transform(indexes, window)).alias("__chunk"))
+    windows = F.when(F.col("__total") > 0, F.transform(indexes, window))
+    exploded = base.select(*carried, F.explode(windows).alias("__chunk"))
     return exploded.select(*carried, "__chunk.*")
 
 

@@ -1,7 +1,8 @@
 """Redaction: ordered, positional replacement of rule matches.
 
-Each rule is one projection over the previous one's output, so the whole set is a single narrow stage
-and a text that cannot match a rule (see ``Rule.needs``) skips it.
+The passes of a rule set are folded over one text inside one expression, and only over the rules whose
+``needs`` the text meets. A chain of projections would do the same, but each would name its predecessor
+more than once, and a filter pushed through such a chain grows with every rule.
 """
 
 from __future__ import annotations
@@ -11,17 +12,40 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.rules import Rule, pick_rules
 
-_STAGE = "__stage"
-_RECORD = "struct<type:string,position:int,length:int,replacement:string>"
+_RECORDS = "array<struct<type:string,position:int,length:int,replacement:string>>"
 
 
-def _start(df: DataFrame, col: str) -> DataFrame:
-    return df.withColumn(_STAGE, F.coalesce(F.col(col), F.lit("")))
+def _passes(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """The rules that may match the text, in order."""
+    known = [
+        F.struct(
+            F.lit(rule.name).alias("type"),
+            F.lit(rule.pattern).alias("pattern"),
+            F.lit(rule.marker).alias("marker"),
+            rule.possible(text).alias("possible"),
+        )
+        for rule in rules
+    ]
+    return F.filter(F.array(*known), lambda rule: rule["possible"])
+
 
+def redacted_text(text: Column, rules: str | tuple[Rule, ...] = "redactor", types: list[str] | None = None) -> Column:
+    """The text after all passes; null becomes empty."""
+    return F.aggregate(
+        _passes(text, pick_rules(rules, types)),
+        F.coalesce(text, F.lit("")),
+        lambda stage, rule: F.regexp_replace(stage, rule["pattern"], rule["marker"]),
+    )
 
-def _next_stage(rule: Rule, col: str) -> Column:
-    stage = F.col(_STAGE)
-    return F.when(rule.possible(F.col(col)), rule.replace(stage)).otherwise(stage)
+
+def _counted(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Struct of the redacted text and the number of redactions."""
+    start = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.lit(0).alias("hits"))
+    step = lambda state, rule: F.struct(
+        F.regexp_replace(state["text"], rule["pattern"], rule["marker"]).alias("text"),
+        (state["hits"] + F.regexp_count(state["text"], rule["pattern"])).alias("hits"),
+    )
+    return F.aggregate(_passes(text, rules), start, step)
 
 
 def redact(
@@ -40,20 +64,12 @@ def redact(
     if not enabled:
         plain = df.withColumn(out, F.col(col))
         return plain.withColumn(count_as, F.lit(0)) if count_as else plain
-    tally = "__tally"
-    staged = _start(df, col)
-    if count_as:
-        staged = staged.withColumn(tally, F.lit(0))
-    for rule in pick_rules(rules, types):
-        step = {_STAGE: _next_stage(rule, col)}
-        if count_as:
-            found = F.when(rule.possible(F.col(col)), rule.count(F.col(_STAGE))).otherwise(0)
-            step[tally] = F.col(tally) + found
-        staged = staged.withColumns(step)
-    staged = staged.withColumn(out, F.col(_STAGE))
-    if count_as:
-        staged = staged.withColumn(count_as, F.col(tally)).drop(tally)
-    return staged.drop(_STAGE)
+    if not count_as:
+        return df.withColumn(out, redacted_text(F.col(col), rules, types))
+    both = df.withColumn("__redaction", _counted(F.col(col), pick_rules(rules, types)))
+    return both.withColumns(
+        {out: F.col("__redaction.text"), count_as: F.col("__redaction.hits")}
+    ).drop("__redaction")
 
 
 def located(matches: Column, gaps: Column) -> Column:
@@ -82,46 +98,41 @@ def located(matches: Column, gaps: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda state: state["found"])
 
 
-def _as_record(rule: Rule):
-    return lambda hit: F.struct(
-        F.lit(rule.name).alias("type"),
-        hit["position"].alias("position"),
-        F.length(hit["value"]).alias("length"),
-        F.lit(rule.marker).alias("replacement"),
-    )
-
-
-def with_redaction_records(
-    df: DataFrame,
-    col: str = "text",
-    out: str = "records",
-    rules: str | tuple[Rule, ...] = "redactor",
-    types: list[str] | None = None,
-) -> DataFrame:
-    """Add an array of {type, position, length, replacement}.
+def redaction_list(
+    text: Column, rules: str | tuple[Rule, ...] = "redactor", types: list[str] | None = None
+) -> Column:
+    """Array of {type, position, length, replacement}.
 
     A position refers to the text as the pass of that type found it, i.e. after earlier types.
     """
-    records = "__records"
-    staged = _start(df, col).withColumn(records, F.array().cast(f"array<{_RECORD}>"))
-    for rule in pick_rules(rules, types):
-        stage = F.col(_STAGE)
-        found = F.transform(located(rule.matches(stage), rule.gaps(stage)), _as_record(rule))
-        staged = staged.withColumns(
-            {
-                records: F.when(rule.possible(F.col(col)), F.concat(F.col(records), found)).otherwise(
-                    F.col(records)
-                ),
-                _STAGE: _next_stage(rule, col),
-            }
+    start = F.struct(
+        F.coalesce(text, F.lit("")).alias("text"), F.array().cast(_RECORDS).alias("records")
+    )
+
+    def step(state: Column, rule: Column) -> Column:
+        stage, pattern = state["text"], rule["pattern"]
+        hits = located(F.regexp_extract_all(stage, pattern, F.lit(0)), F.split(stage, pattern, -1))
+        records = F.transform(
+            hits,
+            lambda hit: F.struct(
+                rule["type"].alias("type"),
+                hit["position"].alias("position"),
+                F.length(hit["value"]).alias("length"),
+                rule["marker"].alias("replacement"),
+            ),
         )
-    return staged.withColumn(out, F.col(records)).drop(records, _STAGE)
+        return F.struct(
+            F.regexp_replace(stage, pattern, rule["marker"]).alias("text"),
+            F.concat(state["records"], records).alias("records"),
+        )
+
+    return F.aggregate(_passes(text, pick_rules(rules, types)), start, step, lambda state: state["records"])
 
 
 def redaction_records(df: DataFrame, key: str, col: str = "text", **options) -> DataFrame:
     """One row per redaction."""
-    found = with_redaction_records(df, col, "record", **options)
-    return found.select(key, F.explode("record").alias("record")).select(key, "record.*")
+    found = df.select(key, F.explode(redaction_list(F.col(col), **options)).alias("record"))
+    return found.select(key, "record.*")
 
 
 def pii_counts(text: Column, rules: str | tuple[Rule, ...] = "redactor") -> Column:
