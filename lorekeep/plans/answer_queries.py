@@ -44,10 +44,19 @@ def answer_context(spark, sf_dir):
     return cx.answer_context(text_hits(spark, sf_dir))
 
 
-@query("search_response")
+@query(
+    "search_response",
+    f"""WITH {_HITS_SQL}, asked AS (SELECT query_id, CAST(len({b.sql_tokens('text')}) AS BIGINT) AS token_count FROM text_queries),
+lists AS (SELECT query_id, rtrim(namespace, '/') AS source,
+  string_agg(CAST(r AS VARCHAR) || ':' || id, ',' ORDER BY r) AS hits FROM by_namespace WHERE r <= 5 GROUP BY ALL)
+SELECT a.query_id, token_count, source, hits FROM asked a JOIN lists l ON a.query_id = l.query_id""",
+)
 def search_response(spark, sf_dir):
     response = cx.search_response(b.text_queries(spark, sf_dir), text_hits(spark, sf_dir))
-    return response.select("query_id", "token_count", F.to_json("results").alias("results"))
+    listed = F.transform("hits", lambda hit: F.concat(hit["rank"].cast("string"), F.lit(":"), hit["id"]))
+    return response.select(
+        "query_id", F.col("token_count").cast("bigint").alias("token_count"), F.explode("results").alias("source", "hits")
+    ).withColumn("hits", F.array_join(listed, ","))
 
 
 _SUMMARY_SQL = rf"""{_CONTEXT_SQL}, asked AS (
@@ -87,7 +96,15 @@ def answer_render(spark, sf_dir):
     return cx.answer_render(summaries, cx.citations(dated))
 
 
-@query("model_summary")
+@query(
+    "model_summary",
+    rf"""WITH {_CONTEXT_SQL}, words AS (SELECT query_id, unnest({b.sql_tokens('context')}) AS word FROM contexts),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(word) DESC, word DESC) AS r FROM words),
+longest AS (SELECT query_id, word FROM ordered WHERE r = 1)
+SELECT q.query_id, CASE WHEN context IS NULL THEN '{cx.NO_INFORMATION}'
+  WHEN NOT regexp_matches(context, '[0-9]') THEN '{cx.FAILED_SUMMARY}' ELSE word END AS summary
+FROM text_queries q LEFT JOIN contexts c ON q.query_id = c.query_id LEFT JOIN longest l ON q.query_id = l.query_id""",
+)
 def model_summary(spark, sf_dir):
     """A stand-in model that names the longest word of the context and fails on contexts without a digit."""
 

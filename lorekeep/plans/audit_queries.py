@@ -15,20 +15,38 @@ from lorekeep.plans import bindings as b
 from lorekeep.plans.registry import query
 
 
-@query("pii_scan_matches")
+def _match_rows(source, key, text):
+    return " UNION ALL ".join(b.sql_located(source, key, text, rule) for rule in SCANNER)
+
+
+@query(
+    "pii_scan_matches",
+    f"""WITH {b.PLANTED}, found AS ({_match_rows('planted', 'doc_id', 'text')})
+SELECT doc_id, type, 'documents:[' || CAST(doc_id AS VARCHAR) || '].text' AS context, line_number,
+  substr(value, 1, 10) || '...' AS masked_value, sha256(value) AS value_sha256 FROM found""",
+)
 def pii_scan_matches(spark, sf_dir):
-    matches = sc.scan_pii(b.planted(spark, sf_dir), "doc_id", source="documents")
-    return sc.masked(matches).select("doc_id", "type", "context", "line_number", "value_sha256")
+    matches = sc.masked(sc.scan_pii(b.planted(spark, sf_dir), "doc_id", source="documents"))
+    return matches.withColumn("line_number", F.col("line_number").cast("bigint"))
 
 
-@query("pii_scan_nested")
+@query(
+    "pii_scan_nested",
+    f"""WITH {b.PLANTED}, lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM planted),
+found AS ({_match_rows('lines', 'doc_id, n', 'line')})
+SELECT doc_id, type, 'documents:[' || CAST(doc_id AS VARCHAR) || '].body.lines[' || CAST(n AS VARCHAR) || ']' AS context,
+  line_number, sha256(value) AS value_sha256 FROM found""",
+)
 def pii_scan_nested(spark, sf_dir):
     docs = b.planted(spark, sf_dir).select(
         "doc_id",
         F.struct("author", F.split("text", "\n", -1).alias("lines")).alias("body"),
         F.create_map(F.lit("url"), "url").alias("links"),
     )
-    return sc.masked(sc.scan_nested(docs, "doc_id", "documents", ["body", "links"])).drop("masked_value")
+    matches = sc.masked(sc.scan_nested(docs, "doc_id", "documents", ["body", "links"]))
+    return matches.drop("masked_value").withColumn("line_number", F.col("line_number").cast("bigint"))
 
 
 _TOTALS = ", ".join(f"CAST(sum({b.sql_count('text', rule)}) AS BIGINT) AS {rule.name}" for rule in SCANNER)

@@ -128,6 +128,21 @@ def sql_count(text: str, rule: Rule) -> str:
     return f"CAST(len(regexp_extract_all({text}, {text_literal(rule.pattern)})) AS BIGINT)"
 
 
+def sql_located(source: str, key: str, text: str, rule: Rule) -> str:
+    """Rows of key, type, value, position, line_number, marker: every match of one rule."""
+    pattern = text_literal(rule.pattern)
+    before = lambda size: (
+        f"coalesce(list_sum(list_transform(gaps[1:i], lambda x: {size('x')})), 0)"
+        f" + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: {size('x')})), 0)"
+    )
+    chars = lambda x: f"length({x})"
+    lines = lambda x: f"(length({x}) - length(replace({x}, chr(10), '')))"
+    return f"""SELECT {key}, '{rule.name}' AS type, hits[i] AS value, CAST({before(chars)} AS BIGINT) AS position,
+  CAST(1 + {before(lines)} AS BIGINT) AS line_number, {text_literal(rule.marker)} AS marker
+FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+  SELECT {key}, regexp_extract_all({text}, {pattern}) AS hits, regexp_split_to_array({text}, {pattern}) AS gaps FROM {source}))"""
+
+
 # ---------------------------------------------------------------- tokens and chunks in SQL
 
 

@@ -72,7 +72,12 @@ def embed_hash(spark, sf_dir):
     )
 
 
-@query("embed_model")
+@query(
+    "embed_model",
+    r"""SELECT doc_id, CASE WHEN NOT regexp_matches(text, '\b4[0-9]{15}\b') THEN
+  CAST(length(text) AS VARCHAR) || '.0,' || CAST(length(text) - length(replace(text, ' ', '')) AS VARCHAR) || '.0,' ||
+  CAST(length(text) - length(replace(text, chr(10), '')) AS VARCHAR) || '.0' END AS features FROM documents""",
+)
 def embed_model(spark, sf_dir):
     """A stand-in model of three text features; it fails on calls that hold a text with a card number."""
 

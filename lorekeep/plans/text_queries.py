@@ -144,9 +144,25 @@ def redact_pages(spark, sf_dir):
     return both.select("page_id", F.md5("redacted").alias("redacted_md5"), F.md5("extended").alias("extended_md5"))
 
 
-@query("redaction_records")
+_RECORD_ROWS = " UNION ALL ".join(
+    b.sql_located("planted", "doc_id", b.sql_redact("text", REDACTOR[:i]), rule) for i, rule in enumerate(REDACTOR)
+)
+
+
+@query(
+    "redaction_records",
+    f"""WITH {b.PLANTED}, records AS ({_RECORD_ROWS})
+SELECT doc_id, type, position, CAST(length(value) AS BIGINT) AS length, marker AS replacement FROM records""",
+)
 def redaction_records(spark, sf_dir):
-    return rd.redaction_records(b.planted(spark, sf_dir), "doc_id")
+    records = rd.redaction_records(b.planted(spark, sf_dir), "doc_id")
+    return records.select(
+        "doc_id",
+        "type",
+        F.col("position").cast("bigint").alias("position"),
+        F.col("length").cast("bigint").alias("length"),
+        "replacement",
+    )
 
 
 _STAGE_COUNTS = " + ".join(b.sql_count(b.sql_redact("text", REDACTOR[:i]), rule) for i, rule in enumerate(REDACTOR))
