@@ -61,7 +61,8 @@ def chunk(
         part = None
     # a blank text gets no windows here; a filter would compute a derived text twice
     total = window_count(F.col("__n"), size, overlap)
-    base = base.withColumn("__total", F.when(tk.is_blank(F.col("__text")), 0).otherwise(total))
+    blank = F.col("__n") == 0 if tokenizer == "ws" else tk.is_blank(F.col("__text"))
+    base = base.withColumn("__total", F.when(blank, 0).otherwise(total))
 
     end_of = lambda index: F.least(index * stride + size, F.col("__n"))
     indexes = F.sequence(F.lit(0), F.col("__total") - 1)

@@ -33,13 +33,14 @@ def running_total(
         ranged.groupBy(*keys)
         .agg(F.sum("__value").alias("__sum"))
         .withColumn("__before", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))
-        .drop("__sum")
+        .select("__before", *[F.col(name).alias(f"__of_{name}") for name in keys])
     )
+    same = [F.col(name).eqNullSafe(F.col(f"__of_{name}")) for name in keys]
     inside = (
         Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     total = F.col("__before") + F.sum("__value").over(inside)
-    return ranged.join(offsets, keys).withColumn(out, total).drop("__before", "__value", "__slice")
+    return ranged.join(offsets, same).withColumn(out, total).select(*df.columns, out)
 
 
 def with_batch(

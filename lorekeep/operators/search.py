@@ -21,7 +21,9 @@ from lorekeep.operators.embedding import HASH_DIMS, embed_hash
 
 METRICS = ("cosine", "euclidean", "dotproduct")  # fixed values
 RESIDENT_QUERIES = 4096
+HITS_TO_BROADCAST = 500_000
 SLAB_ROWS = 20_000
+BLOCK_SCORES = 2_000_000
 SCORE_PLACES = 6
 _HITS = "query_id string, namespace string, id string, score double"
 _ARROW_HITS = pa.schema(
@@ -30,7 +32,7 @@ _ARROW_HITS = pa.schema(
 
 
 def _matrix(values: pa.Array) -> np.ndarray:
-    """Two-dimensional doubles of an Arrow list column whose rows have equal length and no nulls."""
+    """Two-dimensional doubles of an Arrow list column of equal lengths; a null element is nan."""
     flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(values), -1) if len(values) else flat.reshape(0, 0)
 
@@ -89,15 +91,19 @@ class _Best:
         ]
 
 
-def _score_batch(best: _Best, batch, queries: np.ndarray, metric: str, signature=None) -> None:
-    namespaces = np.asarray(batch.column("namespace").to_pylist(), dtype=object)
-    ids = np.asarray(batch.column("id").to_pylist(), dtype=object)
-    matrix = _matrix(batch.column("values"))
-    scores = goodness(matrix, queries, metric)
-    allowed = None if signature is None else signature(matrix)
-    for namespace in sorted(set(namespaces.tolist())):
-        mine = namespaces == namespace
-        best.add(namespace, ids[mine], scores[mine], None if allowed is None else allowed[mine])
+def _score_batch(best: _Best, batch: pa.RecordBatch, queries: np.ndarray, metric: str, signature=None) -> None:
+    """Score a batch in blocks, so the scores held at once do not grow with the number of queries."""
+    step = max(1, BLOCK_SCORES // max(1, len(queries)))
+    for start in range(0, batch.num_rows, step):
+        block = batch.slice(start, step)
+        namespaces = np.asarray(block.column("namespace").to_pylist(), dtype=object)
+        ids = np.asarray(block.column("id").to_pylist(), dtype=object)
+        matrix = _matrix(block.column("values"))
+        scores = goodness(matrix, queries, metric)
+        allowed = None if signature is None else signature(matrix)
+        for namespace in sorted(set(namespaces.tolist())):
+            mine = namespaces == namespace
+            best.add(namespace, ids[mine], scores[mine], None if allowed is None else allowed[mine])
 
 
 def _rows_to_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -159,8 +165,7 @@ def _grid_hits(queries: DataFrame, vectors: DataFrame, k: int, metric: str, boun
 
 
 def _usable(frame: DataFrame, *names: str) -> DataFrame:
-    complete = F.col("values").isNotNull() & ~F.exists("values", lambda x: x.isNull())
-    return frame.where(complete).select(*names, F.col("values").cast("array<double>").alias("values"))
+    return frame.where(F.col("values").isNotNull()).select(*names, "values")
 
 
 def _ranked(hits: DataFrame, k: int, metric: str, per_namespace: bool) -> DataFrame:
@@ -178,11 +183,12 @@ def _checked(metric: str, k: int) -> None:
         raise ValueError("k must be at least 1")
 
 
-def _carried(ranked: DataFrame, vectors: DataFrame, carry: Sequence[str], small: bool) -> DataFrame:
-    """Add index columns to hits. With resident queries the hits are bounded, so they go to the index."""
+def _carried(ranked: DataFrame, vectors: DataFrame, carry: Sequence[str], most: int | None) -> DataFrame:
+    """Add index columns to hits. Only hits whose number has a proven bound are sent to the index."""
     if not carry:
         return ranked
     index = vectors.select("namespace", "id", *carry)
+    small = most is not None and most <= HITS_TO_BROADCAST
     return index.join(F.broadcast(ranked) if small else ranked, ["namespace", "id"])
 
 
@@ -196,11 +202,13 @@ def top_k(
     per_namespace: bool = False,
     carry: Sequence[str] = (),
     resident: int = RESIDENT_QUERIES,
+    namespaces: int | None = None,
 ) -> DataFrame:
     """The k best vectors of each query: query_id, namespace, id, score, rank, carried columns.
 
     Scores are rounded to six places and ties broken by id. A source name is mapped to its namespace.
-    A zero vector has null cosine and ranks last. ``where`` filters the index before scoring.
+    A zero vector has null cosine and ranks last. ``where`` filters the index before scoring;
+    ``namespaces`` is how many there can be, if known.
     """
     _checked(metric, k)
     index = vectors
@@ -216,13 +224,15 @@ def top_k(
     else:
         hits = _grid_hits(asked, usable, k, metric, resident)
     ranked = _ranked(hits, k, metric, per_namespace)
-    return _carried(ranked, index, carry, loaded is not None)
+    groups = namespaces if per_namespace else 1
+    most = len(loaded[0]) * k * groups if loaded is not None and groups else None
+    return _carried(ranked, index, carry, most)
 
 
 def top_k_all(queries: DataFrame, vectors: DataFrame, k: int = 5, **options) -> DataFrame:
     """k per known namespace; namespaces without hits give no rows, ``default`` is not searched."""
     known = vectors.where(F.col("namespace").isin(*NAMESPACES.values()))
-    return top_k(queries, known, k, per_namespace=True, **options)
+    return top_k(queries, known, k, per_namespace=True, namespaces=len(NAMESPACES), **options)
 
 
 def ann_top_k(
@@ -264,7 +274,7 @@ def ann_top_k(
     short = asked.join(enough, "query_id", "left_anti")
     exact = top_k(short, vectors, k, metric, resident=resident)
     hits = near.join(enough.select("query_id"), "query_id", "left_semi").unionByName(exact)
-    return _carried(hits, vectors, carry, True)
+    return _carried(hits, vectors, carry, len(loaded[0]) * k)
 
 
 def search_text(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorekeep.functions.identity import namespace_of, vector_id
+from lorekeep.functions.identity import content_hash, namespace_of, vector_id
 from lorekeep.functions.rules import REDACTOR
 from lorekeep.operators import embedding as em
 from lorekeep.operators import index as ix
@@ -296,13 +296,20 @@ def upsert_latest(spark, sf_dir):
 
 @query(
     "exact_dedup",
-    """SELECT min(doc_id) AS doc_id, sha256(text) AS content_sha256, count(*) AS copies FROM documents GROUP BY sha256(text)""",
+    """SELECT doc_id, sha256(text) AS content_sha256, lang FROM documents
+WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)""",
 )
 def exact_dedup(spark, sf_dir):
-    docs = b.table(spark, sf_dir, "documents", "doc_id")
-    firsts = ix.first_copies(docs)
-    kept = ix.dedup(docs).select("doc_id")
-    return firsts.join(kept, "doc_id", "left_semi").select("doc_id", "content_sha256", "copies")
+    kept = ix.dedup(b.table(spark, sf_dir, "documents", "doc_id"))
+    return kept.select("doc_id", content_hash(F.col("text")).alias("content_sha256"), "lang")
+
+
+@query(
+    "content_copies",
+    "SELECT min(doc_id) AS doc_id, sha256(text) AS content_sha256, count(*) AS copies FROM documents GROUP BY sha256(text)",
+)
+def content_copies(spark, sf_dir):
+    return ix.first_copies(b.table(spark, sf_dir, "documents", "doc_id")).select("doc_id", "content_sha256", "copies")
 
 
 @query(

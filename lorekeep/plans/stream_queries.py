@@ -8,7 +8,6 @@ from lorekeep import sinks
 from lorekeep.functions.rules import EXTENDED
 from lorekeep.functions.prices import token_cost
 from lorekeep.operators import index as ix
-from lorekeep.operators import messages as ms
 from lorekeep.operators import scanning as sc
 from lorekeep.operators import volume as vl
 from lorekeep.plans import bindings as b
@@ -126,7 +125,7 @@ def stream_ledger(spark, sf_dir):
 
 @query("sink_samples", f"WITH {b.MESSAGES_SQL} SELECT channel_id, message_id, md5(text) AS text_md5 FROM messages")
 def sink_samples(spark, sf_dir):
-    rows = ms.quota_sample(b.messages(spark, sf_dir), b.channels(spark, sf_dir), n=1_000_000_000)
+    rows = b.messages(spark, sf_dir)
     path = sinks.write_samples(rows.select("channel_id", "message_id", "text"), scratch_path(spark, "samples"))
     back = spark.read.schema("channel_id string, message_id string, text string").json(path)
     return back.select("channel_id", "message_id", F.md5("text").alias("text_md5"))
