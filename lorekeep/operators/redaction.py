@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.rules import Rule, pick_rules
 
+_BLOCK = 1000
+_FOUND = "array<struct<value:string,position:int,line:int>>"
 _RECORDS = "array<struct<type:string,position:int,length:int,replacement:string>>"
 
 
@@ -73,14 +75,13 @@ def redact(
 
 
 def located(matches: Column, gaps: Column) -> Column:
-    """Value, 0-based offset and 1-based line of each match, from the gaps around it."""
+    """Value, 0-based offset and 1-based line of each match, from the gaps around it.
+
+    The matches are walked in blocks, because an array that grows by one element is copied each time: a
+    text with a million matches costs a million short copies, not a million long ones.
+    """
     newlines = lambda text: F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("value"))
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.lit(1).alias("line"),
-        F.array().cast("array<struct<value:string,position:int,line:int>>").alias("found"),
-    )
+    none = F.array().cast(_FOUND)
 
     def step(state: Column, pair: Column) -> Column:
         gap, value = pair["gap"], pair["value"]
@@ -91,11 +92,31 @@ def located(matches: Column, gaps: Column) -> Column:
             F.struct(
                 (at + F.length(value)).alias("at"),
                 (line + newlines(value)).alias("line"),
+                state["done"].alias("done"),
                 F.concat(state["found"], F.array(hit)).alias("found"),
             )
         )
 
-    return F.aggregate(pairs, start, step, lambda state: state["found"])
+    def walk(state: Column, block: Column) -> Column:
+        close = lambda inner: F.struct(
+            inner["at"].alias("at"),
+            inner["line"].alias("line"),
+            F.concat(inner["done"], F.array(inner["found"])).alias("done"),
+            none.alias("found"),
+        )
+        return F.aggregate(block, state, step, close)
+
+    def blocks(pairs: Column) -> Column:
+        last = F.floor((F.size(pairs) - 1) / _BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(pairs, i * _BLOCK + 1, _BLOCK))
+
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast(f"array<{_FOUND}>").alias("done"), none.alias("found")
+    )
+    pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("value"))
+    # bound to a variable, so the two regular expressions run once
+    each = lambda bound: F.aggregate(blocks(bound), start, walk, lambda state: F.flatten(state["done"]))
+    return F.get(F.transform(F.array(pairs), each), F.lit(0))
 
 
 def redaction_list(

@@ -22,7 +22,7 @@ from lorekeep.operators.embedding import HASH_DIMS, embed_hash
 METRICS = ("cosine", "euclidean", "dotproduct")  # fixed values
 RESIDENT_QUERIES = 4096
 HITS_TO_BROADCAST = 500_000
-SLAB_ROWS = 20_000
+GRID_ROWS = 16_384
 BLOCK_SCORES = 2_000_000
 SCORE_PLACES = 6
 _HITS = "query_id string, namespace string, id string, score double"
@@ -138,10 +138,14 @@ def _local_hits(vectors: DataFrame, ids: list[str], matrix: np.ndarray, k: int,
     return vectors.select("namespace", "id", "values").mapInArrow(run, _HITS)
 
 
-def _grid_hits(queries: DataFrame, vectors: DataFrame, k: int, metric: str, bound: int) -> DataFrame:
-    """Blocks of queries against slabs of the index; every group holds at most about bound + SLAB_ROWS rows."""
-    blocks = math.ceil(queries.count() / bound * 1.25)
-    slabs = max(1, math.ceil(vectors.count() / SLAB_ROWS))
+def _grid_hits(queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> DataFrame:
+    """Blocks of queries against slabs of the index, in groups of about GRID_ROWS rows of each.
+
+    The rows moved are queries x vectors x (1 / block + 1 / slab), so both sides are cut to the same size,
+    the largest that a task should hold. Rows are spread by hash, so no group depends on a hot value.
+    """
+    blocks = max(1, math.ceil(queries.count() / GRID_ROWS))
+    slabs = max(1, math.ceil(vectors.count() / GRID_ROWS))
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     spread = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
     left = vectors.select(
@@ -222,7 +226,7 @@ def top_k(
     if loaded is not None:
         hits = _local_hits(usable, *loaded, k, metric)
     else:
-        hits = _grid_hits(asked, usable, k, metric, resident)
+        hits = _grid_hits(asked, usable, k, metric)
     ranked = _ranked(hits, k, metric, per_namespace)
     groups = namespaces if per_namespace else 1
     most = len(loaded[0]) * k * groups if loaded is not None and groups else None

@@ -65,7 +65,8 @@ def brute(vectors, queries, names, k, metric, per_namespace, allowed=None):
 
 @pytest.mark.parametrize("metric", sr.METRICS)
 @pytest.mark.parametrize("resident", [100, 4])
-def test_top_k_equals_brute_force(spark, metric, resident):
+def test_top_k_equals_brute_force(spark, monkeypatch, metric, resident):
+    monkeypatch.setattr(sr, "GRID_ROWS", 10)  # many blocks and slabs once the queries do not fit
     v, a, vectors, queries, names = vectors_and_queries(spark)
     got = sr.top_k(a, v, 7, metric, resident=resident).collect()
     assert {(r.query_id, r.namespace, r.id, r["rank"]) for r in got} == brute(vectors, queries, names, 7, metric, False)
