@@ -113,10 +113,11 @@ def located(matches: Column, gaps: Column) -> Column:
     start = F.struct(
         F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast(f"array<{_FOUND}>").alias("done"), none.alias("found")
     )
-    pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("value"))
-    # bound to a variable, so the two regular expressions run once
-    each = lambda bound: F.aggregate(blocks(bound), start, walk, lambda state: F.flatten(state["done"]))
-    return F.get(F.transform(F.array(pairs), each), F.lit(0))
+    # bound to variables, so each regular expression runs once, and the second only if the first hit
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    walked = lambda pairs: F.aggregate(blocks(pairs), start, walk, lambda state: F.flatten(state["done"]))
+    zipped = lambda hits: F.arrays_zip(gaps.alias("gap"), hits.alias("value"))
+    return let(matches, lambda hits: F.when(F.size(hits) == 0, none).otherwise(let(zipped(hits), walked)))
 
 
 def redaction_list(

@@ -212,12 +212,17 @@ def pii_gate_by(
     return _verdict(per_source.rollup(by).agg(*sums), chosen)
 
 
-def gap_audit(df: DataFrame, col: str = "text", rules: str = "redactor") -> DataFrame:
-    """Scanner hits that survive redaction, per type; types without survivors are left out."""
-    chosen = pick_rules("scanner")
-    clean = redact(df, col, "__clean", rules=rules)
-    totals = scan_counts(clean, "__clean").agg(
+def count_by_type(df: DataFrame, col: str = "text", rules: str | tuple[Rule, ...] = "scanner") -> DataFrame:
+    """Hits per type straight from the texts, without building the matches; absent types are left out."""
+    chosen = pick_rules(rules)
+    totals = scan_counts(df, col, rules).agg(
         *[F.coalesce(F.sum(f"n_{rule.name}"), F.lit(0)).cast("bigint").alias(rule.name) for rule in chosen]
     )
     pairs = ", ".join(f"'{rule.name}', {rule.name}" for rule in chosen)
-    return totals.select(F.expr(f"stack({len(chosen)}, {pairs}) as (type, remaining)")).where("remaining > 0")
+    return totals.select(F.expr(f"stack({len(chosen)}, {pairs}) as (type, matches)")).where("matches > 0")
+
+
+def gap_audit(df: DataFrame, col: str = "text", rules: str = "redactor") -> DataFrame:
+    """Scanner hits that survive redaction, per type; types without survivors are left out."""
+    clean = redact(df, col, "__clean", rules=rules)
+    return count_by_type(clean, "__clean").withColumnRenamed("matches", "remaining")

@@ -199,6 +199,9 @@ def test_scan_matches_python(spark):
         for rule in SCANNER
         for hit in re.finditer(rule.pattern, text)
     )
+    counted = {r.type: r.matches for r in sc.count_by_type(frame(spark, texts)).collect()}
+    listed = {r.type: r.matches for r in sc.matches_by_type(sc.scan_pii(frame(spark, texts), "doc_id")).collect()}
+    assert counted == listed
     assert got == want and {g[1] for g in got} >= {"phone", "slack_token", "jwt_token", "anthropic_key", "id_number"}
 
 
