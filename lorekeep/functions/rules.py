@@ -34,13 +34,6 @@ class Rule:
     def count(self, text: Column) -> Column:
         return F.regexp_count(text, F.lit(self.pattern))
 
-    def matches(self, text: Column) -> Column:
-        return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
-
-    def gaps(self, text: Column) -> Column:
-        """The text pieces between the matches, one more than there are matches."""
-        return F.split(text, self.pattern, -1)
-
 
 # Patterns that decide which characters count as personal data or secrets.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.rules import Rule, pick_rules
 
+_FENCE = "\uffff"
 _BLOCK = 1000
 _FOUND = "array<struct<value:string,position:int,line:int>>"
 _RECORDS = "array<struct<type:string,position:int,length:int,replacement:string>>"
@@ -40,13 +41,46 @@ def redacted_text(text: Column, rules: str | tuple[Rule, ...] = "redactor", type
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def pieces(text: Column, pattern: Column) -> Column:
+    """The text cut at its matches: gap, match, gap, ..., match, gap. One pass of the pattern.
+
+    Matches are fenced with a character that texts do not use; a text that does use it is cut in two
+    passes instead.
+    """
+    fenced = F.regexp_replace(text, pattern, F.lit(f"{_FENCE}$0{_FENCE}"))
+    both = F.arrays_zip(
+        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit")
+    )
+    rest = F.flatten(
+        F.transform(both, lambda p: F.when(p["hit"].isNull(), F.array(p["gap"])).otherwise(F.array(p["gap"], p["hit"])))
+    )
+    return F.when(F.contains(text, F.lit(_FENCE)), rest).otherwise(F.split(fenced, _FENCE, -1))
+
+
+def _rejoined(cut: Column, marker: Column) -> Column:
+    """The text with the marker in place of each match."""
+    return F.array_join(F.transform(cut, lambda piece, i: F.when(i % 2 == 1, marker).otherwise(piece)), "")
+
+
+def _hits(cut: Column) -> Column:
+    return F.floor(F.size(cut) / 2).cast("int")
+
+
 def _counted(text: Column, rules: tuple[Rule, ...]) -> Column:
     """Struct of the redacted text and the number of redactions."""
     start = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.lit(0).alias("hits"))
-    step = lambda state, rule: F.struct(
-        F.regexp_replace(state["text"], rule["pattern"], rule["marker"]).alias("text"),
-        (state["hits"] + F.regexp_count(state["text"], rule["pattern"])).alias("hits"),
-    )
+
+    def step(state: Column, rule: Column) -> Column:
+        after = lambda cut: F.when(F.size(cut) == 1, state).otherwise(
+            F.struct(_rejoined(cut, rule["marker"]).alias("text"), (state["hits"] + _hits(cut)).alias("hits"))
+        )
+        return _let(pieces(state["text"], rule["pattern"]), after)
+
     return F.aggregate(_passes(text, rules), start, step)
 
 
@@ -74,50 +108,46 @@ def redact(
     ).drop("__redaction")
 
 
-def located(matches: Column, gaps: Column) -> Column:
-    """Value, 0-based offset and 1-based line of each match, from the gaps around it.
+def located(cut: Column) -> Column:
+    """Value, 0-based offset and 1-based line of each match, from the pieces of a text.
 
     The matches are walked in blocks, because an array that grows by one element is copied each time: a
     text with a million matches costs a million short copies, not a million long ones.
     """
     newlines = lambda text: F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     none = F.array().cast(_FOUND)
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast(f"array<{_FOUND}>").alias("done"), none.alias("found")
+    )
 
-    def step(state: Column, pair: Column) -> Column:
-        gap, value = pair["gap"], pair["value"]
-        at = state["at"] + F.length(gap)
-        line = state["line"] + newlines(gap)
-        hit = F.struct(value.alias("value"), at.alias("position"), line.alias("line"))
-        return F.when(value.isNull(), state).otherwise(
-            F.struct(
+    def walked(cut: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            gap, value = F.get(cut, i * 2), F.get(cut, i * 2 + 1)
+            at = state["at"] + F.length(gap)
+            line = state["line"] + newlines(gap)
+            hit = F.struct(value.alias("value"), at.alias("position"), line.alias("line"))
+            return F.struct(
                 (at + F.length(value)).alias("at"),
                 (line + newlines(value)).alias("line"),
                 state["done"].alias("done"),
                 F.concat(state["found"], F.array(hit)).alias("found"),
             )
-        )
 
-    def walk(state: Column, block: Column) -> Column:
-        close = lambda inner: F.struct(
-            inner["at"].alias("at"),
-            inner["line"].alias("line"),
-            F.concat(inner["done"], F.array(inner["found"])).alias("done"),
-            none.alias("found"),
-        )
-        return F.aggregate(block, state, step, close)
+        def walk(state: Column, block: Column) -> Column:
+            close = lambda inner: F.struct(
+                inner["at"].alias("at"),
+                inner["line"].alias("line"),
+                F.concat(inner["done"], F.array(inner["found"])).alias("done"),
+                none.alias("found"),
+            )
+            last = F.least(block * _BLOCK + _BLOCK, _hits(cut)) - 1
+            return F.aggregate(F.sequence(block * _BLOCK, last), state, step, close)
 
-    def blocks(pairs: Column) -> Column:
-        last = F.floor((F.size(pairs) - 1) / _BLOCK).cast("int")
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(pairs, i * _BLOCK + 1, _BLOCK))
+        blocks = F.sequence(F.lit(0), F.floor((_hits(cut) - 1) / _BLOCK).cast("int"))
+        found = F.aggregate(blocks, start, walk, lambda state: F.flatten(state["done"]))
+        return F.when(F.size(cut) == 1, none).otherwise(found)
 
-    start = F.struct(
-        F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast(f"array<{_FOUND}>").alias("done"), none.alias("found")
-    )
-    # bound to variables, so each regular expression runs once, and the second only if the first hit
-    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-    walked = lambda pairs: F.aggregate(blocks(pairs), start, walk, lambda state: F.flatten(state["done"]))
-    zipped = lambda hits: F.arrays_zip(gaps.alias("gap"), hits.alias("value"))
-    return let(matches, lambda hits: F.when(F.size(hits) == 0, none).otherwise(let(zipped(hits), walked)))
+    return _let(cut, walked)
 
 
 def redaction_list(
@@ -132,21 +162,19 @@ def redaction_list(
     )
 
     def step(state: Column, rule: Column) -> Column:
-        stage, pattern = state["text"], rule["pattern"]
-        hits = located(F.regexp_extract_all(stage, pattern, F.lit(0)), F.split(stage, pattern, -1))
-        records = F.transform(
-            hits,
-            lambda hit: F.struct(
-                rule["type"].alias("type"),
-                hit["position"].alias("position"),
-                F.length(hit["value"]).alias("length"),
-                rule["marker"].alias("replacement"),
-            ),
+        as_record = lambda hit: F.struct(
+            rule["type"].alias("type"),
+            hit["position"].alias("position"),
+            F.length(hit["value"]).alias("length"),
+            rule["marker"].alias("replacement"),
         )
-        return F.struct(
-            F.regexp_replace(stage, pattern, rule["marker"]).alias("text"),
-            F.concat(state["records"], records).alias("records"),
+        after = lambda cut: F.when(F.size(cut) == 1, state).otherwise(
+            F.struct(
+                _rejoined(cut, rule["marker"]).alias("text"),
+                F.concat(state["records"], F.transform(located(cut), as_record)).alias("records"),
+            )
         )
+        return _let(pieces(state["text"], rule["pattern"]), after)
 
     return F.aggregate(_passes(text, pick_rules(rules, types)), start, step, lambda state: state["records"])
 

@@ -147,6 +147,16 @@ def test_redaction_records_and_order(spark):
         assert sorted(found.get(doc_id, [])) == sorted(python_redact(text, REDACTOR)[1])
 
 
+def test_texts_that_hold_the_fence_character(spark):
+    text = f"\uffff {SECRETS['email']} \uffff\n{SECRETS['ssn']}\uffff"
+    row = rd.redact(frame(spark, [text]), count_as="n").first()
+    want, records = python_redact(text, REDACTOR)
+    assert (row.redacted, row.n) == (want, 2)
+    got = [(r.type, r.position, r.length, r.replacement) for r in rd.redaction_records(frame(spark, [text]), "doc_id").collect()]
+    assert got == records
+    assert [(r.type, r.line_number) for r in sc.scan_pii(frame(spark, [text]), "doc_id").collect()] == [("email", 1)]
+
+
 def test_redact_switches(spark):
     text = f"{SECRETS['email']} {SECRETS['ssn']}"
     row = rd.redact(frame(spark, [text]), types=["ssn"]).first()
