@@ -28,9 +28,6 @@ class Rule:
             return text.rlike(self.needs)
         return reduce(or_, [text.contains(word) for word in self.needs])
 
-    def replace(self, text: Column) -> Column:
-        return F.regexp_replace(text, F.lit(self.pattern), F.lit(self.marker))
-
     def count(self, text: Column) -> Column:
         return F.regexp_count(text, F.lit(self.pattern))
 

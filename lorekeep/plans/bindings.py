@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.identity import namespace_of
 from lorekeep.functions.prices import EMBEDDING_PRICES, token_cost
 from lorekeep.functions.rules import Rule
-from lorekeep.sources.exports import DRIVE, PAGES
+from lorekeep.sources.exports import PAGES
 
 START = "2024-01-01 00:00:00"
 AS_OF = "2024-01-20 00:00:00"

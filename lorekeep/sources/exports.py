@@ -124,9 +124,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return hadoop_path.getFileSystem(conf).globStatus(hadoop_path) is not None and bool(
-        hadoop_path.getFileSystem(conf).globStatus(hadoop_path)
-    )
+    return bool(hadoop_path.getFileSystem(conf).globStatus(hadoop_path))
 
 
 READERS = {"slack": read_messages, "notion": read_pages, "drive": read_drive}
