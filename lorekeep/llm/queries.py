@@ -7,12 +7,56 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import bpe, shards, token_counts
-from lorekeep.llm.common import load
+from pyspark.sql import functions as F
+
+from lorekeep.llm import bpe, mixing, quality, shards, token_counts, toxicity, urls
+from lorekeep.llm.common import fold, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# The rules that op2 judges by before its own.
+URL_RULES = [
+    urls.HostRule("com", "/", "allow"),
+    urls.HostRule("example.com", "/en/", "block"),
+    urls.HostRule("www.example.com", "/en/", "allow"),
+    urls.HostRule("net", "/es/", "block"),
+    urls.HostRule("net", "/fr/", "block"),
+]
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "source", "block", "slot", "position")
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    labels = load(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("block")
+    )
+    return urls.judge(pages, URL_RULES, urls.mine(pages, labels)).drop("url")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = load(spark, sf_dir, "labels").where(fold(F.col("doc_id")) != 0)
+    return toxicity.score(docs, toxicity.fit(docs, labels)).select(
+        "doc_id",
+        (fold(F.col("doc_id")) == 0).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+        "n_clauses",
+        "worst_clause",
+    )
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = load(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return quality.judge(docs, quality.fit(docs, trusted)).drop("text")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -26,5 +70,16 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(load(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {run.__name__: run for run in (op6_token_counts, op7_byte_bpe, op9_shards)}
+QUERIES: dict[str, Query] = {
+    run.__name__: run
+    for run in (
+        op1_mixing,
+        op2_url_filters,
+        op3_toxicity,
+        op4_quality_rules,
+        op6_token_counts,
+        op7_byte_bpe,
+        op9_shards,
+    )
+}
 ORACLES: dict[str, str] = {}
