@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +26,24 @@ def build_session(app: str = "lorekeep", master: str | None = None, **conf: obje
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give this package to the executors' Python, wherever the driver was started; once for each context."""
+    context = spark.sparkContext
+    if not getattr(context, "_lorekeep_shipped", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="lorekeep-code-"), "lorekeep.zip")
+        with zipfile.ZipFile(archive, "w") as target:
+            for folder, _, names in os.walk(package):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        target.write(path, os.path.relpath(path, os.path.dirname(package)))
+        context.addPyFile(archive)
+        context._lorekeep_shipped = True
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,7 +53,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lorekeep-")
         spark.conf.set("spark.checkpoint.dir", folder)
