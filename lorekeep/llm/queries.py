@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, mixing, quality, shards, token_counts, toxicity, urls
+from lorekeep.llm import bpe, mixing, near, quality, shards, token_counts, toxicity, urls
 from lorekeep.llm.common import fold, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,11 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(load(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near.near_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_copies", "n_links")
+
+
 QUERIES: dict[str, Query] = {
     run.__name__: run
     for run in (
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
         op6_token_counts,
         op7_byte_bpe,
         op9_shards,
+        op10_jaccard_join,
     )
 }
 ORACLES: dict[str, str] = {}
