@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import arrow_map
 
-STATES = 200_000
+STATES = 100_000
 COLUMNS = 128
-CACHE = 200_000
+CACHE = 100_000
+PAIRS = 300_000
+GROUP_CHARS = 1_500_000
 DECODE_STEP = 4096
 # The white space of the pattern; a chunk is an optional blank and what has no white space, or white space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -148,7 +150,7 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
-            if len(self.pairs) > 4 * STATES:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
@@ -246,6 +248,17 @@ class Encoder:
         self.ids = np.concatenate([self.ids, gather(ids, (ends - counts)[order], counts[order])])
 
     def encode(self, texts: list[str]) -> pa.ListArray:
+        """Ids of each text; the texts are taken in groups of bounded length, so their chunks do not add up."""
+        groups, size = [[]], 0
+        for text in texts:
+            if size > GROUP_CHARS:
+                groups.append([])
+                size = 0
+            groups[-1].append(text)
+            size += len(text)
+        return pa.concat_arrays([self._encode(group) for group in groups])
+
+    def _encode(self, texts: list[str]) -> pa.ListArray:
         chunks = [CHUNK.findall(text) for text in texts]
         new = list(set().union(*chunks) - self.known.keys())
         if new:
@@ -343,19 +356,32 @@ def _schema(df: DataFrame, **columns: str) -> str:
     return ", ".join([*kept, *(f"`{n}` {t}" for n, t in columns.items())])
 
 
+def _encoded(texts: pa.Array, path: str) -> pa.ListArray:
+    return encoder(path).encode([text or "" for text in texts.to_pylist()])
+
+
+def _decoded(ids: pa.ListArray, path: str) -> dict[str, pa.Array]:
+    held, texts, replaced = vocabulary(path), [], []
+    flat, ends = ids.flatten().to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())
+    for begin, end in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+        stream = Utf8Stream()
+        texts.append("".join(stream_decode(flat[begin:end], held, stream)))
+        replaced.append(stream.replaced)
+    return {"decoded": pa.array(texts, pa.string()), "n_replaced": pa.array(replaced, pa.int64())}
+
+
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """Add ``ids`` array<int>: each whole text under the ranks at ``path``, without special tokens.
 
     A null text is encoded as empty (no ids). All columns of ``docs`` stay, one called ids is replaced. Nulls, repeated
     rows and empty tables need no special case; no shuffle.
     """
-
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        ids = encoder(path).encode([text or "" for text in texts])
-        return _replaced(batch, ids=ids)
-
-    return arrow_map(docs, each, _schema(docs, ids="array<int>"))
+    run = lambda batch: _replaced(batch, ids=_encoded(_column(batch, "text"), path))
+    return arrow_map(docs, run, _schema(docs, ids="array<int>"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -363,27 +389,30 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     Null ids count as none. All columns stay, those of the two names are replaced. An id that the vocabulary lacks raises.
     """
+    run = lambda batch: _replaced(batch, **_decoded(_column(batch, "ids"), path))
+    return arrow_map(encoded, run, _schema(encoded, decoded="string", n_replaced="long"))
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """:func:`encode` and :func:`decode` in one worker, with the columns of both."""
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held, texts, replaced = vocabulary(path), [], []
-        column = batch.column(batch.schema.get_field_index("ids"))
-        flat, ends = column.flatten().to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())
-        for begin, end in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
-            stream = Utf8Stream()
-            texts.append("".join(stream_decode(flat[begin:end], held, stream)))
-            replaced.append(stream.replaced)
-        return _replaced(batch, decoded=pa.array(texts, pa.string()), n_replaced=pa.array(replaced, pa.int64()))
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = _encoded(_column(batch, "text"), path)
+        return _replaced(batch, ids=ids, **_decoded(ids, path))
 
-    return arrow_map(encoded, each, _schema(encoded, decoded="string", n_replaced="long"))
+    return arrow_map(docs, run, _schema(docs, ids="array<int>", decoded="string", n_replaced="long"))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Columns of ``docs`` but the text, n_tokens, and the SHA-256 of the ids and of the text they decode to."""
-    done = decode(encode(docs, path), path)
-    return done.withColumns(
-        {
-            "n_tokens": F.size("ids").cast("long"),
-            "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256),
-            "decoded_sha256": F.sha2("decoded", 256),
-        }
-    ).drop("ids", "decoded", "n_replaced", "text")
+    return (
+        round_trip(docs, path)
+        .withColumns(
+            {
+                "n_tokens": F.size("ids").cast("long"),
+                "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256),
+                "decoded_sha256": F.sha2("decoded", 256),
+            }
+        )
+        .drop("ids", "decoded", "n_replaced", "text")
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, mixing, near, quality, shards, token_counts, toxicity, urls
+from lorekeep.llm import bpe, lm, mixing, near, quality, shards, token_counts, toxicity, urls
 from lorekeep.llm.common import fold, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", (fold(F.col("doc_id")) == 1).alias("held_out"))
+    return lm.score(docs.withColumn("trained", ~F.col("held_out")))
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(load(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Query] = {
         op4_quality_rules,
         op6_token_counts,
         op7_byte_bpe,
+        op8_lm_scores,
         op9_shards,
         op10_jaccard_join,
     )

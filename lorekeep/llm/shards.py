@@ -27,32 +27,56 @@ def _buckets(high: np.ndarray, low: np.ndarray, probe_high: np.ndarray, probe_lo
     return found
 
 
-def _bytes_below(keys: DataFrame, probes: list[int]) -> list[int]:
-    """Exact bytes of the rows below each probe, counted inside the tasks and summed by bucket."""
+def _key(high: int, low: int) -> int:
+    return (high + HALF) << 64 | (low + HALF)
+
+
+def _below(keys: DataFrame, probes: list[int]) -> dict[int, int]:
+    """Exact bytes below each probe, and below and behind the first and last key between two probes.
+
+    Counted inside the tasks; a task sends one row for each bucket that it has rows in.
+    """
     high = np.array([(p >> 64) - HALF for p in probes], np.int64)
     low = np.array([(p & LOW) - HALF for p in probes], np.int64)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, d, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        total = np.bincount(_buckets(h, d, high, low), weights=size, minlength=len(high) + 1)
-        at = np.flatnonzero(total)
-        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["at", "bytes"])
-
-    sums = arrow_map(keys.select("__h", "__d", "size"), count, "at long, bytes long").groupBy("at")
-    by_bucket = {row["at"]: row["b"] for row in sums.agg(F.sum("bytes").alias("b")).collect()}
-    below, out = 0, []
-    for i in range(len(probes)):
-        below += by_bucket.get(i, 0)
-        out.append(below)
+        at = _buckets(h, d, high, low)
+        order = np.lexsort((d, h, at))
+        first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) != 0]))
+        last = np.concatenate([first[1:], [len(order)]]) - 1
+        own = [at[order][first], np.add.reduceat(size[order], first)]
+        own += [values[order][edge] for edge in (first, last) for values in (h, d)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in own], ["at", "bytes", "h0", "d0", "h1", "d1"])
+
+    schema = "at long, bytes long, h0 long, d0 long, h1 long, d1 long"
+    sums = (
+        arrow_map(keys.select("__h", "__d", "size"), count, schema)
+        .groupBy("at")
+        .agg(
+            F.sum("bytes").alias("bytes"),
+            F.min(F.struct("h0", "d0")).alias("first"),
+            F.max(F.struct("h1", "d1")).alias("last"),
+        )
+    )
+    by_bucket = {row["at"]: row for row in sums.collect()}
+    below, out = 0, {}
+    for i in range(len(probes) + 1):
+        if row := by_bucket.get(i):
+            out[_key(*row["first"])] = below
+            below += row["bytes"]
+            out[_key(*row["last"]) + 1] = below
+        if i < len(probes):
+            out[probes[i]] = below
     return out
 
 
-def splitters(keys: DataFrame, total: int, parts: int, tolerance: float = 0.1, probes: int = 15) -> list[int]:
+def splitters(keys: DataFrame, total: int, parts: int, tolerance: float = 0.2, probes: int = 31) -> list[int]:
     """Sorted 128-bit keys that cut ``keys`` into ``parts`` of near equal bytes.
 
-    Each pass counts the exact bytes below ``probes`` candidates inside the interval of every open splitter, until
-    each splitter is within ``tolerance`` of a part's share or its interval holds a single key. A pass moves
-    one sum for each probe and task; parts x probes is the most that reaches the driver.
+    Each pass counts the exact bytes below ``probes`` candidates inside the interval of every open splitter and draws the
+    interval in to the keys that are there, until each splitter is within ``tolerance`` of a part's share or its interval
+    holds a single key. parts x probes sums are the most that reaches the driver.
     """
     share = max(1, total // parts)
     wanted = [total * j // parts for j in range(1, parts)]
@@ -71,8 +95,7 @@ def splitters(keys: DataFrame, total: int, parts: int, tolerance: float = 0.1, p
                 ask.update(range(low + step, high, step))
         if not ask:
             return sorted(set(best) - {0, SPACE})
-        asked = sorted(ask)
-        known.update(zip(asked, _bytes_below(keys, asked), strict=True))
+        known.update(_below(keys, sorted(ask)))
 
 
 def shard(docs: DataFrame, shards: int = 16, part_rows: int = 200_000) -> DataFrame:
