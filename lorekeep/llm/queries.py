@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, lm, mixing, near, quality, shards, token_counts, toxicity, urls
+from lorekeep.llm import bpe, lm, mixing, near, neighbours, quality, shards, token_counts, toxicity, urls
 from lorekeep.llm.common import fold, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, trusted)).drop("text")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
         op2_url_filters,
         op3_toxicity,
         op4_quality_rules,
+        op5_nearest,
         op6_token_counts,
         op7_byte_bpe,
         op8_lm_scores,
