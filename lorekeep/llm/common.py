@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.session import scratch_path
+from lorekeep.session import scratch_path, ship_package
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 BATCH_BYTES = 4 << 20
@@ -22,6 +22,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds by bytes, so very long texts do not add up in a Python worker; and let Spark remove the
     shuffle files of a job that has ended, since what later jobs need is written to the shared folder."""
+    ship_package(spark)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
