@@ -45,7 +45,7 @@ _SAID_SQL = f"{b.CORPUS}, told AS (SELECT *, {b.REASON_SQL} AS reason FROM corpu
   SELECT source, source_id, author, url, {b.sql_redact('text', EXTENDED)} AS body FROM told WHERE reason IS NULL),
 {b.sql_chunks('clean', 'body', 'source, source_id, author, url')}
 SELECT source || '/' AS namespace, source || '-' || source_id || '-' || CAST(chunk_index AS VARCHAR) AS id, author, url,
-  CAST(token_count AS BIGINT) AS token_count, md5(substr(content, 1, 1000)) AS content_md5 FROM chunks""",
+  CAST(token_count AS BIGINT) AS token_count, md5(content) AS content_md5 FROM chunks""",
 )
 def stream_ingest(spark, sf_dir):
     index = ig.current_index(spark, _ingested(spark, sf_dir))
@@ -63,11 +63,15 @@ def stream_dead_letter(spark, sf_dir):
     return dead.groupBy("reason").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("stream_dedup")
+@query(
+    "stream_dedup",
+    f"SELECT DISTINCT user_id, event_type, {b.sql_stamp('date_trunc(\'hour\', ts)')} AS bucket_start FROM events",
+)
 def stream_dedup(spark, sf_dir):
     path = scratch_path(spark, "dedup")
     unique = ev.dedup_stream(_event_stream(spark, sf_dir), ["user_id", "event_type"])
-    return ev.run_to_end(unique.select("event_id", "user_id", "event_type"), f"{path}/out", f"{path}/checkpoint")
+    out = ev.run_to_end(unique, f"{path}/out", f"{path}/checkpoint")
+    return out.withColumn("bucket_start", b.stamp("bucket_start"))
 
 
 def _windows(spark, sf_dir, slide=None):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lorekeep.operators.governance import failure_rate
+from lorekeep.streaming.ingest import stream_id
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema=None) -> DataFrame:
@@ -18,9 +19,17 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema=None) -> Dat
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def dedup_stream(stream: DataFrame, keys: list[str], ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Drop repeats that arrive within the delay; the state forgets a key once the watermark passes it."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+def dedup_stream(
+    stream: DataFrame, keys: list[str], ts: str = "ts", delay: str = "1 hour", bucket: str = "1 hour"
+) -> DataFrame:
+    """One row (keys, bucket_start) for each key and bucket of event time.
+
+    What stays is a function of the events and not of how they were cut into batches, as long as none is later than
+    ``delay``; which of the repeats stood for the others is therefore not given out. The state forgets a bucket once the
+    watermark has passed it.
+    """
+    bucketed = stream.withWatermark(ts, delay).select(*keys, F.window(ts, bucket).alias("window"))
+    return bucketed.dropDuplicates([*keys, "window"]).select(*keys, F.col("window.start").alias("bucket_start"))
 
 
 def failure_stream(
@@ -44,12 +53,16 @@ def run_to_end(result: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return result.sparkSession.read.schema(result.schema).parquet(path)
 
 
+LEDGER = "month string, model string, tokens bigint, cost_usd double, run string, batch_id bigint"
+
+
 def ledger_batch(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Tokens and cost per month and model of one batch; a repeated batch overwrites itself."""
+    """Tokens and cost per month and model of one batch of one stream; a repeated batch overwrites itself."""
     summed = batch.groupBy("month", "model").agg(
         F.sum("tokens").alias("tokens"), F.sum("cost_usd").alias("cost_usd")
     )
-    summed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    typed = summed.select("month", "model", F.col("tokens").cast("bigint"), F.col("cost_usd").cast("double"))
+    typed.write.mode("overwrite").parquet(f"{path}/run={stream_id(batch)}/batch_id={batch_id}")
 
 
 def start_ledger(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -61,6 +74,6 @@ def start_ledger(stream: DataFrame, path: str, checkpoint: str, trigger: dict |
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
     """Spending so far; a budget gate reads its month's sum from here."""
-    return spark.read.parquet(path).groupBy("month", "model").agg(
+    return spark.read.schema(LEDGER).parquet(path).groupBy("month", "model").agg(
         F.sum("tokens").alias("tokens"), F.sum("cost_usd").alias("cost_usd")
     )

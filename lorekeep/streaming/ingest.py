@@ -1,8 +1,9 @@
 """Ingest of event streams into the vector table.
 
-A micro-batch is appended under its batch id, so a repeated batch overwrites only itself and the work of
-a batch grows with the batch, not with the table. Reading takes each document's newest batch; ``compact``
-writes that state to a new table.
+A micro-batch is appended under the id of its stream, which the checkpoint keeps, and its batch id. So a repeated batch
+overwrites only itself, streams with checkpoints of their own do not overwrite each other, and the work of a batch grows
+with the batch, not with the table. Reading takes each document's newest version; ``compact`` writes that state to a
+new table.
 """
 
 from __future__ import annotations
@@ -20,6 +21,12 @@ from lorekeep.operators.redaction import redact
 from lorekeep.sinks import write_index
 from lorekeep.sources.envelope import dead_events, decode_events, good_events
 
+CHUNKS = """namespace string, id string, doc_id string, chunk_index int, token_count int, author string, timestamp string,
+url string, extra map<string,string>, content string, preview string, values array<double>, indexed_at timestamp,
+run string, batch_id bigint"""
+DOCS = "namespace string, doc_id string, seen_at timestamp, indexed_at timestamp, run string, batch_id bigint"
+DEAD = "raw string, reason string, run string, batch_id bigint"
+
 DEAD_LETTER_ALERT = 100  # fixed value: more dead events than this raise the alert
 MAX_RETRIES = 3
 
@@ -49,14 +56,23 @@ def index_rows(
         "timestamp",
         "url",
         "extra",
-        preview(F.col("content")).alias("content"),
+        "content",
+        preview(F.col("content")).alias("preview"),
         "values",
     )
 
 
-def newest_events(events: DataFrame) -> DataFrame:
-    """Last event of each document within a batch, by timestamp, then content."""
-    return latest_by(events, ["source", "source_id"], ["timestamp", "content"])
+def event_time(timestamp: Column) -> Column:
+    """Seconds since 1970, or an ISO date or time, as a timestamp; null for anything else."""
+    seconds = timestamp.try_cast("double")
+    return F.when(seconds.isNotNull(), F.timestamp_seconds(seconds)).otherwise(timestamp.try_cast("timestamp"))
+
+
+def newest_events(events: DataFrame, arrived: Column | None = None) -> DataFrame:
+    """Last event of each document within a batch, by time, then content; one without a time counts as of its arrival."""
+    arrived = F.current_timestamp() if arrived is None else arrived
+    timed = events.withColumn("seen_at", F.coalesce(event_time(F.col("timestamp")), arrived))
+    return latest_by(timed, ["source", "source_id"], ["seen_at", "content"])
 
 
 def split_dead(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,19 +93,32 @@ def retry_state(dead: DataFrame, retries: str = "retries", most: int = MAX_RETRI
     return dead.withColumn(retries, tried).withColumn("given_up", tried >= most)
 
 
-def write_batch(batch: DataFrame, batch_id: int, path: str, indexed_at: Column | None = None, **options) -> None:
-    """One micro-batch: chunks, touched documents and dead events, each under its batch id."""
-    good, dead = split_dead(decode_events(batch))
-    events = newest_events(good)
+def stream_id(batch: DataFrame) -> str:
+    """Id of the stream a micro-batch belongs to; it stays the same as long as the checkpoint does."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+
+
+def write_batch(
+    batch: DataFrame, batch_id: int, path: str, indexed_at: Column | None = None, run: str | None = None, **options
+) -> None:
+    """One micro-batch, decoded once: chunks, touched documents and dead events, each under stream and batch id."""
+    decoded = decode_events(batch).persist()
+    good, dead = split_dead(decoded)
     stamp = F.current_timestamp() if indexed_at is None else indexed_at
-    place = lambda name: f"{path}/{name}/batch_id={batch_id}"
+    events = newest_events(good, stamp)
+    run = run or stream_id(batch)
+    place = lambda name: f"{path}/{name}/run={run}/batch_id={batch_id}"
     rows = index_rows(events, **options).withColumn("indexed_at", stamp)
     rows.write.mode("overwrite").partitionBy("namespace").parquet(place("chunks"))
     touched = events.select(
-        namespace_of(F.col("source")).alias("namespace"), F.concat_ws("-", "source", "source_id").alias("doc_id")
+        namespace_of(F.col("source")).alias("namespace"),
+        F.concat_ws("-", "source", "source_id").alias("doc_id"),
+        "seen_at",
+        stamp.alias("indexed_at"),
     )
     touched.write.mode("overwrite").parquet(place("docs"))
     dead.write.mode("overwrite").parquet(place("dead"))
+    decoded.unpersist()
 
 
 def start_ingest(
@@ -102,16 +131,21 @@ def start_ingest(
 
 
 def current_index(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of every document; one that came back shorter or empty leaves no old chunks."""
-    chunks = spark.read.parquet(f"{path}/chunks")
-    docs = spark.read.parquet(f"{path}/docs")
-    newest = docs.groupBy("namespace", "doc_id").agg(F.max("batch_id").alias("batch_id"))
-    return chunks.join(newest, ["namespace", "doc_id", "batch_id"])
+    """The newest version of every document; one that came back shorter or empty leaves no old chunks.
+
+    Newest by the time of the event (of its arrival where it has none), then by arrival: the same rule as within a batch.
+    """
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
+    docs = spark.read.schema(DOCS).parquet(f"{path}/docs")
+    order = F.struct("seen_at", "indexed_at", "run", "batch_id")
+    newest = docs.groupBy("namespace", "doc_id").agg(F.max(order).alias("__new"))
+    newest = newest.select("namespace", "doc_id", F.col("__new.run").alias("run"), F.col("__new.batch_id").alias("batch_id"))
+    return chunks.join(newest, ["namespace", "doc_id", "run", "batch_id"])
 
 
 def dead_letters(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/dead")
+    return spark.read.schema(DEAD).parquet(f"{path}/dead")
 
 
 def compact(spark: SparkSession, path: str, target: str) -> str:
-    return write_index(current_index(spark, path).drop("batch_id"), target)
+    return write_index(current_index(spark, path).drop("run", "batch_id"), target)

@@ -58,13 +58,48 @@ def test_ingest_replaces_documents_and_repeats_are_harmless(spark):
     assert {r.namespace for r in rows.values()} == {"slack/", "default"}
     # the same micro-batch delivered once more overwrites itself
     batch = spark.createDataFrame([(envelope(content="short", author="ann"),), (envelope("drive", "2", " "),)], "data string")
-    ig.write_batch(batch, 1, path, STAMP, size=4, overlap=1)
+    run_id = ig.dead_letters(spark, path).first()["run"]
+    ig.write_batch(batch, 1, path, STAMP, run_id, size=4, overlap=1)
     assert ids() == ["mail-7-0", "slack-1-0"]
     assert ig.dead_letters(spark, path).count() == 1
     target = ig.compact(spark, path, scratch_path(spark, "t-compact"))
     assert spark.read.parquet(target).count() == 2
 
 
+def test_streams_and_restarts_do_not_overwrite_each_other(spark):
+    path = scratch_path(spark, "t-ingest")
+
+    def run(topic, checkpoint):
+        stream = spark.readStream.schema("data string").parquet(topic)
+        ig.start_ingest(stream, path, f"{path}/{checkpoint}", STAMP).awaitTermination()
+
+    slack, notion, dead = (scratch_path(spark, "t-topic") for _ in range(3))
+    publish(spark, dead, "%%%", "@@@")
+    run(dead, "cp-dead")
+    assert ig.current_index(spark, path).count() == 0 and ig.dead_letters(spark, path).count() == 2
+    publish(spark, slack, envelope(content="one"))
+    publish(spark, notion, envelope("notion", "2", "two"), "%%%")
+    run(slack, "cp-slack")
+    run(notion, "cp-notion")
+    ids = lambda: sorted(r.id for r in ig.current_index(spark, path).collect())
+    assert ids() == ["notion-2-0", "slack-1-0"] and ig.dead_letters(spark, path).count() == 3
+    run(slack, "cp-slack-new")  # a new checkpoint reads the topic again
+    assert ids() == ["notion-2-0", "slack-1-0"]
+
+
+def test_newest_event_by_time_not_by_text(spark):
+    rows = [("a", "999999999.5", "old"), ("a", "1700000000.5", "new"), ("b", "2024-01-01T00:30:00+02:00", "old"), ("b", "2023-12-31T23:00:00Z", "new")]
+    events = spark.createDataFrame([("s", i, t, c) for i, t, c in rows], "source string, source_id string, timestamp string, content string")
+    assert {r.content for r in ig.newest_events(events).collect()} == {"new"}
+
+
+def test_long_chunks_are_stored_whole(spark):
+    text = " ".join(["word"] * 400)
+    good, _ = ig.split_dead(decode_events(spark.createDataFrame([(envelope(content=text),)], "data string")))
+    row = ig.index_rows(good).first()
+    assert row.content == text and row.preview == text[:1000]
+
+
 def test_stream_equals_batch(spark):
     topic, path = scratch_path(spark, "t-topic"), scratch_path(spark, "t-ingest")
     publish(spark, topic, *[envelope(doc=str(i), content=f"mail a{i}@b.example.org text {i}") for i in range(20)])
@@ -110,11 +145,32 @@ def test_failure_windows_equal_batch_on_closed_windows(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 4
 
 
-def test_stream_dedup_and_ledger(spark):
+def test_stream_dedup(spark):
     folder, df = event_files(spark, [(i % 50, True) for i in range(200)])
     path = scratch_path(spark, "t-dedup")
     unique = ev.dedup_stream(ev.file_stream(spark, folder, "*.parquet", df.schema), ["minute"])
     assert ev.run_to_end(unique, f"{path}/out", f"{path}/cp").count() == 50
+
+
+def test_stream_dedup_does_not_depend_on_batches(spark):
+    rows = [(i % 180, i % 7 == 0) for i in range(900)]
+    counts = []
+    for files in (1, 6):
+        folder = scratch_path(spark, "t-events")
+        df = spark.createDataFrame(sorted(rows), "minute int, failed boolean").coalesce(1)
+        df = df.select((STAMP + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minute"))).alias("ts"), "failed")
+        for k in range(files):
+            df.where(F.floor(F.minute("ts") * files / 60) == k).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        path = scratch_path(spark, "t-dedup")
+        out = ev.run_to_end(ev.dedup_stream(stream, ["failed"], delay="4 hours"), f"{path}/out", f"{path}/cp")
+        counts.append(sorted(map(tuple, out.collect())))
+    assert counts[0] == counts[1] and len(counts[0]) == 6
+
+
+def test_ledger_survives_a_restart(spark):
+    folder, df = event_files(spark, [(i % 50, True) for i in range(200)])
+    path = scratch_path(spark, "t-ledger")
     costed = ev.file_stream(spark, folder, "*.parquet", df.schema).select(
         F.date_format("ts", "yyyy-MM").alias("month"), F.lit("m").alias("model"), F.lit(2).alias("tokens"), F.lit(0.5).alias("cost_usd")
     )
