@@ -16,6 +16,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# In Java's patterns: white space, digits, word characters and case as Unicode has them.
+UNICODE = "(?U)"
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -23,13 +27,17 @@ class Rule:
     marker: str
     needs: tuple[str, ...] | str
 
+    @property
+    def spark_pattern(self) -> str:
+        return UNICODE + self.pattern
+
     def possible(self, text: Column) -> Column:
         if isinstance(self.needs, str):
-            return text.rlike(self.needs)
+            return text.rlike(UNICODE + self.needs)
         return reduce(or_, [text.contains(word) for word in self.needs])
 
     def count(self, text: Column) -> Column:
-        return F.regexp_count(text, F.lit(self.pattern))
+        return F.regexp_count(text, F.lit(self.spark_pattern))
 
 
 # Patterns that decide which characters count as personal data or secrets.
@@ -67,7 +75,7 @@ REDACTOR = (
     Rule("api_key", PREFIXED_KEY, "[API_KEY_REDACTED]", ("sk-", "pk_", "key-")),
     Rule("aws_key", AWS_KEY_SHORT, "[AWS_KEY_REDACTED]", ("AKIA", "ASIA")),
     Rule("credit_card", CREDIT_CARD, "[CREDIT_CARD_REDACTED]", "[0-9]{13}"),
-    Rule("ssn", SSN, "[SSN_REDACTED]", "-[0-9]{2}-"),
+    Rule("ssn", SSN, "[SSN_REDACTED]", r"-\d{2}-"),
     Rule("ip_address", IP_ADDRESS, "[IP_REDACTED]", r"[0-9]\.[0-9]"),
     Rule("bearer_token", BEARER, "[BEARER_TOKEN_REDACTED]", ("Bearer",)),
 )
@@ -81,13 +89,13 @@ def _any_case(name: str, pattern: str, needs: tuple[str, ...] | str) -> Rule:
 # The eleven scan types, all ignoring case, in scan order.
 SCANNER = (
     _any_case("email", EMAIL, ("@",)),
-    _any_case("phone", PHONE_ZA, r"[0-9]\s*[0-9]\s*[0-9]"),
+    _any_case("phone", PHONE_ZA, r"\d\s*\d\s*\d"),
     _any_case("api_key", ASSIGNED_KEY, "key|token"),
     _any_case("slack_token", SLACK_TOKEN, "xox[baprs]-"),
     _any_case("aws_key", AWS_KEY_LONG, "a[3gikrns][dioptv][a-z0-9]{16}"),
     _any_case("openai_key", OPENAI_KEY, "sk-"),
     _any_case("anthropic_key", ANTHROPIC_KEY, "sk-ant-"),
-    _any_case("id_number", ID_NUMBER, "[0-9]{15}"),
+    _any_case("id_number", ID_NUMBER, r"\d{15}"),
     _any_case("credit_card", CREDIT_CARD, "[0-9]{13}"),
     _any_case("ip_address", IP_ADDRESS, r"[0-9]\.[0-9]"),
     _any_case("jwt_token", JWT, "eyj"),

@@ -23,7 +23,7 @@ def _passes(text: Column, rules: tuple[Rule, ...]) -> Column:
     known = [
         F.struct(
             F.lit(rule.name).alias("type"),
-            F.lit(rule.pattern).alias("pattern"),
+            F.lit(rule.spark_pattern).alias("pattern"),
             F.lit(rule.marker).alias("marker"),
             rule.possible(text).alias("possible"),
         )

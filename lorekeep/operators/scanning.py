@@ -31,7 +31,7 @@ def text_hits(text: Column, rules: str | tuple[Rule, ...] = "scanner") -> Column
     """Every match of every rule in one text as an array; rules are independent of each other."""
     per_rule = []
     for rule in pick_rules(rules):
-        hits = F.transform(located(pieces(text, F.lit(rule.pattern))), _as_hit(rule))
+        hits = F.transform(located(pieces(text, F.lit(rule.spark_pattern))), _as_hit(rule))
         per_rule.append(F.when(rule.possible(text), hits).otherwise(F.array().cast(_HIT)))
     return F.concat(*per_rule)
 
