@@ -16,7 +16,7 @@ from lorekeep.functions.identity import content_hash
 KEYS = ("namespace", "id")
 
 
-def latest_by(df: DataFrame, keys: Sequence[str], newest: Sequence[str]) -> DataFrame:
+def latest_by(df: DataFrame, keys: Sequence[str], newest: Sequence[str | Column]) -> DataFrame:
     """Last row per key as a partial aggregate, so copies of a hot key are reduced before the shuffle."""
     rest = [name for name in df.columns if name not in keys]
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*newest)).alias("__row"))
@@ -26,11 +26,12 @@ def latest_by(df: DataFrame, keys: Sequence[str], newest: Sequence[str]) -> Data
 def upsert(index: DataFrame, new: DataFrame, indexed_at: Column, newest: Sequence[str] = ()) -> DataFrame:
     """Last write per (namespace, id) wins; the new rows are stamped.
 
-    Only the new rows are grouped (``newest`` orders repeats among them); the index is met by an anti
-    join on its keys, so it is neither sorted nor shuffled when the new keys are few.
+    Only the new rows are grouped (``newest`` orders repeats among them, by default all columns, maps as JSON); the index is
+    met by an anti join on its keys, so it is neither sorted nor shuffled when the new keys are few.
     """
     stamped = new.withColumn("indexed_at", indexed_at)
-    rest = [name for name in stamped.columns if name not in KEYS]
+    maps = {f.name for f in stamped.schema if "map<" in f.dataType.simpleString()}
+    rest = [F.to_json(name) if name in maps else F.col(name) for name in stamped.columns if name not in KEYS]
     last = latest_by(stamped, KEYS, list(newest) or rest)
     return delete(index, last).unionByName(last, allowMissingColumns=True)
 
@@ -58,12 +59,18 @@ def sync_deletes(index: DataFrame, sources: DataFrame, key: str = "doc_id") -> D
 def index_stats(index: DataFrame) -> DataFrame:
     """Vectors and dimension per namespace, and a row with a null namespace for the whole index.
 
-    A table has one dimension, so one vector tells it; the counts do not read the vectors at all.
+    The dimension is that of the longest vector, ``least_dimension`` that of the shortest; they differ in a mixed index. Rows
+    without a vector count as vectors but have no dimension.
     """
-    dimension = index.select(F.size("values")).limit(1).scalar()
-    counts = index.groupBy("namespace").agg(F.count(F.lit(1)).alias("vector_count"))
-    both = counts.rollup("namespace").agg(F.sum("vector_count").alias("vector_count"))
-    return both.withColumn("dimension", dimension)
+    size = F.when(F.col("values").isNotNull(), F.size("values"))
+    counts = index.groupBy("namespace").agg(
+        F.count(F.lit(1)).alias("vector_count"), F.max(size).alias("dimension"), F.min(size).alias("least_dimension")
+    )
+    return counts.rollup("namespace").agg(
+        F.sum("vector_count").alias("vector_count"),
+        F.max("dimension").alias("dimension"),
+        F.min("least_dimension").alias("least_dimension"),
+    )
 
 
 def coverage(source: DataFrame, index: DataFrame, key: str = "doc_id", by: str = "source") -> DataFrame:
@@ -102,8 +109,16 @@ def first_copies(df: DataFrame, text: str = "text", keep: str = "doc_id") -> Dat
 
 
 def dedup(df: DataFrame, text: str = "text", keep: str = "doc_id") -> DataFrame:
-    """The first document of each content."""
-    return df.join(first_copies(df, text, keep).select(keep), keep, "left_semi")
+    """The first document of each content.
+
+    Only the surplus copies, ids without texts, meet the table, in an anti join; where they are few Spark broadcasts them and
+    no text moves. Rows without an id stay.
+    """
+    hashed = df.select(F.col(keep).alias("__id"), content_hash(F.col(text)).alias("__hash"))
+    firsts = first_copies(df, text, keep).where("copies > 1").withColumnRenamed(keep, "__first")
+    same = F.col("__hash").eqNullSafe(F.col("content_sha256"))
+    surplus = hashed.join(firsts, same).where("__id <> __first").select(F.col("__id").alias(keep))
+    return df.join(surplus, keep, "left_anti")
 
 
 def since(df: DataFrame, marks: DataFrame, key: str = "source", modified: str = "modified") -> DataFrame:

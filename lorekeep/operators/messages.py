@@ -10,16 +10,14 @@ from pyspark.sql import functions as F
 from lorekeep.operators.running import running_total
 
 CHANNEL_TYPES = ("public_channel", "private_channel")  # fixed values
-CHANNEL_LIMIT = 100
-MESSAGE_LIMIT = 500
 LOOKBACK_DAYS = 30
 SAMPLE_SIZE = 500
 
 
 def filter_channels(
-    channels: DataFrame, types: Sequence[str] = CHANNEL_TYPES, limit: int | None = CHANNEL_LIMIT
+    channels: DataFrame, types: Sequence[str] = CHANNEL_TYPES, limit: int | None = None
 ) -> DataFrame:
-    """Channels that are not archived and of the given types; the first ``limit`` by id, or all."""
+    """Channels that are not archived and of the given types: all of them, or the first ``limit`` by id."""
     live = channels.where(~F.col("is_archived") & F.col("type").isin(*types))
     return live if limit is None else live.orderBy("channel_id").limit(limit)
 
@@ -39,12 +37,12 @@ def recent_messages(
     messages: DataFrame,
     as_of: Column,
     days_back: int = LOOKBACK_DAYS,
-    limit: int = MESSAGE_LIMIT,
+    limit: int | None = None,
     tie: Sequence[str] = ("message_id",),
 ) -> DataFrame:
-    """Messages of the last days, at most ``limit`` per channel, newest first."""
+    """Messages of the last days; with a ``limit`` the newest per channel. A message without a time is in no such span."""
     fresh = messages.where(F.col("ts") >= as_of - F.make_dt_interval(F.lit(days_back)))
-    return first_per_group(fresh, "channel_id", [F.desc("ts"), *map(F.col, tie)], limit)
+    return fresh if limit is None else first_per_group(fresh, "channel_id", [F.desc("ts"), *map(F.col, tie)], limit)
 
 
 def quota_sample(

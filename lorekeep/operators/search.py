@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from lorekeep.functions.identity import NAMESPACES
 from lorekeep.operators.embedding import HASH_DIMS, embed_hash
 
 METRICS = ("cosine", "euclidean", "dotproduct")  # fixed values
-RESIDENT_QUERIES = 4096
+RESIDENT_BYTES = 32 << 20  # of the queries that every task holds
 HITS_TO_BROADCAST = 500_000
 GRID_ROWS = 16_384
 BLOCK_SCORES = 2_000_000
@@ -32,7 +34,12 @@ _ARROW_HITS = pa.schema(
 
 
 def _matrix(values: pa.Array) -> np.ndarray:
-    """Two-dimensional doubles of an Arrow list column of equal lengths; a null element is nan."""
+    """Two-dimensional doubles of an Arrow list column of equal lengths; a null element is nan.
+
+    Vectors of different lengths raise: side by side they would take each other's elements.
+    """
+    if len(values) and pc.count_distinct(pc.list_value_length(values)).as_py() > 1:
+        raise ValueError("the vectors of one search must have one dimension")
     flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(values), -1) if len(values) else flat.reshape(0, 0)
 
@@ -45,6 +52,8 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 def goodness(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     """Scores of all vectors against all queries, higher is better, -inf where undefined."""
+    if len(vectors) and len(queries) and vectors.shape[1] != queries.shape[1]:
+        raise ValueError(f"queries have {queries.shape[1]} dimensions, vectors {vectors.shape[1]}")
     if metric == "cosine":
         scores = _unit(vectors) @ _unit(queries).T
     elif metric == "dotproduct":
@@ -112,6 +121,21 @@ def _rows_to_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_HITS)
 
 
+def _bound(queries: DataFrame, resident: int | None) -> int:
+    """How many queries a task may hold: ``resident``, or what fits RESIDENT_BYTES at their longest dimension."""
+    if resident is not None:
+        return resident
+    longest = queries.agg(F.max(F.size("values"))).first()[0]
+    return max(1, RESIDENT_BYTES // (8 * max(1, longest or 1)))
+
+
+def _blocks(queries: DataFrame, bound: int) -> Iterator[DataFrame]:
+    """The queries in blocks of about half the bound, dealt out by a hash of their ids."""
+    count = max(1, math.ceil(2 * queries.count() / bound))
+    for block in range(count):
+        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == block)
+
+
 def _resident(queries: DataFrame, bound: int) -> tuple[list[str], np.ndarray] | None:
     """The queries as ids and a matrix, or None when there are more than ``bound``."""
     table = queries.limit(bound + 1).toArrow()
@@ -205,7 +229,7 @@ def top_k(
     where: Column | None = None,
     per_namespace: bool = False,
     carry: Sequence[str] = (),
-    resident: int = RESIDENT_QUERIES,
+    resident: int | None = None,
     namespaces: int | None = None,
 ) -> DataFrame:
     """The k best vectors of each query: query_id, namespace, id, score, rank, carried columns.
@@ -222,7 +246,7 @@ def top_k(
         index = index.where(where)
     asked = _usable(queries, "query_id")
     usable = _usable(index, "namespace", "id")
-    loaded = _resident(asked, resident)
+    loaded = _resident(asked, _bound(asked, resident))
     if loaded is not None:
         hits = _local_hits(usable, *loaded, k, metric)
     else:
@@ -248,19 +272,18 @@ def ann_top_k(
     seed: int = 7,
     metric: str = "cosine",
     carry: Sequence[str] = (),
-    resident: int = RESIDENT_QUERIES,
+    resident: int | None = None,
 ) -> DataFrame:
     """Approximate top-k: only vectors whose sign pattern under random planes is within ``flips`` bits.
 
-    Candidates are scored exactly. A query that finds fewer than k candidates is searched exactly, and
-    so are queries beyond the resident bound, so nothing is capped.
+    Candidates are scored exactly. A query that finds fewer than k candidates is searched exactly. More queries than a task may
+    hold are taken in blocks, so what a query finds does not depend on how many others are asked. All scores are
+    computed: this form saves the ranking of far vectors, not their scoring, and is no index.
     """
     _checked(metric, k)
     asked = _usable(queries, "query_id")
     usable = _usable(vectors, "namespace", "id")
-    loaded = _resident(asked, resident)
-    if loaded is None:
-        return top_k(queries, vectors, k, metric, carry=carry, resident=resident)
+    bound = _bound(asked, resident)
 
     def probe(matrix: np.ndarray):
         sides = np.random.default_rng(seed).standard_normal((matrix.shape[1], planes))
@@ -273,12 +296,15 @@ def ann_top_k(
 
         return signature
 
-    near = _ranked(_local_hits(usable, *loaded, k, metric, probe), k, metric, False)
+    whole = _resident(asked, bound)
+    loads = [whole] if whole else [load for block in _blocks(asked, bound) if (load := _resident(block, bound))]
+    found = [_local_hits(usable, *load, k, metric, probe) for load in loads]
+    near = _ranked(reduce(DataFrame.unionByName, found), k, metric, False)
     enough = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     short = asked.join(enough, "query_id", "left_anti")
     exact = top_k(short, vectors, k, metric, resident=resident)
     hits = near.join(enough.select("query_id"), "query_id", "left_semi").unionByName(exact)
-    return _carried(hits, vectors, carry, len(loaded[0]) * k)
+    return _carried(hits, vectors, carry, len(whole[0]) * k if whole else None)
 
 
 def search_text(

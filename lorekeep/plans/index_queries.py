@@ -256,7 +256,7 @@ def source_delete_sync(spark, sf_dir):
 @query(
     "index_stats",
     f"""WITH {b.VECTORS_SQL} SELECT coalesce(namespace, 'total') AS namespace, count(*) AS vector_count,
-  CAST(max(len(values)) AS BIGINT) AS dimension FROM vectors GROUP BY ROLLUP (namespace)""",
+  CAST(max(len(values)) AS BIGINT) AS dimension, CAST(min(len(values)) AS BIGINT) AS least_dimension FROM vectors GROUP BY ROLLUP (namespace)""",
 )
 def index_stats(spark, sf_dir):
     stats = ix.index_stats(b.vectors(spark, sf_dir))
@@ -264,6 +264,7 @@ def index_stats(spark, sf_dir):
         F.coalesce("namespace", F.lit("total")).alias("namespace"),
         "vector_count",
         F.col("dimension").cast("bigint").alias("dimension"),
+        F.col("least_dimension").cast("bigint").alias("least_dimension"),
     )
 
 

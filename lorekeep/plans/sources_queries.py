@@ -95,7 +95,7 @@ def scan_drive_docs(spark, sf_dir):
     f"""WITH {b.MESSAGES_SQL}, {b.RAW_PAGES_SQL}, {b.RAW_DRIVE_SQL}
 SELECT 'slack' AS source, channel_id AS item, md5(text) AS text_md5 FROM messages
 UNION ALL SELECT 'notion', page_id, md5(text_content) FROM raw_pages
-UNION ALL SELECT 'drive', file_id, md5(substr(content, 1, 500)) FROM raw_drive WHERE content <> ''""",
+UNION ALL SELECT 'drive', file_id, md5(content) FROM raw_drive WHERE content <> ''""",
 )
 def scan_sample_union(spark, sf_dir):
     paths = {
@@ -107,7 +107,7 @@ def scan_sample_union(spark, sf_dir):
     return rows.select(
         "source",
         F.coalesce("channel_id", "page_id", "file_id").alias("item"),
-        F.md5(F.coalesce("text", "text_content", "content_preview")).alias("text_md5"),
+        F.md5(F.coalesce("text", "text_content", "content")).alias("text_md5"),
     )
 
 
@@ -151,7 +151,7 @@ def scan_files_by_mime(spark, sf_dir):
     "channel_filter",
     f"""WITH {b.CHANNELS_SQL}
 SELECT channel_id, channel_name, type FROM channels
-WHERE NOT is_archived AND type IN ('public_channel', 'private_channel') ORDER BY channel_id LIMIT 100""",
+WHERE NOT is_archived AND type IN ('public_channel', 'private_channel')""",
 )
 def channel_filter(spark, sf_dir):
     return ms.filter_channels(b.channels(spark, sf_dir)).select("channel_id", "channel_name", "type")

@@ -103,7 +103,7 @@ def read_pages(spark: SparkSession, path: str, multi_line: bool = False) -> Data
 
 
 def drive_rows(raw: DataFrame) -> DataFrame:
-    """Files with content; the preview is its first 500 characters."""
+    """Files with content, whole; the preview is its first 500 characters."""
     return raw.where(F.coalesce("content", F.lit("")) != "").select(
         "file_id",
         "name",
@@ -113,6 +113,7 @@ def drive_rows(raw: DataFrame) -> DataFrame:
         F.col("size").try_cast("bigint").alias("size"),
         F.substring("content", 1, DRIVE_PREVIEW_CHARS).alias("content_preview"),
         F.length("content").alias("content_length"),
+        "content",
     )
 
 
@@ -145,14 +146,14 @@ def read_corpus(spark: SparkSession, paths: Mapping[str, str], multi_line: bool
     return union
 
 
-def search_pages(pages: DataFrame, query: str = "", n: int | None = 100) -> DataFrame:
-    """Objects of kind page whose title contains the query, ignoring case; the first n by id, or all."""
+def search_pages(pages: DataFrame, query: str = "", n: int | None = None) -> DataFrame:
+    """Objects of kind page whose title contains the query, ignoring case: all, or the first n by id."""
     title = F.lower(page_title(F.col("properties")))
     found = pages.where((F.col("object") == "page") & F.contains(title, F.lit(query.lower())))
     return found if n is None else found.orderBy("page_id").limit(n)
 
 
-def pages_in(pages: DataFrame, database_id: str, n: int | None = 100) -> DataFrame:
+def pages_in(pages: DataFrame, database_id: str, n: int | None = None) -> DataFrame:
     if not database_id:
         raise ValueError("a database id is needed")
     found = pages.where(F.col("database_id") == database_id)
@@ -160,7 +161,7 @@ def pages_in(pages: DataFrame, database_id: str, n: int | None = 100) -> DataFra
 
 
 def list_files(
-    files: DataFrame, folder: str | None = None, mimes: list[str] | None = None, n: int | None = 100
+    files: DataFrame, folder: str | None = None, mimes: list[str] | None = None, n: int | None = None
 ) -> DataFrame:
     """Files in a folder and of one of the types; either condition may be left out."""
     found = files
@@ -171,7 +172,7 @@ def list_files(
     return found if n is None else found.orderBy("file_id").limit(n)
 
 
-def search_files(files: DataFrame, query: str, n: int | None = 100) -> DataFrame:
+def search_files(files: DataFrame, query: str, n: int | None = None) -> DataFrame:
     """Files whose name or whole text contains the query."""
     word = F.lit(query)
     found = files.where(F.contains(F.col("name"), word) | F.contains(F.col("content"), word))
