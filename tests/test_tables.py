@@ -371,3 +371,44 @@ def test_index_sink_replaces_only_touched_namespaces(spark):
     overwrite_namespaces(v.where("namespace = 'slack/'").limit(1), path)
     counts = {r.namespace: r["count"] for r in spark.read.parquet(path).groupBy("namespace").count().collect()}
     assert counts == {"slack/": 1, "notion/": 5, "drive/": 5, "default": 5}
+
+
+def test_vectors_of_different_lengths_are_refused(spark):
+    ragged = spark.createDataFrame(
+        [("n", str(i), [1.0] * n) for i, n in enumerate((3, 3, 2, 4))], "namespace string, id string, values array<double>"
+    ).coalesce(1)
+    asked = spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "query_id string, values array<double>")
+    for vectors in (ragged, ragged.where("size(values) = 2")):
+        with pytest.raises(Exception, match="dimension"):
+            sr.top_k(asked, vectors, 2).collect()
+
+
+def test_dimension_comes_from_all_rows(spark):
+    rows = [("n", None), ("n", [1.0, 2.0]), ("m", [1.0, 2.0, 3.0])]
+    stats = ix.index_stats(spark.createDataFrame(rows, "namespace string, values array<double>")).collect()
+    got = {r.namespace: (r.vector_count, r.dimension, r.least_dimension) for r in stats}
+    assert got == {"n": (2, 2, 2), "m": (1, 3, 3), None: (3, 3, 2)}
+
+
+def test_ann_does_not_depend_on_how_many_are_asked(spark):
+    v, a, *_ = vectors_and_queries(spark)
+    few = {tuple(r) for r in sr.ann_top_k(a, v, 4, planes=6, flips=1).select("query_id", "id", "rank").collect()}
+    cut = {tuple(r) for r in sr.ann_top_k(a, v, 4, planes=6, flips=1, resident=8).select("query_id", "id", "rank").collect()}
+    assert few == cut
+
+
+def test_upsert_takes_rows_with_maps(spark):
+    schema = "namespace string, id string, extra map<string,string>"
+    new = spark.createDataFrame([("n", "1", {"a": "1"}), ("n", "1", {"a": "2"}), ("n", "2", None)], schema)
+    index = spark.createDataFrame([("n", "1", {"a": "0"})], schema).withColumn("indexed_at", NOW)
+    got = {r.id: r.extra for r in ix.upsert(index, new, NOW).collect()}
+    assert got == {"1": {"a": "2"}, "2": None}
+
+
+def test_no_caps_unless_asked(spark):
+    channels = spark.range(150).selectExpr("CAST(id AS STRING) channel_id", "'public_channel' type", "false is_archived")
+    assert ms.filter_channels(channels).count() == 150
+    messages = spark.range(700).selectExpr("'c' channel_id", "CAST(id AS STRING) message_id").withColumn("ts", NOW)
+    assert ms.recent_messages(messages, NOW, 1).count() == 700
+    files = spark.range(150).selectExpr("CAST(id AS STRING) file_id", "array('f') parents", "'t' mime_type", "'n' name", "'x' content")
+    assert ex.list_files(files, "f").count() == ex.search_files(files, "x").count() == 150

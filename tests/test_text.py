@@ -274,3 +274,20 @@ def test_volume_and_decision(spark):
     decision = vl.go_no_go(gate, vl.budget_check(vl.project_cost(vl.project(stats)))).first()
     assert decision.overall_status == vl.GO and decision.ready_for_pilot
     assert vl.go_no_go(gate, costs).first().overall_status == vl.NO_GO
+
+
+def test_rules_see_unicode_as_python_does(spark):
+    nbsp = "\u00a0"
+    texts = [
+        f"call 082{nbsp}123{nbsp}4567 now",
+        f"Bearer{nbsp}abcdef.ghi",
+        f"api_key:{nbsp}" + "k" * 24,
+        "ssn ٠٠٠-١٢-٣٤٥٦ here",
+        "éuser@example.org and userß@example.org",
+        f"token{nbsp}={nbsp}" + "t" * 24,
+        "phone ٠٨٢١٢٣٤٥٦٧",
+        "id 19900101" + "٣" * 7,
+    ]
+    for rules in (REDACTOR, SCANNER, EXTENDED):
+        got = rd.redact(frame(spark, texts), "text", "clean", rules=rules).orderBy("doc_id").collect()
+        assert [r.clean for r in got] == [python_redact(t, rules)[0] for t in texts]
