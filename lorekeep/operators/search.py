@@ -67,10 +67,12 @@ def goodness(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarra
 
 
 class _Best:
-    """Best k (score, id) per query and namespace of the rows seen so far in one task."""
+    """Best k (score, id) per query of the rows seen so far in one task: of each namespace, or of all of them together,
+    where an id carries its namespace."""
 
-    def __init__(self, queries: int, k: int):
+    def __init__(self, queries: int, k: int, by_namespace: bool = True):
         self.k = k
+        self.by_namespace = by_namespace
         self.queries = queries
         self.kept: dict[str, list[list[tuple[float, str]]]] = {}
 
@@ -92,8 +94,9 @@ class _Best:
 
     def rows(self, query_ids: Sequence[str], metric: str) -> list[tuple]:
         sign = -1.0 if metric == "euclidean" else 1.0
+        named = lambda namespace, row_id: (namespace, row_id) if self.by_namespace else row_id[::-1]
         return [
-            (query_ids[j], namespace, row_id, None if math.isinf(score) else sign * score + 0.0)
+            (query_ids[j], *named(namespace, row_id), None if math.isinf(score) else sign * score + 0.0)
             for namespace, kept in self.kept.items()
             for j, pairs in enumerate(kept)
             for score, row_id in pairs
@@ -110,6 +113,11 @@ def _score_batch(best: _Best, batch: pa.RecordBatch, queries: np.ndarray, metric
         matrix = _matrix(block.column("values"))
         scores = goodness(matrix, queries, metric)
         allowed = None if signature is None else signature(matrix)
+        if not best.by_namespace:
+            both = np.empty(len(ids), object)
+            both[:] = list(zip(ids.tolist(), namespaces.tolist(), strict=True))
+            best.add("", both, scores, allowed)
+            continue
         for namespace in sorted(set(namespaces.tolist())):
             mine = namespaces == namespace
             best.add(namespace, ids[mine], scores[mine], None if allowed is None else allowed[mine])
@@ -147,12 +155,14 @@ def _resident(queries: DataFrame, bound: int) -> tuple[list[str], np.ndarray] |
     return table.column("query_id").to_pylist(), _matrix(column)
 
 
-def _local_hits(vectors: DataFrame, ids: list[str], matrix: np.ndarray, k: int, metric: str, probe=None) -> DataFrame:
+def _local_hits(
+    vectors: DataFrame, ids: list[str], matrix: np.ndarray, k: int, metric: str, probe=None, by_namespace: bool = False
+) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
-        best = _Best(len(query_ids), k)
+        best = _Best(len(query_ids), k, by_namespace)
         signature = probe(queries) if probe else None
         for batch in batches:
             if batch.num_rows and query_ids:
@@ -162,7 +172,7 @@ def _local_hits(vectors: DataFrame, ids: list[str], matrix: np.ndarray, k: int,
     return vectors.select("namespace", "id", "values").mapInArrow(run, _HITS)
 
 
-def _grid_hits(queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> DataFrame:
+def _grid_hits(queries: DataFrame, vectors: DataFrame, k: int, metric: str, by_namespace: bool) -> DataFrame:
     """Blocks of queries against slabs of the index, in groups of about GRID_ROWS rows of each.
 
     The rows moved are queries x vectors x (1 / block + 1 / slab), so both sides are cut to the same size,
@@ -182,7 +192,7 @@ def _grid_hits(queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> D
             return _ARROW_HITS.empty_table()
         query_ids = asked.column("query_id").to_pylist()
         matrix = np.concatenate([_matrix(b.column("values")) for b in asked.to_batches() if b.num_rows])
-        best = _Best(len(query_ids), k)
+        best = _Best(len(query_ids), k, by_namespace)
         for batch in index.to_batches():
             if batch.num_rows:
                 _score_batch(best, batch, matrix, metric)
@@ -248,9 +258,9 @@ def top_k(
     usable = _usable(index, "namespace", "id")
     loaded = _resident(asked, _bound(asked, resident))
     if loaded is not None:
-        hits = _local_hits(usable, *loaded, k, metric)
+        hits = _local_hits(usable, *loaded, k, metric, by_namespace=per_namespace)
     else:
-        hits = _grid_hits(asked, usable, k, metric)
+        hits = _grid_hits(asked, usable, k, metric, per_namespace)
     ranked = _ranked(hits, k, metric, per_namespace)
     groups = namespaces if per_namespace else 1
     most = len(loaded[0]) * k * groups if loaded is not None and groups else None

@@ -172,7 +172,7 @@ def query_vector_cross(spark, sf_dir):
     """Every vector asks the whole table. The bound is set low, so the blocked form for many queries runs."""
     vectors = b.vectors(spark, sf_dir)
     asked = vectors.select(F.col("id").alias("query_id"), "values")
-    return _hits(sr.top_k(asked, vectors, k=3, resident=128))
+    return _hits(sr.top_k(asked, vectors, k=3))
 
 
 @query("vector_ann")

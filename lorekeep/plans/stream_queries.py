@@ -9,6 +9,8 @@ from lorekeep.functions.rules import EXTENDED
 from lorekeep.functions.prices import token_cost
 from lorekeep.operators import index as ix
 from lorekeep.operators import scanning as sc
+from lorekeep.operators import search as sr
+from lorekeep.operators.embedding import embed_hash
 from lorekeep.operators import volume as vl
 from lorekeep.plans import bindings as b
 from lorekeep.plans.registry import query
@@ -54,6 +56,28 @@ def stream_ingest(spark, sf_dir):
     )
 
 
+@query(
+    "search_stored_index",
+    f"""WITH {_SAID_SQL}, clean AS (
+  SELECT source, source_id, author, url, {b.sql_redact('text', EXTENDED)} AS body FROM told WHERE reason IS NULL),
+{b.sql_chunks('clean', 'body', 'source, source_id, author, url')},
+stored AS (SELECT source || '/' AS namespace, source || '-' || source_id || '-' || CAST(chunk_index AS VARCHAR) AS id, content FROM chunks),
+{b.TEXT_QUERIES_SQL}, {b.sql_hash_terms('stored', 'id', 'content', 'vec')},
+{b.sql_hash_terms('text_queries', 'query_id', 'text', 'ask')},
+pairs AS (SELECT query_id, id, sum(a.value * v.value) AS dot FROM ask a JOIN vec v ON a.bucket = v.bucket GROUP BY ALL),
+owners AS (SELECT DISTINCT id FROM vec), askers AS (SELECT DISTINCT query_id FROM ask),
+scored AS (SELECT k.query_id, c.namespace, c.id, round(coalesce(dot, 0), 6) AS score
+  FROM askers k CROSS JOIN owners o JOIN stored c ON c.id = o.id LEFT JOIN pairs p ON p.query_id = k.query_id AND p.id = o.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored)
+SELECT query_id, namespace, id, score, rank FROM ranked WHERE rank <= 5""",
+)
+def search_stored_index(spark, sf_dir):
+    """From events to the stored table, and from there to hits: no text is chunked or embedded for a question."""
+    index = ig.current_index(spark, _ingested(spark, sf_dir))
+    hits = sr.top_k(embed_hash(b.text_queries(spark, sf_dir), "text"), index)
+    return hits.select("query_id", "namespace", "id", "score", "rank")
+
+
 @query(
     "stream_dead_letter",
     f"WITH {_SAID_SQL} SELECT reason, count(*) AS events FROM told WHERE reason IS NOT NULL GROUP BY reason",
