@@ -20,6 +20,7 @@ def build_session(app: str = "lorekeep", master: str | None = None, **conf: obje
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         **{key: str(value) for key, value in conf.items()},
