@@ -99,4 +99,43 @@ QUERIES: dict[str, Query] = {
         op10_jaccard_join,
     )
 }
-ORACLES: dict[str, str] = {}
+# The schedule is a recursion over the slots of one period; places follow from it by windows over blocks and rows.
+MIXING_SQL = """WITH RECURSIVE counted AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+sources AS (SELECT source, n, CAST(greatest(1, round(1000 * pow(n, 0.5) / sum(pow(n, 0.5)) OVER ())) AS BIGINT) AS share,
+  row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM counted),
+plan AS (SELECT list(share ORDER BY i) AS shares, CAST(sum(share) AS BIGINT) AS period FROM sources),
+schedule AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, list_transform(shares, lambda s: CAST(0 AS BIGINT)) AS taken, CAST(-1 AS BIGINT) AS i FROM plan
+  UNION ALL
+  SELECT slot + 1, list_transform(taken, lambda n, k: n + CASE WHEN k = chosen + 1 THEN 1 ELSE 0 END), chosen FROM (
+    SELECT slot, taken, period, list_min(list_transform(shares, lambda s, k: CASE WHEN taken[k] * period // s <= slot + 1
+      THEN (((taken[k] + 1) * period + s - 1) // s) * 100000 + k - 1 END)) % 100000 AS chosen
+    FROM schedule, plan) WHERE slot < period - 1),
+picked AS (SELECT i, slot, row_number() OVER (PARTITION BY i ORDER BY slot) - 1 AS k FROM schedule WHERE slot >= 0),
+blocks AS (SELECT source, i, share, n, unnest(range(0, (n + 63) // 64)) AS block FROM sources),
+placed AS (SELECT source, block, least(64, n - block * 64) AS size, (block // share) * period + p.slot AS due
+  FROM blocks b JOIN picked p ON p.i = b.i AND p.k = b.block % b.share, plan),
+ordered AS (SELECT source, block, row_number() OVER (ORDER BY due) - 1 AS slot, sum(size) OVER (ORDER BY due) - size AS start FROM placed),
+numbered AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source
+  ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, ''))) - 1 AS number FROM documents)
+SELECT doc_id, n.source, block, slot, CAST(start + number % 64 AS BIGINT) AS position
+FROM numbered n JOIN ordered o ON n.source IS NOT DISTINCT FROM o.source AND n.number // 64 = o.block"""
+
+# All pairs that share a shingle, and the classes by reachability.
+JACCARD_SQL = r"""WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+shingles AS (SELECT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END) AS shingle FROM split),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b
+  ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (SELECT x, y, c = p.n AND c = q.n AS same FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9),
+ways AS (SELECT x, y, same FROM linked UNION ALL SELECT y, x, same FROM linked),
+reached AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reached r JOIN ways b ON b.x = r.y),
+classes AS (SELECT x, min(y) AS class_id FROM reached GROUP BY x),
+counted AS (SELECT x, count(*) AS links, count(*) FILTER (WHERE same) AS copies FROM ways GROUP BY x)
+SELECT doc_id, class_id, 1 + coalesce(copies, 0) AS n_copies, coalesce(links, 0) AS n_links
+FROM documents JOIN classes c ON c.x = doc_id LEFT JOIN counted n ON n.x = doc_id"""
+
+ORACLES: dict[str, str] = {"op1_mixing": MIXING_SQL, "op10_jaccard_join": JACCARD_SQL}
