@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import let
 
 
+BROADCAST_ROWS = 100_000  # of frames with one short row per source, bucket or block
+
+
 def shares_by_temperature(docs: DataFrame, power: float = 0.5, total: int = 1000) -> DataFrame:
     """Target weights as integers: in proportion to rows to the ``power``, about ``total`` together, at least 1 each."""
     counts = docs.groupBy("source").agg(F.count("*").alias("__n"))
@@ -47,7 +50,7 @@ def _cycle(shares: Column, period: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0).cast("long"), period - 1), start, step, lambda state: state["picked"])
 
 
-def mix(docs: DataFrame, shares: DataFrame | None = None, block: int = 64, bucket: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, shares: DataFrame | None = None, block: int = 64, bucket: int = 5_000) -> DataFrame:
     """Order all rows so that the sources interleave in blocks by their target weights.
 
     ``shares`` (source, share) gives integer weights, by default :func:`shares_by_temperature`; a source without one
@@ -61,7 +64,8 @@ def mix(docs: DataFrame, shares: DataFrame | None = None, block: int = 64, bucke
     order, equal rows are interchangeable, an empty table gives no rows.
 
     Rows are numbered inside buckets of about ``bucket`` rows that follow the order, so a hot source is split over many
-    tasks. The schedule takes sources x shares steps in one row; the blocks are one row per ``block`` rows.
+    tasks. The schedule takes sources x shares steps in one row; the blocks are one row per ``block`` rows. What is known of
+    sources, buckets and blocks is broadcast to the rows while it is at most BROADCAST_ROWS rows, and joined by its keys beyond.
     """
     shares = shares_by_temperature(docs) if shares is None else shares
     weights = shares.groupBy(F.col("source").alias("__weighted")).agg(F.max("share").cast("long").alias("__given"))
@@ -71,6 +75,8 @@ def mix(docs: DataFrame, shares: DataFrame | None = None, block: int = 64, bucke
         .join(weights, F.col("__source").eqNullSafe(F.col("__weighted")), "left")
         .select("__source", "__n", F.greatest(F.lit(1), F.coalesce("__given", F.lit(1))).alias("__share"))
     )
+    sizes = sources.agg(F.count("*"), F.sum(F.ceil(F.col("__n") / bucket)), F.sum(F.ceil(F.col("__n") / block))).first()
+    few = [F.broadcast if (n or 0) <= BROADCAST_ROWS else (lambda frame: frame) for n in sizes]
     # One row: all sources with their counts and shares, and the schedule of one period.
     held = F.array_sort(F.collect_list(F.struct("__source", "__n", "__share")))
     plan = sources.agg(held.alias("all")).where(F.size("all") > 0)
@@ -117,7 +123,7 @@ def mix(docs: DataFrame, shares: DataFrame | None = None, block: int = 64, bucke
     split = sources.select(F.col("__source").alias("__of"), F.ceil(F.col("__n") / bucket).alias("__buckets"))
     bucketed = (
         docs.withColumn("__order", F.md5(text))
-        .join(split, F.col("source").eqNullSafe(F.col("__of")))
+        .join(few[0](split), F.col("source").eqNullSafe(F.col("__of")))
         .withColumn("__high", F.conv(F.substring("__order", 1, 8), 16, 10).cast("long"))
         .withColumn("__bucket", F.shiftright(F.col("__high") * F.col("__buckets"), 32))
         .drop("__of", "__high", "__buckets")
@@ -131,12 +137,12 @@ def mix(docs: DataFrame, shares: DataFrame | None = None, block: int = 64, bucke
     )
     numbered = (
         bucketed.withColumn("__rank", F.row_number().over(own) - 1)
-        .join(offsets, F.col("source").eqNullSafe(F.col("__of")) & (F.col("__bucket") == F.col("__in")))
+        .join(few[1](offsets), F.col("source").eqNullSafe(F.col("__of")) & (F.col("__bucket") == F.col("__in")))
         .withColumn("__number", F.col("__before") + F.col("__rank"))
     )
     same = F.col("source").eqNullSafe(F.col("__placed")) & (F.floor(F.col("__number") / block) == F.col("__place"))
     kept = [name for name in docs.columns if name not in ("block", "slot", "position")]
-    return numbered.join(placed, same).select(
+    return numbered.join(few[2](placed), same).select(
         *kept,
         F.col("__place").alias("block"),
         F.col("__slot").alias("slot"),
