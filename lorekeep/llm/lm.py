@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from hashlib import blake2b
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,9 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.common import small_batches, written
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-END = 1  # key of the end token; word keys are odd hashes above it
+END = 1  # key of the end token; word keys are odd hashes
 BLOCK_CHARS = 8_000_000
 PART_CHARS = 8_000_000
 CONTEXTS = 16  # buckets of the count of the context: 0, 1, 2-3, 4-7, ...
@@ -23,24 +18,29 @@ ROUNDS = 60
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokenize(texts: list[str], seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the tokens of all texts, an end behind each text, and the number of tokens of each."""
-    keys, sizes = [], []
-    for text in texts:
-        own = WORD.findall(text.translate(LOWER))
-        for word in own:
-            if word not in seen:
-                seen[word] = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little") | 1
-        keys += map(seen.__getitem__, own)
-        keys.append(END)
-        sizes.append(len(own) + 1)
-    return np.array(keys, np.uint64), np.array(sizes, np.int64)
-
-
-def pair_keys(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Keys of (token before, token); the token before the first one is the end of a text before. Pair keys are even."""
-    before = np.concatenate([keys[:1], keys[:-1]])
-    before[np.cumsum(sizes) - sizes] = END
+def tokenize(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct token keys of some texts, and for each token, with an end behind each text, its place among them, and the number
+    of tokens of each text.
+
+    Words are what stands between ASCII white space, with A-Z lower-cased: what bytes.lower and bytes.split do.
+    """
+    import xxhash
+
+    own = [text.encode().lower().split() for text in texts]
+    seen = {word: place for place, word in enumerate(set().union(*own), 1)}
+    keys = np.empty(len(seen) + 1, np.uint64)
+    keys[0] = END
+    keys[1:] = np.fromiter((xxhash.xxh3_64_intdigest(word) for word in seen), np.uint64, len(seen)) | np.uint64(1)
+    sizes = np.array([len(ws) + 1 for ws in own], np.int64)
+    token = np.zeros(sizes.sum(), np.int64)
+    inside = np.ones(len(token), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    token[inside] = np.fromiter((i for ws in own for i in map(seen.__getitem__, ws)), np.int64, len(token) - len(texts))
+    return keys, token, sizes
+
+
+def pair_keys(before: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Keys of (token before, token); pair keys are even, token keys odd."""
     with np.errstate(over="ignore"):
         mixed = (before * PAIR) ^ (before >> np.uint64(29))
         mixed = (mixed + keys) * np.uint64(0xBF58476D1CE4E5B9)
@@ -49,21 +49,28 @@ def pair_keys(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The texts of a block as keys, with the sorted distinct keys of its tokens and pairs."""
+    """The texts of a block as keys, with the sorted distinct keys of its tokens and pairs.
+
+    The token before the first one of a text is the end of another.
+    """
 
     def __init__(self, texts: list[str], trained: np.ndarray) -> None:
-        self.keys, self.sizes = tokenize(texts, {})
+        keys, place, self.sizes = tokenize(texts)
         self.trained = np.repeat(trained, self.sizes)
-        pairs = pair_keys(self.keys, self.sizes)
-        self.distinct, at = np.unique(np.concatenate([self.keys, pairs]), return_inverse=True)
-        self.token, self.pair = at[: len(self.keys)], at[len(self.keys) :]
-        weight = np.concatenate([self.trained, self.trained])
-        self.counts = np.bincount(at[weight], minlength=len(self.distinct))
-
-    def before(self, of_token: np.ndarray) -> np.ndarray:
-        """Of each token the value of the token before it; END's value before the first."""
+        self.first = np.cumsum(self.sizes) - self.sizes
+        before = self.before(place, 0)
+        pairs, pair = np.unique(before * len(keys) + place, return_inverse=True)
+        both = np.concatenate([keys, pair_keys(keys[pairs // len(keys)], keys[pairs % len(keys)])])
+        self.distinct, at = np.unique(both, return_inverse=True)
+        self.token, self.pair = at[place], at[len(keys) + pair]
+        counts = np.bincount(self.token[self.trained], minlength=len(self.distinct))
+        self.counts = counts + np.bincount(self.pair[self.trained], minlength=len(self.distinct))
+        self.end = at[0]
+
+    def before(self, of_token: np.ndarray, end: float) -> np.ndarray:
+        """Of each token the value of the token before it; ``end`` before the first."""
         out = np.concatenate([of_token[:1], of_token[:-1]])
-        out[np.cumsum(self.sizes) - self.sizes] = of_token[np.cumsum(self.sizes) - 1]
+        out[self.first] = end
         return out
 
 
@@ -153,7 +160,7 @@ def _totals(block: Block, back: pa.Table) -> tuple[np.ndarray, np.ndarray, np.nd
     sent = back.column("totals").to_pylist()
     total = np.concatenate([_unpacked(sent[i]) for i in order]).astype(np.float64)
     single = total[block.token]
-    return total[block.pair], block.before(single), single
+    return total[block.pair], block.before(single, total[block.end]), single
 
 
 def _context(count: np.ndarray) -> np.ndarray:
@@ -213,15 +220,14 @@ def _score(weights: np.ndarray, total: float, distinct: float):
         # Where the context was never seen, the bigram has no estimate and its share goes to the others.
         probability = np.where(before > 0, probability, probability / (mix[1] + mix[2]))
         base = np.log10((single + 0.5) / (total + 0.5 * (distinct + 1)))
-        starts = np.cumsum(block.sizes) - block.sizes
         kept = {name: docs.column(name) for name in docs.column_names if name not in ("text", "block", "trained")}
         return pa.table(
             kept
             | {
                 "n_tokens": pa.array(block.sizes),
-                "n_known": pa.array(np.add.reduceat((single > 0).astype(np.int64), starts)),
-                "base_score": pa.array(np.add.reduceat(base, starts)),
-                "score": pa.array(np.add.reduceat(np.log10(probability), starts)),
+                "n_known": pa.array(np.add.reduceat((single > 0).astype(np.int64), block.first)),
+                "base_score": pa.array(np.add.reduceat(base, block.first)),
+                "score": pa.array(np.add.reduceat(np.log10(probability), block.first)),
             }
         )
 

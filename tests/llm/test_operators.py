@@ -20,6 +20,7 @@ tokenizers = pytest.importorskip("tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = "toxicity string, block string, slot string, kept string, ids string, score string, __h string"
 RANDOM = random.Random(3)
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = ["".join(RANDOM.choice("abcdefghij") for _ in range(RANDOM.randint(2, 7))) for _ in range(400)]
 
 
@@ -253,7 +254,7 @@ def test_utf8_stream_cuts_anywhere():
 def test_lm_scores(spark, docs, nothing):
     trained = docs.withColumn("trained", fold(F.col("doc_id")) != 1).select("doc_id", "text", "trained", "score")
     got = lm.score(trained).collect()
-    tokens = lambda t: [w.translate(lm.LOWER) for w in words(t)] + [None]
+    tokens = lambda t: [w.translate(LOWER) for w in words(t)] + [None]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, *_ in ROWS]
     counts = Counter(w for (_, t, *_), out in zip(ROWS, held, strict=True) if not out for w in tokens(t))
     total, distinct = sum(counts.values()), len(counts)
