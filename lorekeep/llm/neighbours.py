@@ -26,26 +26,29 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(wide, lambda x: x != 0), F.lit(False))
 
 
-def _units(lists: pa.Array, width: int) -> np.ndarray:
-    """Vectors of a list column as unit rows, shorter ones filled up with zeros."""
+def _filled(lists: pa.Array, width: int) -> np.ndarray:
+    """Vectors of a list column as rows, shorter ones filled up with zeros; by a power of two, exactly, below 1."""
     sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy().astype(np.float64)
     out = np.zeros((len(sizes), width))
     out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    out /= np.abs(out).max(1, keepdims=True)
-    return out / np.sqrt((out * out).sum(1, keepdims=True))
+    return np.ldexp(out, -np.frexp(np.abs(out).max(1, keepdims=True))[1])
 
 
-def _half(binary: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(binary.to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
+def _units(binary: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Unit rows in double precision from packed vectors, which keep the precision of the table (4 or 8 bytes a component)."""
+    packed = binary.to_pylist()
+    kind = np.float64 if packed and len(packed[0]) == 8 * width else np.float32
+    out = np.frombuffer(b"".join(packed), kind).reshape(-1, width).astype(np.float64)
+    return out / np.sqrt((out * out).sum(1, keepdims=True))
 
 
 def _first_groups(nodes: DataFrame, width: int, count: int, rounds: int = TURNS) -> DataFrame:
     """Nodes with groups of about GROUP nodes on the same side of random planes, several times over."""
     bits = max(0, int(np.ceil(np.log2(max(1, count) / GROUP))))
-    planes = np.random.default_rng(5).standard_normal((rounds, width, bits)).astype(np.float32)
+    planes = np.random.default_rng(5).standard_normal((rounds, width, bits))
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
-        units = _half(batch.column(1), width)
+        units = _units(batch.column(1), width)
         codes = [((units @ p > 0) @ (1 << np.arange(bits))).astype(np.int64) if bits else np.zeros(len(units), np.int64) for p in planes]
         both = [pa.array(np.tile(batch.column(0).to_numpy(), rounds)), pa.array(batch.column(1).to_pylist() * rounds, pa.binary())]
         turn = np.repeat(np.arange(rounds, dtype=np.int32), len(units))
@@ -55,7 +58,7 @@ def _first_groups(nodes: DataFrame, width: int, count: int, rounds: int = TURNS)
     sizes = placed.groupBy(F.col("turn").alias("__t"), F.col("code").alias("__c")).agg(F.count("*").alias("__n"))
     split = F.pmod(F.xxhash64("node", "turn"), F.ceil(F.col("__n") / GROUP))
     return placed.join(sizes, (F.col("turn") == F.col("__t")) & (F.col("code") == F.col("__c"))).select(
-        F.xxhash64("turn", "code", split).alias("__g"), "node", "unit", F.lit(-2.0).cast("float").alias("worst"), F.lit(True).alias("fresh")
+        F.xxhash64("turn", "code", split).alias("__g"), "node", "unit", F.lit(-2.0).alias("worst"), F.lit(True).alias("fresh")
     )
 
 
@@ -65,7 +68,7 @@ def _local_join(width: int, most: int):
     def run(table: pa.Table) -> pa.RecordBatch | None:
         group, node, worst = (table.column(c).to_numpy() for c in ("__g", "node", "worst"))
         fresh = table.column("fresh").to_numpy()
-        units = _half(table.column("unit"), width)
+        units = _units(table.column("unit"), width)
         edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])).tolist()
         left, right, near = [], [], []
         for a, b in zip(edges, edges[1:], strict=False):
@@ -109,7 +112,7 @@ def _nearest(degree: int):
     return run
 
 
-EDGES = "node long, other long, near float, fresh boolean"
+EDGES = "node long, other long, near double, fresh boolean"
 
 
 def build_graph(nodes: DataFrame, width: int, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
@@ -127,9 +130,9 @@ def build_graph(nodes: DataFrame, width: int, degree: int = DEGREE, rounds: int
     vectors = nodes.select(F.col("node").alias("__node"), "unit")
     for _ in range(rounds):
         worst = edges.groupBy(F.col("node").alias("__of")).agg(
-            F.when(F.count("*") >= degree, F.min("near")).otherwise(F.lit(-2.0)).cast("float").alias("worst")
+            F.when(F.count("*") >= degree, F.min("near")).otherwise(F.lit(-2.0)).alias("worst")
         )
-        held = vectors.join(worst, F.col("__node") == F.col("__of"), "left").select("__node", "unit", F.coalesce("worst", F.lit(-2.0).cast("float")).alias("worst"))
+        held = vectors.join(worst, F.col("__node") == F.col("__of"), "left").select("__node", "unit", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
         back = Window.partitionBy("other").orderBy(F.desc("near"), "node")
         reverse = edges.withColumn("__k", F.row_number().over(back)).where(F.col("__k") <= REVERSE)
         members = edges.select(F.col("node").alias("__g"), F.col("other").alias("node"), "fresh").unionByName(
@@ -163,9 +166,9 @@ def _step(width: int):
         asked, first = np.unique(query[old], return_index=True)
         packed = table.column("query_unit").take(pa.array(old[first])).combine_chunks()
         near = near.copy()
-        own = _half(packed, width)
-        for part in np.array_split(new, len(new) // 50_000 + 1):
-            units = _half(table.column("unit").take(pa.array(part)), width)
+        own = _units(packed, width)
+        for part in np.array_split(new, len(new) * width // 2_000_000 + 1):
+            units = _units(table.column("unit").take(pa.array(part)), width)
             near[part] = (own[np.searchsorted(asked, query[part])] * units).sum(1)
         order = np.lexsort((~done, node, query))
         once = np.concatenate([[True], (np.diff(query[order]) != 0) | (np.diff(node[order]) != 0)])
@@ -189,8 +192,8 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, width: int, r
     """
     around = written(_adjacency(edges), "ann-adjacency")
     vectors = nodes.select(F.col("node").alias("__node"), "unit")
-    state = "query long, query_unit binary, node long, near float, done boolean"
-    beam = queries.select("query", "query_unit", "node", F.lit(1.0).cast("float").alias("near"), F.lit(False).alias("done"))
+    state = "query long, query_unit binary, node long, near double, done boolean"
+    beam = queries.select("query", "query_unit", "node", F.lit(1.0).alias("near"), F.lit(False).alias("done"))
     for _ in range(rounds):
         order = Window.partitionBy("query").orderBy("done", F.desc("near"), "node")
         ranked = beam.withColumn("__k", F.row_number().over(order))
@@ -200,7 +203,7 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, width: int, r
             "query",
             F.lit(None).cast("binary").alias("query_unit"),
             "node",
-            F.lit(float("nan")).cast("float").alias("near"),
+            F.lit(float("nan")).alias("near"),
             F.lit(False).alias("done"),
             "unit",
         )
@@ -217,8 +220,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
 
     Rows whose vector is null, zero or has null or non-finite components take no part. Equal vectors are one node of the graph, with the k + 1
     smallest ids of its rows, all that an answer can need, so a hot vector is one node. Vectors of different lengths are
-    compared as if filled up with zeros. The graph holds half-precision unit vectors; the 3k nearest nodes found are scored again
-    in double precision on the original vectors. Ties go to the smaller id; a query with fewer than k other rows gets them all.
+    compared as if filled up with zeros. Graph and search hold the vectors in the precision of the table and take cosines
+    in double precision, so near copies keep their order; all BEAM nodes found are scored on the original vectors. Ties go to the smaller id; a query with fewer than k other rows gets them all.
     Returns query_id, rank (from 1), vec_id, score.
     """
     fine = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).withColumn("__vector", F.col("embedding").cast("array<double>"))
@@ -228,9 +231,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     if width is None:
         return fine.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
 
+    kind = np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+
     def units(batch: pa.RecordBatch) -> pa.RecordBatch:
-        half = _units(batch.column(1), width).astype(np.float16)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([u.tobytes() for u in half], pa.binary()), batch.column(1)], ["node", "unit", "vector"])
+        packed = _filled(batch.column(1), width).astype(kind)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([u.tobytes() for u in packed], pa.binary()), batch.column(1)], ["node", "unit", "vector"])
 
     nodes = written(arrow_map(grouped.select("node", "__vector"), units, "node long, unit binary, vector array<double>"), "ann-nodes")
     member = grouped.select(F.col("__vector").alias("__same"), "node")
@@ -240,13 +245,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     asks = rows.where("__asks").select(F.col("vec_id").alias("query"), "node").distinct()
     asked = written(asks.join(nodes.select(F.col("node").alias("__node"), F.col("unit").alias("query_unit")), F.col("node") == F.col("__node")).drop("__node"), "ann-queries")
     found = search(asked, nodes, build_graph(nodes, width), width)
-    close = Window.partitionBy("query").orderBy(F.desc("near"), "node")
-    best = found.withColumn("__k", F.row_number().over(close)).where(F.col("__k") <= 3 * k).select("query", "node")
     exact = nodes.select(F.col("node").alias("__node"), "vector")
     own = asked.select(F.col("query").alias("__query"), F.col("node").alias("__home")).join(exact, F.col("__home") == F.col("__node")).select("__query", F.col("vector").alias("__asked"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
     scored = (
-        best.join(exact, F.col("node") == F.col("__node"))
+        found.select("query", "node").join(exact, F.col("node") == F.col("__node"))
         .join(own, F.col("query") == F.col("__query"))
         .withColumn("score", dot("vector", "__asked") / (F.sqrt(dot("vector", "vector")) * F.sqrt(dot("__asked", "__asked"))))
         .join(ids, F.col("node") == F.col("__of"))

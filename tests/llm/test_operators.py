@@ -207,6 +207,23 @@ def test_nearest_against_brute_force(spark):
     assert neighbours.nearest(frame.where("vec_id >= 600"), F.lit(True)).count() == 0
 
 
+def test_nearest_in_a_cluster_of_near_copies(spark):
+    generator = np.random.default_rng(2)
+    centre = generator.standard_normal(64)
+    for kind, jitter in (("float", 8e-3), ("double", 1e-6)):
+        held = centre + jitter * generator.standard_normal((2000, 64))
+        held = held.astype(np.float32 if kind == "float" else np.float64).astype(np.float64)
+        frame = spark.createDataFrame(list(enumerate(held.tolist())), f"vec_id long, embedding array<{kind}>")
+        got = defaultdict(set)
+        for r in neighbours.nearest(frame, F.col("vec_id") % 40 == 0).collect():
+            got[r["query_id"]].add(r["vec_id"])
+        unit = held / np.linalg.norm(held, axis=1, keepdims=True)
+        # The square of the distance orders as the cosine does, and keeps more digits.
+        apart = {q: ((unit - unit[q]) ** 2).sum(1) for q in range(0, 2000, 40)}
+        hits = sum(len(got[q] & set(np.argsort(d)[1:6].tolist())) for q, d in apart.items())
+        assert set(got) == set(apart) and hits >= 0.95 * 250
+
+
 # ---------------------------------------------------------------- 6, 7
 
 ALPHABET = "aaaabcdeé ß\n\t  \x1c\x1f\x85\xa0 　'stre 123٣六!!##$🎉日本語ـ́‍"
