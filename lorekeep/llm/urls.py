@@ -72,7 +72,6 @@ def fixed_rule(host: Column, path: Column, rules: Sequence[HostRule]) -> Column:
 def mine(
     pages: DataFrame,
     labels: DataFrame,
-    min_support: float = 0.001,
     min_count: int = 20,
     min_confidence: float = 0.6,
     max_rules: int = 20_000,
@@ -81,7 +80,7 @@ def mine(
 
     FP-growth runs over the tokens of all labelled pages with the label as one more token. Rules that end in the label are
     kept from ``min_confidence`` on, if no rule over fewer of their tokens is as confident. At least ``min_count`` pages
-    must bear a rule out. More than ``max_rules`` raise, because the rules are sent to every task; none are dropped.
+    must bear a rule out, however many are labelled. More than ``max_rules`` raise, because the rules are sent to every task; none are dropped.
     """
     labelled = (
         pages.join(labels.where("page_id IS NOT NULL").groupBy("page_id").agg(F.max("block").alias("__block")), "page_id")
@@ -92,14 +91,14 @@ def mine(
     rows = labelled.count()
     if not rows:
         return []
-    support = min(1.0, max(min_support, min_count / rows))
+    support = min(1.0, (min_count - 0.5) / rows)  # half a page less, as FP-growth rounds the product up
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(labelled)
     found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(
         F.array_sort("antecedent").alias("tokens"), "confidence", "support"
     )
     held = [Mined(tuple(r["tokens"]), r["confidence"], r["support"]) for r in found.limit(max_rules + 1).collect()]
     if len(held) > max_rules:
-        raise ValueError(f"more than {max_rules} rules: raise min_support or min_confidence")
+        raise ValueError(f"more than {max_rules} rules: raise min_count or min_confidence")
     kept: list[Mined] = []
     index: dict[str, list[frozenset]] = defaultdict(list)
     for rule in sorted(held, key=lambda r: (-r.confidence, len(r.tokens), r.tokens)):

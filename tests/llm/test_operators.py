@@ -119,6 +119,15 @@ def test_rules_are_mined_from_labels_and_matched(spark):
     assert urls.mine(pages, labels.limit(0)) == []
 
 
+def test_evidence_for_a_rule_does_not_depend_on_the_table(spark):
+    pages = spark.range(30_000).select(
+        F.col("id").alias("page_id"), F.expr("IF(id < 20, 'https://spam.example.org/', 'https://news.example.org/') || id").alias("url")
+    )
+    labels = pages.select("page_id", (F.col("page_id") < 20).alias("block"))
+    for n in (100, 30_000):
+        assert {r.tokens for r in urls.mine(pages.where(F.col("page_id") < n), labels)} == {("host=spam",)}
+
+
 # ---------------------------------------------------------------- 3
 
 
