@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Sequence
+from itertools import product
+from math import prod
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -11,9 +13,10 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import arrow_map
+from lorekeep.llm.common import arrow_map, written
 
 BLOCK = "label=block"
+BROADCAST_TOKENS = 100_000
 
 
 class HostRule(NamedTuple):
@@ -80,33 +83,60 @@ def mine(
 
     FP-growth runs over the tokens of all labelled pages with the label as one more token. Rules that end in the label are
     kept from ``min_confidence`` on, if no rule over fewer of their tokens is as confident. At least ``min_count`` pages
-    must bear a rule out, however many are labelled. More than ``max_rules`` raise, because the rules are sent to every task; none are dropped.
+    must bear a rule out, however many are labelled. Tokens that occur in exactly the same labelled pages are one item of
+    FP-growth, and each of them stands in the rules over it, so copies of a long URL do not list all subsets of its tokens.
+    More than ``max_rules`` that are left raise, because the rules are sent to every task; none are dropped.
     """
     labelled = (
         pages.join(labels.where("page_id IS NOT NULL").groupBy("page_id").agg(F.max("block").alias("__block")), "page_id")
-        .select(tokens_of(F.col("url")).alias("__tokens"), "__block")
+        .select(F.coalesce("__block", F.lit(False)).alias("__block"), tokens_of(F.col("url")).alias("__tokens"))
         .where(F.size("__tokens") > 0)
-        .select(F.when(F.col("__block"), F.array_append("__tokens", F.lit(BLOCK))).otherwise(F.col("__tokens")).alias("items"))
+        .withColumn("__page", F.monotonically_increasing_id())
     )
+    labelled = written(labelled, "url-tokens")
     rows = labelled.count()
     if not rows:
         return []
-    support = min(1.0, (min_count - 0.5) / rows)  # half a page less, as FP-growth rounds the product up
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(labelled)
+    # The same pages: as many, and the same sums of two hashes of them.
+    each = labelled.select("__page", "__block", F.explode("__tokens").alias("__token"))
+    summed = [F.sum(F.xxhash64("__page", F.lit(salt)).cast("decimal(38,0)")).alias(f"__sum{salt}") for salt in (0, 1)]
+    tokens = each.groupBy("__token").agg(F.count("*").alias("__n"), F.count_if("__block").alias("__b"), *summed).where(F.col("__b") >= min_count)
+    groups = tokens.groupBy("__n", "__sum0", "__sum1").agg(F.min("__token").alias("__item"), F.collect_list("__token").alias("__same"))
+    groups = written(groups.select("__item", "__same"), "url-items")
+    # One token of a group stands for it; the others are dropped, and with them what no rule can hold.
+    wanted = groups.select(F.col("__item").alias("__token"))
+    few = F.broadcast if groups.count() <= BROADCAST_TOKENS else (lambda frame: frame)
+    merged = each.join(few(wanted), "__token").groupBy("__page").agg(F.first("__block").alias("__block"), F.collect_list("__token").alias("__items"))
+    items = F.when(F.col("__block"), F.array_append("__items", F.lit(BLOCK))).otherwise(F.col("__items"))
+    merged = written(merged.select(items.alias("items")), "url-merged")
+    held = merged.count()
+    if not held:
+        return []
+    support = min(1.0, (min_count - 0.5) / held)  # half a page less, as FP-growth rounds the product up
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(merged)
     found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(
-        F.array_sort("antecedent").alias("tokens"), "confidence", "support"
+        F.array_sort("antecedent").alias("tokens"), "confidence", (F.col("support") * held / rows).alias("support")
     )
-    held = [Mined(tuple(r["tokens"]), r["confidence"], r["support"]) for r in found.limit(max_rules + 1).collect()]
-    if len(held) > max_rules:
+    found = written(found, "url-rules")
+    kept, size = [], 0
+    while (size := found.agg(F.min(F.size("tokens"))).first()[0]) is not None:
+        least = found.where(F.size("tokens") == size)
+        kept += least.limit(max_rules + 1 - len(kept)).collect()
+        if len(kept) > max_rules:
+            raise ValueError(f"more than {max_rules} rules: raise min_count or min_confidence")
+        shorter = least.select(F.col("tokens")[0].alias("__first"), F.col("tokens").alias("__short"), F.col("confidence").alias("__as"))
+        longer = found.where(F.size("tokens") > size).withColumn("__first", F.explode("tokens"))
+        idle = longer.join(F.broadcast(shorter), "__first").where((F.col("__as") >= F.col("confidence")) & (F.size(F.array_except("__short", "tokens")) == 0))
+        rest = found.where(F.size("tokens") > size).join(idle.select("tokens").distinct(), "tokens", "left_anti")
+        found = written(rest, "url-rules")
+    if not kept:
+        return []
+    used = pages.sparkSession.createDataFrame([(t,) for t in {t for r in kept for t in r["tokens"]}], "__item string")
+    same = {r["__item"]: sorted(r["__same"]) for r in groups.join(F.broadcast(used), "__item").collect()}
+    if sum(prod(len(same[t]) for t in r["tokens"]) for r in kept) > max_rules:
         raise ValueError(f"more than {max_rules} rules: raise min_count or min_confidence")
-    kept: list[Mined] = []
-    index: dict[str, list[frozenset]] = defaultdict(list)
-    for rule in sorted(held, key=lambda r: (-r.confidence, len(r.tokens), r.tokens)):
-        own = frozenset(rule.tokens)
-        if not any(shorter <= own for token in own for shorter in index[token]):
-            kept.append(rule)
-            index[min(own)].append(own)
-    return kept
+    rules = [Mined(tuple(sorted(one)), r["confidence"], r["support"]) for r in kept for one in product(*[same[t] for t in r["tokens"]])]
+    return sorted(rules, key=lambda r: (-r.confidence, len(r.tokens), r.tokens))
 
 
 def judge(pages: DataFrame, rules: Sequence[HostRule], mined: Sequence[Mined]) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -128,6 +129,38 @@ def test_evidence_for_a_rule_does_not_depend_on_the_table(spark):
         assert {r.tokens for r in urls.mine(pages.where(F.col("page_id") < n), labels)} == {("host=spam",)}
 
 
+def test_copies_of_a_long_url_give_short_rules(spark):
+    words = [chr(97 + i // 26) + chr(97 + i % 26) + "q" for i in range(60)]
+    hot, clean = (f"https://{site}.example.org/" + "/".join(own) for site, own in (("spam", words[:30]), ("news", words[30:])))
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.expr(f"IF(id < 25, '{hot}', '{clean}')").alias("url"))
+    mined = urls.mine(pages, pages.select("page_id", (F.col("page_id") < 25).alias("block")))
+    assert sorted(r.tokens for r in mined) == sorted([("host=spam",), *((f"path={w}",) for w in words[:30])])
+    assert all(r.confidence == 1 and r.support == 25 / 60 for r in mined)
+
+
+def test_mined_rules_against_brute_force(spark):
+    random = np.random.default_rng(4)
+    drawn = random.random((300, 5)) < 0.5
+    rows = [(i, "x://h/" + "/".join(w + v for w, on in zip("abcde", own, strict=True) if on for v in ("x", "y"))) for i, own in enumerate(drawn)]
+    block = (drawn[:, 0] & drawn[:, 1]) | (drawn[:, 2] & (random.random(300) < 0.7))
+    items = {"scheme=x": np.ones(300, bool), "host=h": np.ones(300, bool)}
+    items |= {f"path={w}{v}": drawn[:, i] for i, w in enumerate("abcde") for v in "xy"}
+    want, confidence = {}, {}
+    for size in range(1, 6):
+        for own in combinations(sorted(items), size):
+            met = np.logical_and.reduce([items[t] for t in own])
+            if (met & block).sum() >= 20:
+                confidence[own] = (met & block).sum() / met.sum()
+                less = max((confidence[sub] for n in range(1, size) for sub in combinations(own, n)), default=0)
+                if confidence[own] >= 0.6 and confidence[own] > less:
+                    want[own] = confidence[own]
+    mined = urls.mine(
+        spark.createDataFrame(rows, "page_id long, url string"),
+        spark.createDataFrame(list(enumerate(block.tolist())), "page_id long, block boolean"),
+    )
+    assert {r.tokens: round(r.confidence, 9) for r in mined} == {t: round(c, 9) for t, c in want.items()} and len(mined) == len(want)
+
+
 # ---------------------------------------------------------------- 3
 
 
