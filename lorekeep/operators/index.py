@@ -109,16 +109,28 @@ def first_copies(df: DataFrame, text: str = "text", keep: str = "doc_id") -> Dat
 
 
 def dedup(df: DataFrame, text: str = "text", keep: str = "doc_id") -> DataFrame:
-    """The first document of each content.
+    """One row of each content (a null text is a content too): that with the smallest ``keep``, one without an id only if none has one.
 
-    Only the surplus copies, ids without texts, meet the table, in an anti join; where they are few Spark broadcasts them and
-    no text moves. Rows without an id stay.
+    Ids may repeat, also under different contents: every content keeps a row. Among rows of one content and id the one
+    with the smallest hash of all its columns stays, and of rows that are equal throughout, one. Contents, ids and hashes
+    alone are grouped, with partial counts per task; their repeats meet the table in one join, so no text
+    moves where they are few enough to broadcast. Only rows that are equal throughout are grouped as a whole.
     """
-    hashed = df.select(F.col(keep).alias("__id"), content_hash(F.col(text)).alias("__hash"))
-    firsts = first_copies(df, text, keep).where("copies > 1").withColumnRenamed(keep, "__first")
-    same = F.col("__hash").eqNullSafe(F.col("content_sha256"))
-    surplus = hashed.join(firsts, same).where("__id <> __first").select(F.col("__id").alias(keep))
-    return df.join(surplus, keep, "left_anti")
+    maps = {f.name for f in df.schema if "map<" in f.dataType.simpleString()}
+    row = F.xxhash64(*[F.to_json(name) if name in maps else F.col(name) for name in df.columns])
+    hashed = df.withColumns({"__hash": content_hash(F.col(text)), "__order": F.struct(F.col(keep).isNull(), F.col(keep), row)})
+    counted = hashed.groupBy("__hash", "__order").agg(F.count(F.lit(1)).alias("__same"))
+    firsts = (
+        counted.groupBy(F.col("__hash").alias("__content"))
+        .agg(F.min("__order").alias("__first"), F.min_by("__same", "__order").alias("__equal"), F.sum("__same").alias("__copies"))
+        .where("__copies > 1")
+    )
+    met = hashed.join(firsts, F.col("__hash").eqNullSafe(F.col("__content")), "left")
+    lone = met.where(F.col("__copies").isNull() | ((F.col("__order") == F.col("__first")) & (F.col("__equal") == 1)))
+    equal = firsts.where("__equal > 1").select("__content", "__first")
+    again = hashed.join(equal, F.col("__hash").eqNullSafe(F.col("__content")) & (F.col("__order") == F.col("__first")))
+    one = again.groupBy("__hash").agg(F.any_value(F.struct(*df.columns)).alias("__row"))
+    return lone.select(*df.columns).unionByName(one.select("__row.*"))
 
 
 def since(df: DataFrame, marks: DataFrame, key: str = "source", modified: str = "modified") -> DataFrame:

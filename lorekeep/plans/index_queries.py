@@ -297,12 +297,19 @@ def upsert_latest(spark, sf_dir):
 
 @query(
     "exact_dedup",
-    """SELECT doc_id, sha256(text) AS content_sha256, lang FROM documents
-WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)""",
+    """WITH rows AS (SELECT doc_id, text FROM documents
+  UNION ALL SELECT CASE WHEN doc_id % 11 > 0 THEN doc_id // 3 END, CASE WHEN doc_id % 13 > 0 THEN text || '!' END FROM documents
+  UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 5 = 0)
+SELECT min(doc_id) AS doc_id, sha256(text) AS content_sha256 FROM rows GROUP BY text""",
 )
 def exact_dedup(spark, sf_dir):
-    kept = ix.dedup(b.table(spark, sf_dir, "documents", "doc_id"))
-    return kept.select("doc_id", content_hash(F.col("text")).alias("content_sha256"), "lang")
+    """The documents; again with repeated and null ids over other contents and null texts; and a fifth of the rows once more."""
+    docs = b.table(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
+    other = docs.select(
+        F.expr("IF(doc_id % 11 > 0, doc_id DIV 3, NULL)").alias("doc_id"), F.expr("IF(doc_id % 13 > 0, text || '!', NULL)").alias("text")
+    )
+    rows = docs.unionByName(other).unionByName(docs.where("doc_id % 5 = 0"))
+    return ix.dedup(rows).select("doc_id", content_hash(F.col("text")).alias("content_sha256"))
 
 
 @query(

@@ -196,6 +196,18 @@ def test_upsert_replace_delete(spark):
     assert stats == {"s/": 3, "n/": 1, None: 4}
 
 
+def test_dedup_keeps_every_content(spark):
+    get = lambda rows: sorted(map(tuple, ix.dedup(spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>")).collect()), key=str)
+    rows = [(1, "a", None), (2, "a", None), (2, "b", None), (3, "c", None)]
+    assert get(rows) == [(1, "a", None), (2, "b", None), (3, "c", None)]
+    assert get([(None, "a", None), (2, "a", None), (None, "b", None), (None, "b", None)]) == [(2, "a", None), (None, "b", None)]
+    assert get([(4, None, None), (5, None, None), (None, None, None), (5, "", None)]) == [(4, None, None), (5, "", None)]
+    same = [(7, "x", {"k": 1})] * 5 + [(7, "x", {"k": 2})] * 3 + [(7, "y", {"k": 1})] * 2
+    got = get(same)
+    assert len(got) == 2 and got[0][:2] == (7, "x") and got[0][2] in ({"k": 1}, {"k": 2}) and got[1] == (7, "y", {"k": 1})
+    assert get([]) == []
+
+
 def test_dedup_changes_and_sync(spark):
     df = spark.createDataFrame([(i, "same" if i % 3 else f"t{i}") for i in range(30)], "doc_id int, text string")
     assert sorted(r.doc_id for r in ix.dedup(df).collect()) == sorted({0, 1} | {i for i in range(0, 30, 3)})
