@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, lm, mixing, near, neighbours, quality, shards, token_counts, toxicity, urls
+from lorekeep.llm import bpe, lm, mixing, near, neighbours, phrases, quality, shards, token_counts, toxicity, urls
 from lorekeep.llm.common import fold, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_copies", "n_links")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(load(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Query] = {
     run.__name__: run
     for run in (
@@ -97,6 +101,7 @@ QUERIES: dict[str, Query] = {
         op8_lm_scores,
         op9_shards,
         op10_jaccard_join,
+        op12_phrases,
     )
 }
 # The schedule is a recursion over the slots of one period; places follow from it by windows over blocks and rows.
@@ -138,4 +143,27 @@ counted AS (SELECT x, count(*) AS links, count(*) FILTER (WHERE same) AS copies
 SELECT doc_id, class_id, 1 + coalesce(copies, 0) AS n_copies, coalesce(links, 0) AS n_links
 FROM documents JOIN classes c ON c.x = doc_id LEFT JOIN counted n ON n.x = doc_id"""
 
-ORACLES: dict[str, str] = {"op1_mixing": MIXING_SQL, "op10_jaccard_join": JACCARD_SQL}
+# Every run of one to four words by its own explosion; products in 128 bits.
+PHRASES_SQL = r"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM (
+    SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+runs AS (SELECT lang, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS ws
+  FROM pieces, (VALUES (1), (2), (3), (4)) t(k) WHERE len(ws) >= k),
+f AS (SELECT lang, ws, count(*) AS f FROM runs GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM f WHERE len(ws) = 1 GROUP BY lang),
+phrases AS (SELECT lang, ws, f AS a FROM f WHERE len(ws) > 1 AND f >= 30),
+cuts AS (SELECT lang, ws, a, unnest(range(1, len(ws))) AS k FROM phrases),
+met AS (SELECT c.lang, c.ws, a, k, h.f AS l, t.f AS r, CAST(2000000 AS HUGEINT) * a // (CAST(h.f AS HUGEINT) + t.f) AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.ws = c.ws[1:k] JOIN f t ON t.lang = c.lang AND t.ws = c.ws[k + 1:]),
+best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT lang, ws[i:i + n - 1] AS ws, a FROM phrases, (VALUES (2), (3)) t(n), (VALUES (1), (2), (3)) u(i)
+  WHERE n < len(ws) AND i + n - 1 <= len(ws)),
+covers AS (SELECT lang, ws, max(a) AS longer FROM inside GROUP BY ALL),
+kept AS (SELECT b.lang, array_to_string(b.ws, ' ') AS phrase, a, l, r, score FROM best b LEFT JOIN covers c
+  ON c.lang = b.lang AND c.ws = b.ws WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op1_mixing": MIXING_SQL, "op10_jaccard_join": JACCARD_SQL, "op12_phrases": PHRASES_SQL}
