@@ -71,8 +71,9 @@ def slices(data: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, int]]:
         ahead, step = end, 4096
         while ahead < len(data):
             ahead = min(len(data), end + step)
-            inside = KIND[data[end:ahead]] == 0
-            if (np.diff(inside.astype(np.int8)) == -1).sum() >= LONGEST - 1:
+            closes = np.flatnonzero(np.diff((KIND[data[end:ahead]] == 0).astype(np.int8)) == -1)
+            if len(closes) >= LONGEST - 1:
+                ahead = end + int(closes[LONGEST - 2]) + 1
                 break
             step *= 2
         yield data[begin:ahead], end - begin

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, lm, mixing, near, neighbours, phrases, quality, shards, token_counts, toxicity, urls
+from lorekeep.llm import bpe, conversations, lm, mixing, near, neighbours, phrases, quality, shards, token_counts, toxicity, urls
 from lorekeep.llm.common import fold, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "n_copies", "n_links")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.damaged(load(spark, sf_dir, "conversations")))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(load(spark, sf_dir, "documents").select("lang", "text"))
 
@@ -101,6 +105,7 @@ QUERIES: dict[str, Query] = {
         op8_lm_scores,
         op9_shards,
         op10_jaccard_join,
+        op11_conversations,
         op12_phrases,
     )
 }
