@@ -53,6 +53,14 @@ class Words:
         return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self.distinct.to_pylist()), np.uint64, len(self.distinct))
 
 
+    def goes_on(self, hashed: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """For each word, and one place more, whether the pair of it and the next is in the bit set."""
+        out = np.zeros(len(self.ids) + LONGEST, bool)
+        at = np.flatnonzero(self.next_too)
+        out[at] = holds(pairs, pair_keys(hashed[self.ids[at]], hashed[self.ids[at + 1]]))
+        return out
+
+
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         mixed = (left * MIX) ^ (left >> np.uint64(31))
@@ -90,32 +98,43 @@ def by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
         yield lang, np.frombuffer("\n".join(own).encode(), np.uint8)
 
 
-def _key_counts(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    """Hashed words and pairs of neighbours with their counts."""
-    keys, counts = [], []
-    for lang, data in by_lang(batch):
-        for part, own in slices(data, SLICE_BYTES):
-            words = Words(part)
-            mine = int(np.searchsorted(words.starts, own))
-            if not mine:
-                continue
-            hashed = words.keys(lang)
-            keys.append(hashed)
-            counts.append(np.bincount(words.ids[:mine], minlength=len(hashed)))
-            at = np.flatnonzero(words.next_too[:mine])
-            pairs, times = np.unique(words.ids[at] * len(hashed) + words.ids[at + 1], return_counts=True)
-            keys.append(pair_keys(hashed[pairs // len(hashed)], hashed[pairs % len(hashed)]))
-            counts.append(times)
-    if not keys:
-        return None
-    key, count = np.concatenate(keys).view(np.int64), np.concatenate(counts)
-    some = count > 0  # a word may stand behind the slice only
-    return pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(count[some])], names=["key", "n"])
-
-
-def frequent_keys(docs: DataFrame, least: int) -> np.ndarray:
-    """A bit set of fixed greatest size over the hashed words and pairs that occur ``least`` times: never without one of them."""
-    counted = arrow_map(docs, _key_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def _key_counts(pairs: np.ndarray | None = None):
+    """Hashed words and pairs of neighbours with their counts; or the triples of which both pairs are in the bit set."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        keys, counts = [], []
+        for lang, data in by_lang(batch):
+            for part, own in slices(data, SLICE_BYTES):
+                words = Words(part)
+                mine = int(np.searchsorted(words.starts, own))
+                if not mine:
+                    continue
+                hashed, base = words.keys(lang), len(words.distinct)
+                if pairs is None:
+                    keys.append(hashed)
+                    counts.append(np.bincount(words.ids[:mine], minlength=base))
+                    at = np.flatnonzero(words.next_too[:mine])
+                    found, times = np.unique(words.ids[at] * base + words.ids[at + 1], return_counts=True)
+                    keys.append(pair_keys(hashed[found // base], hashed[found % base]))
+                else:
+                    goes_on = words.goes_on(hashed, pairs)
+                    at = np.flatnonzero(goes_on[:mine] & goes_on[1 : mine + 1])
+                    found, times = np.unique((words.ids[at] * base + words.ids[at + 1]) * base + words.ids[at + 2], return_counts=True)
+                    front = pair_keys(hashed[found // base // base], hashed[found // base % base])
+                    keys.append(pair_keys(front, hashed[found % base]))
+                counts.append(times)
+        if not keys:
+            return None
+        key, count = np.concatenate(keys).view(np.int64), np.concatenate(counts)
+        some = count > 0  # a word may stand behind the slice only
+        return pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(count[some])], names=["key", "n"])
+
+    return run
+
+
+def frequent_keys(docs: DataFrame, least: int, pairs: np.ndarray | None = None) -> np.ndarray:
+    """A bit set of fixed greatest size over the hashed words and pairs, or triples, that occur ``least`` times: never without one of them."""
+    counted = arrow_map(docs, _key_counts(pairs), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     often = written(counted.where(F.col("n") >= least).select("key"), "phrase-keys")
     bits = 1 << 10
     while bits < min(MAX_FILTER_BITS, often.count() * BITS_A_KEY):
@@ -143,11 +162,11 @@ def _distinct(columns: list[np.ndarray], base: int) -> tuple[np.ndarray, np.ndar
     return first, times
 
 
-def _windows(frequent: np.ndarray):
+def _windows(pairs: np.ndarray, triples: np.ndarray):
     """Batch of (lang, text) -> distinct padded windows of the longest order, with their counts.
 
-    A window is padded ('') from the end of its piece on, and from the first word or pair on that is known to be too rare
-    for any phrase; so no count of a frequent phrase is touched, and every word still has one window.
+    A window is padded ('') from the end of its piece on, and from the first word, pair or triple on that is known to be too
+    rare for any phrase; so no count of a frequent phrase is touched, and every word still has one window.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -160,15 +179,16 @@ def _windows(frequent: np.ndarray):
                     continue
                 hashed, base = words.keys(lang), len(words.distinct)
                 pad, ids = base, np.append(words.ids, [base] * LONGEST)
-                goes_on = np.zeros(len(ids), bool)
-                at = np.flatnonzero(words.next_too)
-                goes_on[at] = holds(frequent, pair_keys(hashed[ids[at]], hashed[ids[at + 1]]))
-                often = np.append(holds(frequent, hashed), False)
+                goes_on = words.goes_on(hashed, pairs)
+                both = np.zeros(len(ids), bool)
+                at = np.flatnonzero(goes_on[:-1] & goes_on[1:])
+                both[at] = holds(triples, pair_keys(pair_keys(hashed[ids[at]], hashed[ids[at + 1]]), hashed[ids[at + 2]]))
+                often = np.append(holds(pairs, hashed), False)
                 first = np.where(often[ids[:mine]], ids[:mine], pad)
-                alive, leads = first < pad, [first]
+                alive, leads = (first < pad) & goes_on[:mine], [first]
                 for k in range(1, LONGEST):
-                    alive = alive & goes_on[k - 1 : k - 1 + mine]
                     leads.append(np.where(alive, ids[k : k + mine], pad))
+                    alive = alive & both[k - 1 : k - 1 + mine]
                 long = np.flatnonzero(leads[1] < pad)
                 rest = np.bincount(first[leads[1] == pad], minlength=base + 1)
                 alone = np.flatnonzero(rest)
@@ -192,19 +212,22 @@ def grams(docs: DataFrame, least: int = 30, longest: int = LONGEST) -> DataFrame
 
     Each word opens one window of the longest order, padded behind its piece. Tasks count the distinct windows of a batch,
     Spark sums them, and one ROLLUP over the lead columns sums the shorter prefixes: a phrase of k words occurs as
-    often as it opens a window. Before that, hashed words and pairs are counted, and windows are padded from the first pair on that
-    is rarer than ``least``; a phrase with such a pair cannot be frequent, so all counts stay exact.
+    often as it opens a window. Before that, hashed words and pairs, then triples of frequent pairs, are counted, and windows are
+    padded from the first one on that is rarer than ``least``; a phrase with such a part cannot be frequent, so all counts stay exact.
     """
     own = docs.select(F.col("lang").cast("string").alias("lang"), "text")
-    frequent = frequent_keys(own, least)
+    pairs = frequent_keys(own, least)
+    triples = frequent_keys(own, least, pairs)
     fields = ", ".join(f"{name} string" for name in ["lang", *LEADS])
-    counted = arrow_map(own, _windows(frequent), f"{fields}, n long").groupBy("lang", *LEADS).agg(F.sum("n").alias("n"))
+    counted = arrow_map(own, _windows(pairs, triples), f"{fields}, n long").groupBy("lang", *LEADS).agg(F.sum("n").alias("n"))
     leads = LEADS[:longest]
     summed = counted.rollup("lang", *leads).agg(F.sum("n").alias("f"))
-    # What is rolled up is null, what is padded is ''.
+    # What is rolled up is null, what is padded is ''; Catalyst takes this filter below the sums, so padded windows are not shuffled again.
+    for lead in leads:
+        summed = summed.where(F.col(lead).isNull() | (F.col(lead) != ""))
     words = F.filter(F.array(*leads), lambda w: w.isNotNull())
     kept = summed.where("lang IS NOT NULL").select("lang", words.alias("words"), "f")
-    return kept.where((F.size("words") == 0) | (F.col("f") >= least) & (F.element_at("words", -1) != ""))
+    return kept.where((F.size("words") == 0) | (F.col("f") >= least))
 
 
 def _exact(name: str) -> Column:
