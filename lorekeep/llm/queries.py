@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lorekeep.llm import bpe, conversations, lm, mixing, near, neighbours, phrases, quality, shards, token_counts, toxicity, urls
+from lorekeep.llm import bpe, conversations, lm, mixing, near, neighbours, phrases, private, quality, shards, token_counts, toxicity, urls
 from lorekeep.llm.common import fold, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,11 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(load(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op13_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return private.digests(private.find(docs, private.fit(docs)))
+
+
 QUERIES: dict[str, Query] = {
     run.__name__: run
     for run in (
@@ -107,6 +112,7 @@ QUERIES: dict[str, Query] = {
         op10_jaccard_join,
         op11_conversations,
         op12_phrases,
+        op13_private,
     )
 }
 # The schedule is a recursion over the slots of one period; places follow from it by windows over blocks and rows.

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.llm import conversations as cv
-from lorekeep.llm import phrases
+from lorekeep.llm import phrases, private
 
 RANDOM = random.Random(11)
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -213,3 +213,160 @@ def test_a_full_filter_only_costs_time(spark, monkeypatch):
     rows = texts(200)
     got = phrases.mine(spark.createDataFrame(rows, "lang string, text string"), 5)
     assert sorted(map(tuple, got.collect())) == phrases_by_hand(rows, 5, 2000)
+
+
+# ---------------------------------------------------------------- 13
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_by_hand(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+            if kind == "ip" and any(int(part) > 255 for part in m.group().split(".")):
+                continue
+            if kind == "card" and not (14 <= len(digits) <= 19 and sum(v // 10 + v % 10 for v in doubled) % 10 == 0):
+                continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), k, kind, m.end()))
+    return [(kind, a, b) for a, _, kind, b in sorted(out)]
+
+
+def data_texts(n):
+    bits = ["a@b.c", "x.y_z@m-1.de.", "@", ".", "..", "-", " ", "+", "1", "255", "256", "007", "1.2.3.4", "4111 1111 1111 1111", "+1 (017) 555-7713", "(", ")", "é", "日", "\n", "_d", "%"]
+    out = ["".join(RANDOM.choices(bits, k=RANDOM.randint(1, 14))) for _ in range(n)]
+    card = "4111111111111111"
+    return out + ["", card, card * 2, " ".join(card), "1" * 5000, "1." * 5000, "a" * 5000 + "@", "a@" * 2000, "+1" * 900, "+" + "1 " * 900, "5" + " 5" * 13, "0000000000001.2.3.4"]
+
+
+def test_base_spans_against_the_patterns():
+    for text in data_texts(4000):
+        assert private.base_spans(text) == base_by_hand(text)
+
+
+def test_long_runs_take_linear_time():
+    for text in ("1" * 10**6, "a" * 10**6, "1." * 500_000, "a." * 500_000 + "@", "@" * 10**6, "a@a" * 300_000, "+1" * 500_000):
+        private.base_spans(text)
+
+
+def test_gradients_of_the_network():
+    draw = np.random.default_rng(3)
+    inputs = draw.integers(0, private.SYMBOLS, (7, 3)).astype(np.uint8)
+    weights = [draw.normal(0, 0.5, s).astype(np.float64) for s in ((private.SYMBOLS, 64), (16, 64), (64,))]
+    goal = draw.normal(0, 1, (7, 3, 16))
+    loss = lambda: float((private._lstm(inputs, weights)[0] * goal).sum())
+    states, kept = private._lstm(inputs, weights)
+    for own, grad in zip(weights, private._lstm_gradient(inputs, weights, kept, goal), strict=True):
+        for _ in range(6):
+            at = tuple(RANDOM.randrange(n) for n in own.shape) if own.shape[0] != private.SYMBOLS else (int(inputs[RANDOM.randrange(7), 0]), RANDOM.randrange(64))
+            held, small = own[at], 1e-2
+            own[at] = held + small
+            up = loss()
+            own[at] = held - small
+            down = loss()
+            own[at] = held
+            assert abs((up - down) / (2 * small) - grad[at]) < 2e-2 * max(1, abs(grad[at]))
+
+
+def test_crf_against_all_paths():
+    from itertools import product
+
+    draw = np.random.default_rng(4)
+    scores, moves = draw.normal(0, 1, (4, 2, private.LABELS)), draw.normal(0, 1, (private.LABELS,) * 2)
+    gold = draw.integers(0, private.LABELS, (4, 2))
+    gold[0] = [0, 1]
+    total = 0
+    marginal = np.zeros_like(scores)
+    for k in range(2):
+        value = lambda path: private.FIRST[path[0]] + sum(scores[t, k, x] for t, x in enumerate(path)) + sum(moves[a, b] for a, b in zip(path, path[1:], strict=False))  # noqa: B023, E731
+        paths = list(product(range(private.LABELS), repeat=4))
+        weight = np.exp([value(p) for p in paths])
+        total += np.log(weight.sum()) - value(tuple(gold[:, k]))
+        for p, w in zip(paths, weight / weight.sum(), strict=True):
+            for t, x in enumerate(p):
+                marginal[t, k, x] += w
+        for t in range(4):
+            marginal[t, k, gold[t, k]] -= 1
+    loss, d_scores, _ = private.crf_gradient(scores, moves, gold)
+    assert abs(loss - total) < 1e-6 and np.allclose(d_scores, marginal, atol=1e-6)
+
+
+@pytest.fixture(scope="module")
+def tagger():
+    words = ["".join(RANDOM.choice("abcdefghij") for _ in range(RANDOM.randint(2, 7))) for _ in range(300)]
+    windows = [" ".join(RANDOM.choices(words, k=30)) for _ in range(800)]
+    return private.train(private.labelled(windows, rounds=4), passes=7), words
+
+
+def test_model_on_held_out_spans(tagger):
+    model, words = tagger
+    draw, met, false = random.Random(77), Counter(), 0
+    for kind in private.KINDS * 60:
+        span = private.written_span(draw, kind)
+        text = " ".join(draw.choices(words, k=60))
+        at = text.index(" ", 150) + 1
+        whole = text[:at] + span + " " + text[at:]
+        if private.holds(kind, span) and not private.base_spans(span):
+            found = private.spans_of([whole], model)[0]
+            met[kind, (kind, at, at + len(span)) in [s[:3] for s in found]] += 1
+        other = text[:at] + private.other_numbers(draw) + " " + text[at:]
+        false += any(not s[3] for s in private.spans_of([other], model)[0])
+    assert false <= 3
+    assert met["ip", True] >= 0.8 * (met["ip", True] + met["ip", False]) > 0
+    assert met["phone", True] >= 0.5 * (met["phone", True] + met["phone", False]) > 0
+
+
+def test_a_phone_that_a_number_hides(tagger):
+    text = "call +1 (017) 555-7713 10.20.30.40 or not"
+    assert ("phone", 5, 22) not in private.base_spans(text)
+    assert ("phone", 5, 22, False) in [s[:4] for s in private.spans_of([text], tagger[0])[0]]
+
+
+def test_spans_are_found_wherever_windows_begin(tagger):
+    model, words = tagger
+    text = "call (017) 555-7713 or mail a.b@c.de from 10[.]0[.]0[.]7"
+    met = 0
+    for moved in range(1, 120, 7):
+        before = " ".join(words)[:moved]
+        whole = before + " " + text + " " + " ".join(words[:20])
+        found = {(s[0], whole[s[1] : s[2]]) for s in private.spans_of([whole], model)[0]}
+        assert ("email", "a.b@c.de") in found
+        met += {("phone", "(017) 555-7713"), ("ip", "10[.]0[.]0[.]7")} <= found
+    assert met >= 12  # of 17
+
+
+def test_pieces_of_windows_are_put_together():
+    whole, part = private.Found("ip", 90, 104, 9.0, False), private.Found("phone", 3, 9, 5.0, False)
+    text = " " * 90 + "10[.]0[.]0[.]7" + " " * 10
+    assert private.reconciled(text, [whole, part, private.Found("ip", 90, 96, 4.0, True)], []) == [("ip", 90, 104, 9.0)]
+    pieces = [private.Found("ip", 90, 98, 4.0, True), private.Found("ip", 96, 104, 6.0, True)]
+    assert private.reconciled(text, pieces, []) == [("ip", 90, 104, 6.0)]
+    assert private.reconciled(text, pieces, [("email", 100, 110)]) == []
+
+
+def test_find_on_odd_rows(spark, tagger, monkeypatch):
+    rows = [(i, t) for i, t in enumerate([None, "", "é 日 a@b.de", "a@b.de", "a@b.de", "x" * 9000 + " 1.2.3.4 ", *data_texts(200)])] + [(None, "1.2.3.4")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("own") for c in ("spans", "n_ip", "kind")})
+    got = private.digests(private.find(frame, None)).collect()
+    want = []
+    for i, text in rows:
+        base = base_by_hand(text or "")
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        want.append((i, *[sum(k == kind for k, _, _ in base) for kind in PATTERNS], hashlib.sha256(joined.encode()).hexdigest(), joined))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    both = private.digests(private.find(frame, tagger[0])).collect()
+    assert sorted(tuple(r)[:-1] for r in both if r[0] is not None) == sorted(w[:-1] for w in want if w[0] is not None)
+    assert private.find(frame.limit(0), tagger[0]).count() == 0
+    masked = {r["doc_id"]: r["masked"] for r in private.masked(private.find(frame, None)).collect()}
+    assert masked[2] == "é 日 [email]" and masked[1] == "" and masked[0] is None
+    monkeypatch.setattr(private, "train", lambda windows: len(windows))
+    assert private.fit(frame) > 0 and private.fit(frame.limit(0)) == 8
