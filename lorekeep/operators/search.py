@@ -1,16 +1,16 @@
-"""Exact and approximate top-k vector search for a table of queries.
+"""Exact top-k vector search for a table of queries (approximate: ``lorekeep.operators.ivf``).
 
 ``queries`` has query_id and values; ``vectors`` has namespace, id, values. The index is never shuffled
 or broadcast while the queries fit a checked bound: each task scores its index rows block by block and
 gives back only its best k per query, so pairs are never materialised. More queries than the bound are
-cut into blocks and met with slabs of the index in bounded groups.
+cut into blocks, and a task scores each slab of its rows against one block after the other.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.identity import NAMESPACES
 from lorekeep.operators.embedding import HASH_DIMS, embed_hash
+from lorekeep.session import scratch_path
 
 METRICS = ("cosine", "euclidean", "dotproduct")  # fixed values
 RESIDENT_BYTES = 32 << 20  # of the queries that every task holds
+PASS_BLOCKS = 4  # blocks of queries that meet the index in one pass
 HITS_TO_BROADCAST = 500_000
-GRID_ROWS = 16_384
+SLAB_ROWS = 16_384
 BLOCK_SCORES = 2_000_000
 SCORE_PLACES = 6
 _HITS = "query_id string, namespace string, id string, score double"
@@ -76,21 +78,20 @@ class _Best:
         self.queries = queries
         self.kept: dict[str, list[list[tuple[float, str]]]] = {}
 
-    def add(self, namespace: str, ids: np.ndarray, scores: np.ndarray, allowed: np.ndarray | None = None) -> None:
-        kept = self.kept.setdefault(namespace, [[] for _ in range(self.queries)])
+    def add(self, namespace: str, ids: np.ndarray, scores: np.ndarray, columns: np.ndarray | None = None) -> None:
+        """``columns`` names the queries that were scored; by default all."""
+        every = self.kept.setdefault(namespace, [[] for _ in range(self.queries)])
+        kept = every if columns is None else [every[j] for j in columns]
         floor = np.array([pairs[-1][0] if len(pairs) == self.k else -np.inf for pairs in kept])
-        if allowed is None and len(ids) > self.k:
+        if len(ids) > self.k:
             floor = np.maximum(floor, np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k])
-        near = scores >= floor
-        if allowed is not None:
-            near &= allowed
-        columns, rows = np.nonzero(near.T)
-        bounds = np.searchsorted(columns, np.arange(self.queries + 1))
-        for j in np.unique(columns):
+        asked, rows = np.nonzero((scores >= floor).T)
+        bounds = np.searchsorted(asked, np.arange(len(kept) + 1))
+        for j in np.unique(asked):
             mine = rows[bounds[j] : bounds[j + 1]]
             pairs = kept[j] + list(zip(scores[mine, j].tolist(), ids[mine].tolist()))
             pairs.sort(key=lambda pair: (-pair[0], pair[1]))
-            kept[j] = pairs[: self.k]
+            every[j if columns is None else columns[j]] = pairs[: self.k]
 
     def rows(self, query_ids: Sequence[str], metric: str) -> list[tuple]:
         sign = -1.0 if metric == "euclidean" else 1.0
@@ -103,24 +104,27 @@ class _Best:
         ]
 
 
-def _score_batch(best: _Best, batch: pa.RecordBatch, queries: np.ndarray, metric: str, signature=None) -> None:
+def _score_batch(best: _Best, batch: pa.RecordBatch, queries: np.ndarray, metric: str) -> None:
     """Score a batch in blocks, so the scores held at once do not grow with the number of queries."""
     step = max(1, BLOCK_SCORES // max(1, len(queries)))
     for start in range(0, batch.num_rows, step):
         block = batch.slice(start, step)
         namespaces = np.asarray(block.column("namespace").to_pylist(), dtype=object)
         ids = np.asarray(block.column("id").to_pylist(), dtype=object)
-        matrix = _matrix(block.column("values"))
-        scores = goodness(matrix, queries, metric)
-        allowed = None if signature is None else signature(matrix)
+        scores = goodness(_matrix(block.column("values")), queries, metric)
         if not best.by_namespace:
-            both = np.empty(len(ids), object)
-            both[:] = list(zip(ids.tolist(), namespaces.tolist(), strict=True))
-            best.add("", both, scores, allowed)
+            best.add("", _named(ids, namespaces), scores)
             continue
         for namespace in sorted(set(namespaces.tolist())):
             mine = namespaces == namespace
-            best.add(namespace, ids[mine], scores[mine], None if allowed is None else allowed[mine])
+            best.add(namespace, ids[mine], scores[mine])
+
+
+def _named(ids: np.ndarray, namespaces: np.ndarray) -> np.ndarray:
+    """Ids that carry their namespace, for the best of all namespaces together."""
+    both = np.empty(len(ids), object)
+    both[:] = list(zip(ids.tolist(), namespaces.tolist(), strict=True))
+    return both
 
 
 def _rows_to_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -137,11 +141,20 @@ def _bound(queries: DataFrame, resident: int | None) -> int:
     return max(1, RESIDENT_BYTES // (8 * max(1, longest or 1)))
 
 
-def _blocks(queries: DataFrame, bound: int) -> Iterator[DataFrame]:
-    """The queries in blocks of about half the bound, dealt out by a hash of their ids."""
+def _blocks(queries: DataFrame, bound: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """The queries in blocks of at most ``bound``, dealt out by a hash of their ids; the driver holds one at a time."""
     count = max(1, math.ceil(2 * queries.count() / bound))
     for block in range(count):
-        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == block)
+        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == block)
+        loaded = _resident(mine, bound)
+        for part in range(64 if loaded is None else 0):  # by another hash, where one block has too many
+            own = _resident(mine.where(F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(64)) == part), bound)
+            if own is None:
+                raise ValueError(f"more than {bound} queries of few ids: query_id must be unique")
+            if own[0]:
+                yield own
+        if loaded is not None and loaded[0]:
+            yield loaded
 
 
 def _resident(queries: DataFrame, bound: int) -> tuple[list[str], np.ndarray] | None:
@@ -156,50 +169,54 @@ def _resident(queries: DataFrame, bound: int) -> tuple[list[str], np.ndarray] |
 
 
 def _local_hits(
-    vectors: DataFrame, ids: list[str], matrix: np.ndarray, k: int, metric: str, probe=None, by_namespace: bool = False
+    vectors: DataFrame, loads: Sequence[tuple[list[str], np.ndarray]], k: int, metric: str, by_namespace: bool = False
 ) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+    """One pass over the index: each task meets its rows, slab by slab, with every block of queries, and keeps the best of each block."""
+    context = vectors.sparkSession.sparkContext
+    blocks = [context.broadcast(load) for load in loads]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = shared.value
-        best = _Best(len(query_ids), k, by_namespace)
-        signature = probe(queries) if probe else None
+        bests: dict[int, _Best] = {}
+
+        def meet(slab: list[pa.RecordBatch]) -> None:
+            for number, block in enumerate(blocks):
+                query_ids, queries = block.value
+                best = bests.setdefault(number, _Best(len(query_ids), k, by_namespace))
+                for batch in slab if query_ids else ():
+                    _score_batch(best, batch, queries, metric)
+
+        slab, rows = [], 0
         for batch in batches:
-            if batch.num_rows and query_ids:
-                _score_batch(best, batch, queries, metric, signature)
-        yield _rows_to_batch(best.rows(query_ids, metric))
+            if batch.num_rows:
+                slab.append(batch)
+                rows += batch.num_rows
+            if rows >= SLAB_ROWS or len(blocks) == 1:
+                meet(slab)
+                slab, rows = [], 0
+        meet(slab)
+        for number, best in bests.items():
+            yield _rows_to_batch(best.rows(blocks[number].value[0], metric))
 
     return vectors.select("namespace", "id", "values").mapInArrow(run, _HITS)
 
 
-def _grid_hits(queries: DataFrame, vectors: DataFrame, k: int, metric: str, by_namespace: bool) -> DataFrame:
-    """Blocks of queries against slabs of the index, in groups of about GRID_ROWS rows of each.
+def _many_hits(queries: DataFrame, vectors: DataFrame, k: int, metric: str, by_namespace: bool, bound: int) -> DataFrame:
+    """More queries than a task may hold: PASS_BLOCKS blocks of them in each pass over the index, which is never copied or shuffled.
 
-    The rows moved are queries x vectors x (1 / block + 1 / slab), so both sides are cut to the same size,
-    the largest that a task should hold. Rows are spread by hash, so no group depends on a hot value.
+    Neither the driver nor a task holds more than the blocks of one pass. With more than one pass each writes its hits, of bounded
+    number for each query, to the shared folder before the next is loaded.
     """
-    blocks = max(1, math.ceil(queries.count() / GRID_ROWS))
-    slabs = max(1, math.ceil(vectors.count() / GRID_ROWS))
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    spread = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-    left = vectors.select(
-        "namespace", "id", "values", spread("id", slabs).alias("slab"), copies(blocks).alias("block")
-    )
-    right = queries.select("query_id", "values", spread("query_id", blocks).alias("block"), copies(slabs).alias("slab"))
-
-    def run(index: pa.Table, asked: pa.Table) -> pa.Table:
-        if not index.num_rows or not asked.num_rows:
-            return _ARROW_HITS.empty_table()
-        query_ids = asked.column("query_id").to_pylist()
-        matrix = np.concatenate([_matrix(b.column("values")) for b in asked.to_batches() if b.num_rows])
-        best = _Best(len(query_ids), k, by_namespace)
-        for batch in index.to_batches():
-            if batch.num_rows:
-                _score_batch(best, batch, matrix, metric)
-        return pa.Table.from_batches([_rows_to_batch(best.rows(query_ids, metric))])
-
-    keys = ("slab", "block")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _HITS)
+    spark, paths, held = vectors.sparkSession, [], []
+    blocks = _blocks(queries, bound)
+    while held or not paths:
+        held = held or list(islice(blocks, PASS_BLOCKS))
+        hits = _local_hits(vectors, held, k, metric, by_namespace)
+        held = list(islice(blocks, PASS_BLOCKS))
+        if not paths and not held:
+            return hits
+        paths.append(scratch_path(spark, "hits"))
+        hits.write.parquet(paths[-1])
+    return spark.read.schema(_HITS).parquet(*paths)
 
 
 def _usable(frame: DataFrame, *names: str) -> DataFrame:
@@ -258,9 +275,9 @@ def top_k(
     usable = _usable(index, "namespace", "id")
     loaded = _resident(asked, _bound(asked, resident))
     if loaded is not None:
-        hits = _local_hits(usable, *loaded, k, metric, by_namespace=per_namespace)
+        hits = _local_hits(usable, [loaded], k, metric, per_namespace)
     else:
-        hits = _grid_hits(asked, usable, k, metric, per_namespace)
+        hits = _many_hits(asked, usable, k, metric, per_namespace, _bound(asked, resident))
     ranked = _ranked(hits, k, metric, per_namespace)
     groups = namespaces if per_namespace else 1
     most = len(loaded[0]) * k * groups if loaded is not None and groups else None
@@ -273,50 +290,6 @@ def top_k_all(queries: DataFrame, vectors: DataFrame, k: int = 5, **options) ->
     return top_k(queries, known, k, per_namespace=True, namespaces=len(NAMESPACES), **options)
 
 
-def ann_top_k(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int = 5,
-    planes: int = 8,
-    flips: int = 2,
-    seed: int = 7,
-    metric: str = "cosine",
-    carry: Sequence[str] = (),
-    resident: int | None = None,
-) -> DataFrame:
-    """Approximate top-k: only vectors whose sign pattern under random planes is within ``flips`` bits.
-
-    Candidates are scored exactly. A query that finds fewer than k candidates is searched exactly. More queries than a task may
-    hold are taken in blocks, so what a query finds does not depend on how many others are asked. All scores are
-    computed: this form saves the ranking of far vectors, not their scoring, and is no index.
-    """
-    _checked(metric, k)
-    asked = _usable(queries, "query_id")
-    usable = _usable(vectors, "namespace", "id")
-    bound = _bound(asked, resident)
-
-    def probe(matrix: np.ndarray):
-        sides = np.random.default_rng(seed).standard_normal((matrix.shape[1], planes))
-        asked_bits = matrix @ sides > 0
-
-        def signature(block: np.ndarray) -> np.ndarray:
-            bits = block @ sides > 0
-            differing = planes - (bits @ asked_bits.T.astype(int) + ~bits @ (~asked_bits).T.astype(int))
-            return differing <= flips
-
-        return signature
-
-    whole = _resident(asked, bound)
-    loads = [whole] if whole else [load for block in _blocks(asked, bound) if (load := _resident(block, bound))]
-    found = [_local_hits(usable, *load, k, metric, probe) for load in loads]
-    near = _ranked(reduce(DataFrame.unionByName, found), k, metric, False)
-    enough = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-    short = asked.join(enough, "query_id", "left_anti")
-    exact = top_k(short, vectors, k, metric, resident=resident)
-    hits = near.join(enough.select("query_id"), "query_id", "left_semi").unionByName(exact)
-    return _carried(hits, vectors, carry, len(whole[0]) * k if whole else None)
-
-
 def search_text(
     queries: DataFrame,
     chunks: DataFrame,

@@ -8,11 +8,13 @@ from lorekeep.functions.identity import content_hash, namespace_of, vector_id
 from lorekeep.functions.rules import REDACTOR
 from lorekeep.operators import embedding as em
 from lorekeep.operators import index as ix
+from lorekeep.operators import ivf
 from lorekeep.operators import messages as ms
 from lorekeep.operators import redaction as rd
 from lorekeep.operators import search as sr
 from lorekeep.plans import bindings as b
 from lorekeep.plans.registry import query
+from lorekeep.session import scratch_path
 
 _INDEXED_AT = "2024-02-01 00:00:00"
 
@@ -172,12 +174,22 @@ def query_vector_cross(spark, sf_dir):
     """Every vector asks the whole table. The bound is set low, so the blocked form for many queries runs."""
     vectors = b.vectors(spark, sf_dir)
     asked = vectors.select(F.col("id").alias("query_id"), "values")
-    return _hits(sr.top_k(asked, vectors, k=3))
+    return _hits(sr.top_k(asked, vectors, k=3, resident=128))
 
 
 @query("vector_ann")
 def vector_ann(spark, sf_dir):
-    return _hits(sr.ann_top_k(b.label_queries(spark, sf_dir), b.vectors(spark, sf_dir)))
+    """Over an inverted file, as many cells as it found to hold 0.95 of the neighbours."""
+    path = ivf.build(b.vectors(spark, sf_dir), scratch_path(spark, "ivf"))
+    return _hits(ivf.top_k(spark, path, b.label_queries(spark, sf_dir)))
+
+
+@query("vector_ann_all_cells", _top_k_sql())
+def vector_ann_all_cells(spark, sf_dir):
+    """The same index with every cell probed, which has to give the exact answer."""
+    vectors = b.vectors(spark, sf_dir)
+    path = ivf.build(vectors, scratch_path(spark, "ivf"))
+    return _hits(ivf.top_k(spark, path, b.label_queries(spark, sf_dir), probes=1 << 30))
 
 
 @query(

@@ -13,6 +13,7 @@ from lorekeep.operators import context as cx
 from lorekeep.operators import embedding as em
 from lorekeep.operators import governance as gv
 from lorekeep.operators import index as ix
+from lorekeep.operators import ivf
 from lorekeep.operators import messages as ms
 from lorekeep.operators import running as rn
 from lorekeep.operators import search as sr
@@ -66,7 +67,8 @@ def brute(vectors, queries, names, k, metric, per_namespace, allowed=None):
 @pytest.mark.parametrize("metric", sr.METRICS)
 @pytest.mark.parametrize("resident", [100, 4])
 def test_top_k_equals_brute_force(spark, monkeypatch, metric, resident):
-    monkeypatch.setattr(sr, "GRID_ROWS", 10)  # many blocks and slabs once the queries do not fit
+    monkeypatch.setattr(sr, "SLAB_ROWS", 10)  # many blocks, slabs and passes once the queries do not fit
+    monkeypatch.setattr(sr, "PASS_BLOCKS", 3)
     v, a, vectors, queries, names = vectors_and_queries(spark)
     got = sr.top_k(a, v, 7, metric, resident=resident).collect()
     assert {(r.query_id, r.namespace, r.id, r["rank"]) for r in got} == brute(vectors, queries, names, 7, metric, False)
@@ -107,16 +109,62 @@ def test_top_k_filter_namespace_zero_and_empty(spark):
         sr.metadata_where({"label": {"$near": 1}})
 
 
-def test_ann_gives_k_exact_scores_and_good_recall(spark):
-    v, a, vectors, queries, names = vectors_and_queries(spark, n=500, dim=12)
-    exact = {(r.query_id, r.id): r.score for r in sr.top_k(a, v, 10).collect()}
-    got = sr.ann_top_k(a, v, 10, planes=6, flips=3).collect()
-    assert len(got) == 25 * 10
-    shared = [r for r in got if (r.query_id, r.id) in exact]
-    assert len(shared) / len(exact) > 0.8
-    assert all(abs(r.score - exact[(r.query_id, r.id)]) < 1e-9 for r in shared)
-    strict = sr.ann_top_k(a, v, 10, planes=12, flips=0)
-    assert strict.count() == 25 * 10
+def test_many_queries_never_shuffle_the_index(spark):
+    v, a, *_ = vectors_and_queries(spark)
+    ids = lambda df: sorted(map(tuple, df.collect()))
+    plan = sr.top_k(a, v, 3, resident=8)._jdf.queryExecution().executedPlan().toString()
+    assert ids(sr.top_k(a, v, 3, resident=8)) == ids(sr.top_k(a, v, 3))
+    # Only hits are exchanged: the one exchange stands above the pass over the index, or above the hits it wrote.
+    below = plan[plan.index("Exchange") :] if "Exchange" in plan else ""
+    assert "values" not in below.split("MapInArrow")[0] and "Exchange" not in "".join(below.split("MapInArrow")[1:])
+
+
+def clusters(spark, n=6000, dim=16, groups=40, seed=5):
+    draw = np.random.default_rng(seed)
+    centres = draw.standard_normal((groups, dim))
+    held = centres[draw.integers(0, groups, n)] + 0.25 * draw.standard_normal((n, dim))
+    rows = [("ab"[i % 2], str(i), own.tolist(), i) for i, own in enumerate(held)]
+    return spark.createDataFrame(rows, "namespace string, id string, values array<double>, place int")
+
+
+def test_inverted_file_reads_a_share_and_finds_the_neighbours(spark):
+    v = clusters(spark)
+    path = ivf.build(v, scratch_path(spark, "t-ivf"))
+    asked = v.where("place % 100 = 0").select(F.col("id").alias("query_id"), "values")
+    exact = {(r.query_id, r.id): r.score for r in sr.top_k(asked, v, 5).collect()}
+    hits = ivf.top_k(spark, path, asked, carry=["place"]).collect()
+    found = {(r.query_id, r.id): r.score for r in hits}
+    assert len(found) == 300 and all(int(r.id) == r.place for r in hits)
+    assert len(found.keys() & exact.keys()) >= 0.9 * len(exact)
+    assert all(abs(score - exact[key]) < 1e-9 for key, score in found.items() if key in exact)
+    # A few queries open the directories of their cells only.
+    few = asked.limit(2)
+    cells = spark.read.parquet(f"{path}/vectors").select("cell").distinct().count()
+    matrix = np.array([r["values"] for r in few.collect()])
+    index = ivf.Index(spark, path)
+    probes = index.probes
+    read = ivf.probed_cells(index.centroids, matrix, probes)
+    assert len(index.vectors(sorted(read)).inputFiles()) == len(read)
+    assert cells == 77 and len(read) <= 2 * probes < cells / 2
+
+
+def test_inverted_file_with_all_cells_is_exact(spark):
+    v, a, *_ = vectors_and_queries(spark)
+    rows = [("slack/", "null", None, 1), ("slack/", "zero", [0.0] * 6, 1), (None, "lost", [0.0] * 6, 1), ("drive/", "nan", [float("nan")] * 6, 1)]
+    dims = len(v.first()["values"])
+    odd = spark.createDataFrame([(n, i, None if x is None else x[:1] * dims, k) for n, i, x, k in rows], "namespace string, id string, values array<double>, label int")
+    both = v.select("namespace", "id", "values", F.lit(1).alias("label")).unionByName(odd)
+    path = ivf.build(both, scratch_path(spark, "t-ivf"), cells=7)
+    ids = lambda df: sorted(map(tuple, df.select("query_id", "namespace", "id", "score", "rank").collect()), key=str)
+    assert ids(ivf.top_k(spark, path, a, 4, probes=7)) == ids(sr.top_k(a, both, 4))
+    assert ids(ivf.top_k(spark, path, a, 4, probes=2)) == ids(ivf.top_k(spark, path, a, 4, probes=2, resident=6))
+    assert ids(ivf.top_k(spark, path, a, 400, probes=2)) == ids(sr.top_k(a, both, 400))
+    lost = spark.createDataFrame([("q", [0.0] * dims), ("r", None)], "query_id string, values array<double>")
+    assert ivf.top_k(spark, path, lost, 3).count() == sr.top_k(lost, both, 3).count() == 3
+    assert ivf.top_k(spark, path, a.where("false"), 3).count() == 0
+    assert spark.read.parquet(f"{path}/vectors").count() == both.count()
+    empty = ivf.build(both.where("false"), scratch_path(spark, "t-ivf"))
+    assert ivf.top_k(spark, empty, a, 3).count() == 0
 
 
 def test_hash_embedding_is_a_unit_vector(spark):
@@ -402,13 +450,6 @@ def test_dimension_comes_from_all_rows(spark):
     assert got == {"n": (2, 2, 2), "m": (1, 3, 3), None: (3, 3, 2)}
 
 
-def test_ann_does_not_depend_on_how_many_are_asked(spark):
-    v, a, *_ = vectors_and_queries(spark)
-    few = {tuple(r) for r in sr.ann_top_k(a, v, 4, planes=6, flips=1).select("query_id", "id", "rank").collect()}
-    cut = {tuple(r) for r in sr.ann_top_k(a, v, 4, planes=6, flips=1, resident=8).select("query_id", "id", "rank").collect()}
-    assert few == cut
-
-
 def test_upsert_takes_rows_with_maps(spark):
     schema = "namespace string, id string, extra map<string,string>"
     new = spark.createDataFrame([("n", "1", {"a": "1"}), ("n", "1", {"a": "2"}), ("n", "2", None)], schema)
