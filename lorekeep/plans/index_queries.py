@@ -10,6 +10,7 @@ from lorekeep.operators import embedding as em
 from lorekeep.operators import index as ix
 from lorekeep.operators import ivf
 from lorekeep.operators import messages as ms
+from lorekeep.operators import postings as ps
 from lorekeep.operators import redaction as rd
 from lorekeep.operators import search as sr
 from lorekeep.plans import bindings as b
@@ -203,9 +204,10 @@ def global_rerank(spark, sf_dir):
     return _hits(sr.rerank(hits, 5))
 
 
-TEXT_HITS_SQL = f"""{b.CHUNK_INDEX_SQL}, {b.TEXT_QUERIES_SQL},
-{b.sql_hash_terms('chunk_index', 'id', 'content', 'vec')},
-{b.sql_hash_terms('text_queries', 'query_id', 'text', 'ask')},
+def _text_hits_sql(dims: int = 256) -> str:
+    return f"""{b.CHUNK_INDEX_SQL}, {b.TEXT_QUERIES_SQL},
+{b.sql_hash_terms('chunk_index', 'id', 'content', 'vec', dims)},
+{b.sql_hash_terms('text_queries', 'query_id', 'text', 'ask', dims)},
 pairs AS (SELECT query_id, id, sum(a.value * v.value) AS dot FROM ask a JOIN vec v ON a.bucket = v.bucket GROUP BY ALL),
 owners AS (SELECT DISTINCT id FROM vec), askers AS (SELECT DISTINCT query_id FROM ask),
 scored AS (SELECT k.query_id, c.namespace, c.id, round(coalesce(dot, 0), 6) AS score
@@ -213,6 +215,9 @@ scored AS (SELECT k.query_id, c.namespace, c.id, round(coalesce(dot, 0), 6) AS s
   LEFT JOIN pairs p ON p.query_id = k.query_id AND p.id = o.id)"""
 
 
+TEXT_HITS_SQL = _text_hits_sql()
+
+
 @query(
     "sparse_text_match",
     f"""WITH {TEXT_HITS_SQL},
@@ -223,6 +228,18 @@ def sparse_text_match(spark, sf_dir):
     return _hits(sr.search_text(b.text_queries(spark, sf_dir), b.chunk_index(spark, sf_dir)))
 
 
+@query(
+    "sparse_postings_match",
+    f"""WITH {_text_hits_sql(ps.DIMS)},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored WHERE score > 0)
+SELECT query_id, namespace, id, score, rank FROM ranked WHERE rank <= 5""",
+)
+def sparse_postings_match(spark, sf_dir):
+    """The whole chunk index as postings, and every benchmark item asked over them."""
+    path = ps.build(b.chunk_index(spark, sf_dir), scratch_path(spark, "postings"))
+    return _hits(ps.search(spark, path, b.text_queries(spark, sf_dir)))
+
+
 # ---------------------------------------------------------------- the vector table
 
 

@@ -62,7 +62,7 @@ def test_ingest_replaces_documents_and_repeats_are_harmless(spark):
     ig.write_batch(batch, 1, path, STAMP, run_id, size=4, overlap=1)
     assert ids() == ["mail-7-0", "slack-1-0"]
     assert ig.dead_letters(spark, path).count() == 1
-    target = ig.compact(spark, path, scratch_path(spark, "t-compact"))
+    target = ig.export_index(spark, path, scratch_path(spark, "t-export"))
     assert spark.read.parquet(target).count() == 2
 
 
@@ -87,6 +87,112 @@ def test_streams_and_restarts_do_not_overwrite_each_other(spark):
     assert ids() == ["notion-2-0", "slack-1-0"]
 
 
+def batch_of(spark, *data):
+    return spark.createDataFrame([(d,) for d in data], "data string")
+
+
+def test_compaction_rewrites_touched_buckets_only(spark):
+    path = scratch_path(spark, "t-store")
+    day = lambda n: f"2024-01-{n:02}"
+    ig.write_batch(batch_of(spark, *[envelope(doc=str(i), content=f"text {i}", timestamp=day(2)) for i in range(200)]), 0, path, STAMP, "r")
+    assert ig.compact(spark, path) == 0
+    table = ig.store(spark, path)
+    files = lambda: {f.rsplit("/", 1)[0].rsplit("/", 2)[-1] + f[-40:] for f in ig.current_index(spark, path).inputFiles()}
+    before = files()
+    assert table.state()[1] == [] and len(before) > 30
+    # one document, once newer and once from the past, and one that comes back empty
+    ig.write_batch(batch_of(spark, envelope(doc="7", content="new", timestamp=day(3)), envelope(doc="8", content="old", timestamp=day(1))), 1, path, STAMP, "r")
+    ig.write_batch(batch_of(spark, envelope(doc="9", content=" ", timestamp=day(3))), 2, path, STAMP, "r")
+    texts = lambda: {r.doc_id: r.content for r in ig.current_index(spark, path).collect()}
+    want = {f"slack-{i}": f"text {i}" for i in range(200)} | {"slack-7": "new"}
+    del want["slack-9"]
+    assert texts() == want
+    assert ig.compact(spark, path) == 3 and texts() == want
+    after = files()
+    assert len(before - after) <= 3 and len(after - before) <= 3
+    assert table.vacuum() and texts() == want
+    # versions in the base still count: an older event stays beaten
+    ig.write_batch(batch_of(spark, envelope(doc="7", content="late", timestamp=day(2)), envelope(doc="9", content="late", timestamp=day(2))), 3, path, STAMP, "r")
+    assert texts() == want
+    assert ig.compact(spark, path) == 5 and texts() == want
+
+
+def test_a_crash_before_the_commit_loses_nothing(spark, monkeypatch):
+    path = scratch_path(spark, "t-store")
+    one = batch_of(spark, envelope(content="one"), "%%%")
+    from lorekeep.store import Log
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    ids = lambda: [(r.doc_id, r.content) for r in ig.current_index(spark, path).collect()]
+    for attempt in range(2):
+        with monkeypatch.context() as broken:
+            broken.setattr(Log, "commit", crash)
+            try:
+                ig.write_batch(one, 0, path, STAMP, "r")
+            except RuntimeError:
+                pass
+        assert ids() == [] and ig.dead_letters(spark, path).count() == 0
+    ig.write_batch(one, 0, path, STAMP, "r")
+    assert ids() == [("slack-1", "one")]
+    with monkeypatch.context() as broken:
+        broken.setattr(Log, "commit", crash)
+        try:
+            ig.compact(spark, path)
+        except RuntimeError:
+            pass
+    assert ids() == [("slack-1", "one")] and ig.store(spark, path).state()[0]["covers"] == -1
+    ig.compact(spark, path)
+    ig.write_batch(one, 0, path, STAMP, "r")  # repeated after the base covers it
+    assert ids() == [("slack-1", "one")] and ig.dead_letters(spark, path).count() == 1
+
+
+def test_budget_stops_embedding_and_skipped_events_are_taken_up(spark):
+    path = scratch_path(spark, "t-budget")
+    events = [envelope(doc=str(i), content="w " * 1000, timestamp=f"2024-01-01T00:00:{i:02}") for i in range(10)]
+    cost = 1000 * 0.02 / 1e6 * 1.05  # windows overlap
+    ids = lambda: sorted(int(d) for d in {r.doc_id[6:] for r in ig.current_index(spark, path).collect()})
+    ig.write_batch(batch_of(spark, *events[:6]), 0, path, STAMP, "r", budget=4.5 * cost * 1.1)
+    taken = ids()
+    assert taken == list(range(len(taken))) and 3 <= len(taken) <= 5
+    ig.write_batch(batch_of(spark, *events[6:]), 1, path, STAMP, "r", budget=4.5 * cost * 1.1)
+    assert ids() == taken and ig.skipped_events(spark, path).count() == 10 - len(taken)
+    assert ig.take_up(spark, path, STAMP, budget=4.5 * cost * 1.1) == 10 - len(taken) and ids() == taken
+    march = F.lit("2024-03-01 00:00:00").cast("timestamp")
+    assert ig.take_up(spark, path, march, budget=1.0) == 10 - len(taken) and ids() == list(range(10))
+    assert ig.take_up(spark, path, march) == 0
+    assert abs(ig.spent_in(spark, path, "2024-02") - len(taken) * ig.spent_in(spark, path, "2024-03") / (10 - len(taken))) < 1e-12
+
+
+def test_model_hook_failures_and_replay(spark):
+    from lorekeep.operators.embedding import embed_model
+
+    path = scratch_path(spark, "t-model")
+
+    def load():
+        def model(texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("refused")
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    embed = lambda df, col: embed_model(df, load, col, batch=1)
+    ig.write_batch(batch_of(spark, envelope(doc="1", content="mail a@b.example.org"), envelope(doc="2", content="bad"), "%%%"), 0, path, STAMP, "r", embed=embed, model="mine")
+    row = ig.current_index(spark, path, "mine").collect()
+    assert [(r.doc_id, r.model, r.dimension, r["values"][1]) for r in row] == [("slack-1", "mine", 2, 1.0)]
+    assert ig.current_index(spark, path, "other").count() == 0
+    assert sorted(r.reason for r in ig.dead_letters(spark, path).collect()) == ["bad base64", "embedding failed"]
+    assert {r.doc_id: r.redactions for r in ig.store(spark, path).documents().collect()} == {"slack-1": 1, "slack-2": 0}
+    fixed = envelope(doc="3", content="mended")
+    assert ig.replay_dead(spark, path, lambda dead: dead.select(F.lit(fixed).alias("data")), STAMP) == 1
+    assert sorted(r.doc_id for r in ig.current_index(spark, path).collect()) == ["slack-1", "slack-3"]
+    for _ in range(3):
+        ig.replay_dead(spark, path, lambda dead: dead.select(F.col("raw").alias("data")), STAMP)
+    assert ig.replay_dead(spark, path, lambda dead: dead.select(F.col("raw").alias("data")), STAMP) == 0
+
+
 def test_newest_event_by_time_not_by_text(spark):
     rows = [("a", "999999999.5", "old"), ("a", "1700000000.5", "new"), ("b", "2024-01-01T00:30:00+02:00", "old"), ("b", "2023-12-31T23:00:00Z", "new")]
     events = spark.createDataFrame([("s", i, t, c) for i, t, c in rows], "source string, source_id string, timestamp string, content string")
