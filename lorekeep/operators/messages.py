@@ -76,7 +76,10 @@ def threads(messages: DataFrame, order: Sequence[str] = ("ts", "message_id")) ->
     inside = messages.where(F.col("thread_ts").isNotNull())
     numbered = running_total(inside, F.lit(1).cast("bigint"), order, keys, "__place")
     sizes = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("thread_size"))
-    return numbered.join(sizes, keys).withColumn("reply_index", F.col("__place") - 1).drop("__place")
+    same = [F.col(name).eqNullSafe(F.col(f"__of_{name}")) for name in keys]
+    sizes = sizes.select("thread_size", *[F.col(name).alias(f"__of_{name}") for name in keys])
+    placed = numbered.join(sizes, same).withColumn("reply_index", F.col("__place") - 1)
+    return placed.drop("__place", *[f"__of_{name}" for name in keys])
 
 
 def with_users(messages: DataFrame, users: DataFrame) -> DataFrame:

@@ -18,29 +18,36 @@ def running_total(
     out: str = "running",
     slices: int | None = None,
 ) -> DataFrame:
-    """Add the running sum of ``value`` within ``group`` by ``order`` (which must be unique).
+    """Add the running sum of ``value`` within ``group`` by ``order`` (which must be unique within the group).
 
-    Rows are range-partitioned by (group, order), so a group that holds most rows is spread over many
-    slices. The slices are checkpointed, because their bounds are sampled and must not move. The sum of
-    the earlier slices, one row per (group, slice), is then added to a window inside each slice.
+    Only the keys (group, order) and the value are numbered; they are range-partitioned by (group, order), so a group that holds
+    most rows is spread over many slices, and the slices are checkpointed, because their bounds are sampled and must not move. The
+    sum of the earlier slices, one row per (group, slice), is then added to a window inside each slice. The totals
+    meet the rows in one join on the keys; no other column is in the numbering or the checkpoint. Keys may be null.
     """
     count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*group, "__slice"]
-    ranged = df.withColumn("__value", value).repartitionByRange(count, *group, *order)
+    names = list(dict.fromkeys([*group, *order]))
+    alias = {name: f"__key_{name}" for name in names}
+    by, within = [alias[name] for name in group], [alias[name] for name in order]
+    keys = [*by, "__slice"]
+    light = df.select(*[F.col(name).alias(alias[name]) for name in names], value.alias("__value"))
+    ranged = light.repartitionByRange(count, *by, *within)
     ranged = cut_lineage(ranged.withColumn("__slice", F.spark_partition_id()))
-    earlier = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(*keys)
         .agg(F.sum("__value").alias("__sum"))
         .withColumn("__before", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))
-        .select("__before", *[F.col(name).alias(f"__of_{name}") for name in keys])
+        .select("__before", *[F.col(name).alias(f"__of{name}") for name in keys])
     )
-    same = [F.col(name).eqNullSafe(F.col(f"__of_{name}")) for name in keys]
+    same = [F.col(name).eqNullSafe(F.col(f"__of{name}")) for name in keys]
     inside = (
-        Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys).orderBy(*within).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     total = F.col("__before") + F.sum("__value").over(inside)
-    return ranged.join(offsets, same).withColumn(out, total).select(*df.columns, out)
+    totals = ranged.join(offsets, same).select(*alias.values(), total.alias(out))
+    back = [F.col(name).eqNullSafe(F.col(alias[name])) for name in names]
+    return df.drop(out).join(totals, back).select(*[name for name in df.columns if name != out], out)
 
 
 def with_batch(

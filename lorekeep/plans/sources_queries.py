@@ -134,17 +134,36 @@ def scan_ingest_envelope(spark, sf_dir):
     )
 
 
+# A document goes out as one file with a line feed at its end: its kind by doc_id % 6, and with every tenth a byte that is no UTF-8 in front.
+_FILE_KINDS = ("gdoc", "gsheet", "gslides", "pdf", "txt", "bin")
+
+
 @query(
     "scan_files_by_mime",
-    """SELECT lang, 'text/plain' AS format, CAST(sum(length(text) + 1) AS BIGINT) AS chars
-FROM documents GROUP BY lang""",
+    """SELECT CASE doc_id % 6 WHEN 0 THEN 'application/vnd.google-apps.document' WHEN 1 THEN 'application/vnd.google-apps.spreadsheet'
+    WHEN 2 THEN 'application/vnd.google-apps.presentation' WHEN 3 THEN 'application/pdf' WHEN 4 THEN 'text/plain'
+    ELSE 'application/octet-stream' END AS mime_type,
+  CASE doc_id % 6 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/csv' WHEN 2 THEN 'text/plain' WHEN 3 THEN 'application/pdf'
+    WHEN 4 THEN 'text/plain' ELSE 'application/octet-stream' END AS format,
+  count(*) AS files, CAST(sum(strlen(text) + CASE WHEN doc_id % 10 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS bytes,
+  CAST(sum(length(text) + 1) AS BIGINT) AS chars, bit_xor(CAST('0x' || substr(md5(text || chr(10)), 1, 15) AS BIGINT)) AS texts
+FROM documents GROUP BY ALL""",
 )
 def scan_files_by_mime(spark, sf_dir):
+    """Every document as a file of its own, under each route: three exports, a type read as it is, plain text, and raw bytes."""
     folder = scratch_path(spark, "files")
-    b.table(spark, sf_dir, "documents", "doc_id").select("lang", "text").write.partitionBy("lang").text(folder)
-    files = read_files(spark, folder, pattern="*.txt")
-    lang = F.regexp_extract("path", "lang=([^/]+)/", 1)
-    return files.groupBy(lang.alias("lang"), "format").agg(F.sum(F.length("content")).cast("bigint").alias("chars"))
+    docs = b.table(spark, sf_dir, "documents", "doc_id").select(
+        F.element_at(F.array(*map(F.lit, _FILE_KINDS)), (F.col("doc_id") % 6 + 1).cast("int")).alias("kind"),
+        F.when(F.col("doc_id") % 10 == 0, F.concat(F.unhex(F.lit("FF")), F.encode("text", "utf-8")).cast("string")).otherwise(F.col("text")).alias("body"),
+    )
+    docs.write.partitionBy("kind").option("maxRecordsPerFile", 1).text(folder)
+    files = read_files(spark, folder, pattern="*.txt", kind=F.regexp_extract("path", "kind=([^/]+)/", 1))
+    return files.groupBy("mime_type", "format").agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum("size").cast("bigint").alias("bytes"),
+        F.sum(F.length("content")).cast("bigint").alias("chars"),
+        F.bit_xor(F.conv(F.substring(F.md5("content"), 1, 15), 16, 10).cast("bigint")).alias("texts"),
+    )
 
 
 @query(

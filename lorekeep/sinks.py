@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lorekeep.session import scratch_path
 
 
 def write_samples(df: DataFrame, path: str) -> str:
@@ -27,3 +33,45 @@ def overwrite_namespaces(rows: DataFrame, path: str) -> str:
     """Replace only the namespaces that occur in ``rows``; ``rows`` must not be read from ``path``."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(path)
     return path
+
+
+BUCKETS = 16
+
+
+def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+
+
+def write_buckets(index: DataFrame, path: str, buckets: int = BUCKETS) -> str:
+    """The whole table (namespace, doc_id, ...) to a new path: per namespace, ``buckets`` folders by a hash of the document."""
+    placed = _bucketed(index, buckets)
+    placed.repartition("namespace", "bucket").write.mode("errorifexists").partitionBy("namespace", "bucket").parquet(path)
+    return path
+
+
+def replace_documents(new: DataFrame, docs: DataFrame, path: str, buckets: int = BUCKETS) -> list[tuple[str, int]]:
+    """Replace all rows of ``docs`` (namespace, doc_id) by their rows in ``new``; the folders of their buckets alone are read and rewritten.
+
+    The merged buckets are written to the shared folder first, then over the old ones, so a failed run can be repeated. The touched
+    (namespace, bucket) pairs are given back; there are at most as many as there are folders. A bucket that becomes empty keeps one file
+    without rows.
+    """
+    spark = new.sparkSession
+    touched = [tuple(r) for r in _bucketed(docs, buckets).select("namespace", "bucket").distinct().collect()]
+    lies = lambda n, b: F.col("namespace").eqNullSafe(F.lit(n)) & (F.col("bucket") == b)
+    inside = reduce(Column.__or__, [lies(*pair) for pair in touched], F.lit(False))
+    stored = spark.read.parquet(path)
+    names = stored.columns
+    old = stored.where(inside).join(docs.select("namespace", "doc_id").distinct(), ["namespace", "doc_id"], "left_anti")
+    fresh = new.join(docs.select("namespace", "doc_id").distinct(), ["namespace", "doc_id"], "left_semi")
+    merged = old.select(*names).unionByName(_bucketed(fresh, buckets).select(*names))
+    out = scratch_path(spark, "buckets")
+    merged.write.partitionBy("namespace", "bucket").parquet(out)
+    schema = T.StructType([f for f in stored.schema if f.name not in ("namespace", "bucket")])
+    kept = spark.read.schema(stored.schema).parquet(out)
+    escaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    for namespace, bucket in touched:
+        own = kept.where(lies(namespace, bucket)).select(*schema.names)
+        folder = f"{path}/{escaped('namespace', namespace)}/bucket={bucket}"
+        own.coalesce(1).write.mode("overwrite").parquet(folder)
+    return touched

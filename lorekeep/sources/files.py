@@ -51,14 +51,21 @@ def decode_text(content: Column) -> Column:
 
 
 def read_files(
-    spark: SparkSession, path: str, extensions: Mapping[str, str] = EXTENSIONS, pattern: str | None = None
+    spark: SparkSession,
+    path: str,
+    extensions: Mapping[str, str] = EXTENSIONS,
+    pattern: str | None = None,
+    kind: Column | None = None,
 ) -> DataFrame:
-    """One row per file: path, mime_type, format, modified_time, size, content."""
+    """One row per file: path, mime_type, format, modified_time, size, content.
+
+    ``kind`` says which of ``extensions`` a file has, by default the end of its path in lower case; any other kind is read as raw bytes.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    mime = _pick(extension, extensions, F.lit(RAW_MIME))
+    mime = _pick(extension if kind is None else kind, extensions, F.lit(RAW_MIME))
     return reader.load(path).select(
         "path",
         mime.alias("mime_type"),

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import threading
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lorekeep.operators.governance import failure_rate
 from lorekeep.streaming.ingest import stream_id
@@ -32,6 +38,98 @@ def dedup_stream(
     return bucketed.dropDuplicates([*keys, "window"]).select(*keys, F.col("window.start").alias("bucket_start"))
 
 
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def first_of_repeats(stream: DataFrame, content: list[str], tie: str, ts: str = "ts", within: int = 3600, delay: str = "1 hour") -> DataFrame:
+    """The whole first event of each run of events with the same ``content`` columns; a run ends after ``within`` seconds without one.
+
+    Events wait in the state of their content (its hash is the key) until the watermark has passed them, and are then taken in order of
+    time and ``tie`` (unique), so the result is a function of the events and not of batches, as long as none is later than
+    ``delay``; runs go on across any edge of the clock. Event-time timers wake a content when its next event is due, and forget it when the run has
+    ended. Events that the watermark has not passed when the stream ends are given out when it goes on.
+    """
+    micros = within * 1_000_000
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, held = state.get if state.exists else (None, "[]")
+        waiting = json.loads(held)
+        for frame in frames:
+            waiting += [list(w) for w in zip(frame["__at"].tolist(), frame["__tie"].tolist(), frame["__row"].tolist(), strict=True)]
+        now = state.getCurrentWatermarkMs()
+        waiting.sort()
+        due = [w for w in waiting if w[0] // 1000 < now]
+        waiting = waiting[len(due) :]
+        out = []
+        for at, _, row in due:
+            if last is None or at - last > micros:
+                out.append(row)
+            last = at
+        ends = waiting[0][0] // 1000 if waiting else (last + micros) // 1000 + 1
+        if waiting or ends >= now:
+            state.update((last, json.dumps(waiting)))
+            state.setTimeoutTimestamp(max(ends, now + 1))
+        else:
+            state.remove()
+        if out:
+            yield pd.DataFrame({"__row": out})
+
+    keyed = stream.withWatermark(ts, delay).select(
+        ts,
+        F.sha2(F.to_json(F.struct(*content), _EXACT), 256).alias("__key"),
+        F.unix_micros(ts).alias("__at"),
+        F.col(tie).cast("string").alias("__tie"),
+        F.to_json(F.struct(*stream.columns), _EXACT).alias("__row"),
+    )
+    first = keyed.groupBy("__key").applyInPandasWithState(
+        run, "__row string", "last long, waiting string", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return first.select(F.from_json("__row", stream.schema, _EXACT).alias("row")).select("row.*")
+
+
+LATE = "query string, batch_id bigint, operator string, dropped bigint"
+
+
+class LateRows(StreamingQueryListener):
+    """Counts the rows that stateful operators dropped because the watermark had passed them, batch by batch.
+
+    An aggregation reports rows after its partial sums; operators on whole rows report events.
+    """
+
+    def __init__(self) -> None:
+        self.rows: dict[tuple, tuple] = {}
+        self.ended: set[str] = set()
+        self.changed = threading.Condition()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        with self.changed:
+            for place, operator in enumerate(progress.stateOperators):
+                row = (str(progress.id), progress.batchId, operator.operatorName, operator.numRowsDroppedByWatermark)
+                self.rows[str(progress.runId), progress.batchId, place] = row
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.ended.add(str(event.runId))
+            self.changed.notify_all()
+
+    def wait(self, query: StreamingQuery, seconds: float = 60) -> None:
+        """Until all that the query reported has arrived here."""
+        with self.changed:
+            self.changed.wait_for(lambda: str(query.runId) in self.ended, seconds)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """One row for each query, batch and stateful operator."""
+        with self.changed:
+            return spark.createDataFrame(list(self.rows.values()), LATE)
+
+
 def failure_stream(
     calls: DataFrame, delay: str = "10 minutes", window: str = "1 hour", slide: str | None = None
 ) -> DataFrame:
@@ -39,8 +137,10 @@ def failure_stream(
     return failure_rate(calls.withWatermark("ts", delay), window, slide)
 
 
-def run_to_end(result: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Write all available input to Parquet in append mode and read it back."""
+def run_to_end(result: DataFrame, path: str, checkpoint: str, late: LateRows | None = None) -> DataFrame:
+    """Write all available input to Parquet in append mode and read it back; ``late`` counts what came too late."""
+    if late is not None:
+        result.sparkSession.streams.addListener(late)
     query = (
         result.writeStream.format("parquet")
         .outputMode("append")
@@ -50,6 +150,9 @@ def run_to_end(result: DataFrame, path: str, checkpoint: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
+    if late is not None:
+        late.wait(query)
+        result.sparkSession.streams.removeListener(late)
     return result.sparkSession.read.schema(result.schema).parquet(path)
 
 

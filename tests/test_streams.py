@@ -283,3 +283,28 @@ def test_ledger_survives_a_restart(spark):
     for _ in range(2):  # a restart adds nothing
         ev.start_ledger(costed, f"{path}/ledger", f"{path}/ledger-cp").awaitTermination()
     assert [tuple(r) for r in ev.ledger(spark, f"{path}/ledger").collect()] == [("2024-02", "m", 400, 100.0)]
+
+
+def test_first_of_repeats_does_not_depend_on_batches(spark):
+    minutes = [(i, i * 7 % 400, i % 5) for i in range(300)]  # (id, minute, content)
+    df = spark.createDataFrame(minutes, "id int, minute int, said int").select(
+        "id", (STAMP + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minute"), F.lit(0.000123))).alias("ts"), F.concat(F.lit("é "), "said").alias("said"), F.array("said").alias("list")
+    )
+    late = [m for _, m, _ in minutes]
+    want, last = [], {}
+    for number, minute, said in sorted(minutes, key=lambda r: (r[1], str(r[0]))):
+        if minute < max(late) - 120:
+            if said not in last or minute - last[said] > 12:
+                want.append(number)
+            last[said] = minute
+    for files in (1, 6):
+        folder, path = scratch_path(spark, "t-events"), scratch_path(spark, "t-first")
+        for k in range(files):
+            df.where(F.floor((F.unix_timestamp("ts") - F.unix_timestamp(STAMP)) * files / 60 / 401) == k).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        counted = ev.LateRows()
+        first = ev.first_of_repeats(stream, ["said"], "id", within=12 * 60, delay="2 hours")
+        out = ev.run_to_end(first, f"{path}/out", f"{path}/cp", counted)
+        rows = {r.id: (r.ts, r.said, r.list) for r in out.collect()}
+        assert sorted(rows) == sorted(want) and rows == {r.id: (r.ts, r.said, r.list) for r in df.collect() if r.id in rows}
+        assert counted.table(spark).agg(F.sum("dropped")).first()[0] == 0

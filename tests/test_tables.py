@@ -15,9 +15,11 @@ from lorekeep.operators import governance as gv
 from lorekeep.operators import index as ix
 from lorekeep.operators import ivf
 from lorekeep.operators import messages as ms
+from lorekeep.operators import postings as ps
 from lorekeep.operators import running as rn
 from lorekeep.operators import search as sr
 from lorekeep.session import scratch_path
+from lorekeep import sinks
 from lorekeep.sinks import overwrite_namespaces, write_index
 from lorekeep.sources import exports as ex
 from lorekeep.sources.files import read_files
@@ -167,6 +169,31 @@ def test_inverted_file_with_all_cells_is_exact(spark):
     assert ivf.top_k(spark, empty, a, 3).count() == 0
 
 
+def test_postings_search_skips_frequent_terms(spark, monkeypatch):
+    draw = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(400)]
+    texts = ["the of and " * 6 + " ".join(draw.choice(words, 12)) + (f" rare{i % 300}" * 2) for i in range(1500)] + ["", None, " \n"] + [f"the cat {'of and ' * 9}"] * 2
+    chunks = spark.createDataFrame([("ab"[i % 2], f"{i:04}", t) for i, t in enumerate(texts)], "namespace string, id string, content string")
+    asked = [("q1", "the rare7 rare8"), ("q2", "the of and"), ("q3", "nowhere"), ("q4", ""), ("q5", None), ("q6", "w1 w2 rare9 of"), ("q7", "the")]
+    queries = spark.createDataFrame(asked, "query_id string, text string")
+    path = ps.build(chunks, scratch_path(spark, "t-postings"))
+    vector = lambda df, col: {r[0]: {t.term: t.weight for t in r[1]} for r in df.select(df.columns[-2], ps.sparse_vector(F.col(col))).collect()}
+    held = {k: v for k, v in vector(chunks.select("id", "content"), "content").items() if v}
+    want = set()
+    for q, own in vector(queries.select("query_id", "text"), "text").items():
+        scores = [(-round(sum(x * own.get(t, 0.0) for t, x in terms.items()), 6), i) for i, terms in held.items()]
+        want |= {(q, i, rank) for rank, (score, i) in enumerate(sorted(s for s in scores if s[0] < 0)[:5], 1)}
+    read = []
+    met = ps._met
+    monkeypatch.setattr(ps, "_met", lambda s, p, a: read.append({(r.query_id, r.df) for r in a.collect()}) or met(s, p, a))
+    got = {(r.query_id, r.id, r["rank"]) for r in ps.search(spark, path, queries, 5).collect()}
+    assert got == want and len(got) >= 20
+    # The list of "the", which is in every chunk, is not read for a query that rarer terms decide.
+    assert not [(q, df, number) for number, step in enumerate(read) for q, df in step if df > 1000 and q in ("q1", "q6")]
+    empty = ps.build(chunks.where("false"), scratch_path(spark, "t-postings"))
+    assert ps.search(spark, empty, queries).count() == 0 and ps.search(spark, path, queries.where("false")).count() == 0
+
+
 def test_hash_embedding_is_a_unit_vector(spark):
     df = spark.createDataFrame([("one two two",), ("One TWO two",), ("",), (None,), ("éa éa",)], "content string")
     rows = em.embed_hash(df).collect()
@@ -433,6 +460,24 @@ def test_index_sink_replaces_only_touched_namespaces(spark):
     assert counts == {"slack/": 1, "notion/": 5, "drive/": 5, "default": 5}
 
 
+def test_replacing_one_document_rewrites_one_bucket(spark):
+    rows = [("a/b" if i % 2 else "c d=", f"d{i // 2}", str(i), "first") for i in range(200)]
+    frame = spark.createDataFrame(rows, "namespace string, doc_id string, id string, version string")
+    path = sinks.write_buckets(frame, scratch_path(spark, "t-buckets"), 8)
+    files = lambda: set(spark.read.parquet(path).inputFiles())
+    before = files()
+    new = spark.createDataFrame([("a/b", "d3", "7a", "second"), ("a/b", "d3", "7b", "second"), ("a/b", "d99", "0", "not asked")], frame.schema)
+    docs = new.where("doc_id = 'd3'").select("namespace", "doc_id")
+    assert len(sinks.replace_documents(new, docs, path, 8)) == 1
+    assert len(before - files()) == 1 and len(files() - before) == 1
+    want = {(n, d, i, v) for n, d, i, v in rows if (n, d) != ("a/b", "d3")} | {("a/b", "d3", "7a", "second"), ("a/b", "d3", "7b", "second")}
+    got = lambda: {tuple(r) for r in spark.read.parquet(path).select("namespace", "doc_id", "id", "version").collect()}
+    assert got() == want
+    # nothing is left of them
+    sinks.replace_documents(new.where("false"), frame.where("namespace = 'a/b'").select("namespace", "doc_id"), path, 8)
+    assert got() == {row for row in want if row[0] == "c d="}
+
+
 def test_vectors_of_different_lengths_are_refused(spark):
     ragged = spark.createDataFrame(
         [("n", str(i), [1.0] * n) for i, n in enumerate((3, 3, 2, 4))], "namespace string, id string, values array<double>"
