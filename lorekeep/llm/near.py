@@ -126,17 +126,29 @@ def _unite(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return used
 
 
+def _close(least_equal: int):
+    """Texts beside the representative of their branch: the pairs whose signatures are close enough."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        sign, other = (_binary(batch.column(c), TREES * DEPTH) for c in ("sign", "__sign"))
+        at = pa.array(np.flatnonzero((sign == other).sum(1) >= least_equal))
+        return pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("node", "__rep")], ["a", "b"]) if len(at) else None
+
+    return run
+
+
 def _candidates(least_equal: int):
     """Within groups of texts with a common prefix: a forest over the pairs whose signatures are close enough.
 
-    Pairs that are connected already are not compared, so a group of copies costs little, and a group gives fewer
-    edges than rows.
+    Pairs that are connected already, here or by deeper prefixes, are not compared, so a group of copies costs little, and a
+    group gives fewer edges than rows.
     """
 
     def run(table: pa.Table) -> pa.RecordBatch | None:
         group, node, block, cross = (table.column(c).to_numpy() for c in ("__g", "node", "__b", "__cross"))
         sign = _binary(table.column("sign"), TREES * DEPTH)
-        parent, used = np.arange(len(node)), []
+        _, first, own = np.unique(table.column("comp").to_numpy(), return_index=True, return_inverse=True)
+        parent, used = first[own], []
         sizes = np.diff(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])))
         for k in range(1, int(sizes.max())):
             at = np.flatnonzero((group[k:] == group[:-k]) & (~cross[k:] | (block[k:] != block[:-k])))
@@ -155,6 +167,50 @@ def _candidates(least_equal: int):
     return run
 
 
+def forest_candidates(nodes: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Components (node, root) of the candidates among nodes (node, sign), and (depth, rows compared) of each step of the walk.
+
+    A trie holds one branch of DEPTH bytes of each text. The walk starts at whole branches: every text is held against the smallest
+    node of its branch, in one row each, which already connects most of a group of near copies. Then prefixes are shortened byte by byte, until
+    a pair at the threshold has met in some tree with probability ``recall``. At each depth only those subtrees are opened whose texts do not
+    yet form one component, so dense regions are done with at deep prefixes and only texts that are still apart walk on. What a subtree
+    connects does not depend on the order, and the last depth sees every pair that is apart: all components are those of
+    comparing whole subtrees at the last depth.
+    """
+    total = TREES * DEPTH
+    least_equal = int(total * threshold - 4 * (total * threshold * (1 - threshold)) ** 0.5)
+    last = prefix_length(threshold, recall)
+    tree = lambda t: F.substring("sign", t * DEPTH + 1, F.lit(DEPTH))
+    every = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), tree)).alias("tree", "branch"))
+    prefix = lambda n: F.xxhash64("tree", F.substring("branch", 1, n))
+    tries = every.withColumn("top", prefix(last))
+    shared = tries.groupBy(F.col("top").alias("__top")).agg(F.count("*").alias("size")).where("size > 1").select("__top")
+    met = tries.join(shared, F.col("top") == F.col("__top")).select("node", "tree", "branch")
+    signs = nodes.select(F.col("node").alias("__node"), "sign")
+    met = written(met.join(signs, F.col("node") == F.col("__node")).drop("__node"), "near-branches")
+
+    whole = met.withColumn("__g", prefix(DEPTH))
+    reps = whole.groupBy(F.col("__g").alias("__of")).agg(F.min(F.struct("node", "sign")).alias("rep"), F.count("*").alias("size")).where("size > 1")
+    beside = whole.join(reps.select("__of", F.col("rep.node").alias("__rep"), F.col("rep.sign").alias("__sign")), F.col("__g") == F.col("__of"))
+    beside = beside.where("node <> __rep").select("node", "__rep", "sign", "__sign")
+    edges = written(arrow_map(beside, _close(least_equal), "a long, b long").distinct(), "near-beside")
+    labels = components(edges, "near-candidates")
+    steps = [(DEPTH, beside.count())]
+    for depth in range(DEPTH - 1, last - 1, -1):
+        own = met.join(labels.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
+        own = own.select("node", "sign", F.coalesce("root", "node").alias("comp"), prefix(depth).alias("__top"))
+        apart = own.groupBy(F.col("__top").alias("__open")).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size"))
+        apart = apart.where("least < most").select("__open", "size")
+        live = written(own.join(apart, F.col("__top") == F.col("__open")).select("__top", "node", "comp", "sign", "size"), "near-open")
+        steps.append((depth, live.count()))
+        if not steps[-1][1]:
+            continue
+        blocked = _blocked(live, ["__top"], F.ceil(F.col("size") / BLOCK_ROWS)).select("__g", "node", "comp", "__b", "__cross", "sign")
+        found = written(arrow_groups(blocked, "__g", _candidates(least_equal), "a long, b long"), "near-found")
+        labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), "near-candidates")
+    return labels, steps
+
+
 def _verified(threshold: float):
     """Within groups of candidates: exact similarities; for each text its linked documents and the smallest text it is linked
     to over links inside the group."""
@@ -226,9 +282,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     them. ``row`` is a hash of id and text.
 
     1. Every text becomes a signature of TREES branches of DEPTH one-byte minima; texts with equal sets become one node.
-    2. In each trie the texts with a common prefix are compared by whole signature, where the prefix is shortened until
-       a pair at the threshold is met with probability ``recall``. A signature that agrees in four standard deviations less
-       than expected at the threshold is still a candidate.
+    2. In each trie the texts with a common prefix are compared by whole signature, from whole branches to shorter prefixes, dense
+       regions first, until a pair at the threshold has met with probability ``recall`` (``forest_candidates``). A signature that agrees in
+       four standard deviations less than expected at the threshold is still a candidate.
     3. Components of the candidates are verified exactly and completely: all pairs in a component are counted.
     Groups are cut into blocks of bounded rows and shingles, every pair of blocks being a task's unit, so a hot group is spread; the
     work on a group of different near copies is quadratic, its rows and results are not.
@@ -253,19 +309,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
         "near-nodes",
     )
 
-    length = prefix_length(threshold, recall)
-    tries = nodes.where("n > 0").select(
-        "node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("sign", t * DEPTH + 1, F.lit(length)))).alias("tree", "prefix")
-    ).select("node", F.xxhash64("tree", "prefix").alias("branch"))
-    shared = tries.groupBy(F.col("branch").alias("__branch")).agg(F.count("*").alias("size")).where("size > 1")
-    met = tries.join(shared, F.col("branch") == F.col("__branch")).select("branch", "node", "size")
-    signs = nodes.select(F.col("node").alias("__node"), "sign")
-    met = met.join(signs, F.col("node") == F.col("__node")).drop("__node")
-    total = TREES * DEPTH
-    least_equal = int(total * threshold - 4 * (total * threshold * (1 - threshold)) ** 0.5)
-    blocked = _blocked(met, ["branch"], F.ceil(F.col("size") / BLOCK_ROWS)).select("__g", "node", "__b", "__cross", "sign")
-    candidates = arrow_groups(blocked, "__g", _candidates(least_equal), "a long, b long")
-    members = components(candidates, "near-candidates")
+    members, _ = forest_candidates(nodes.where("n > 0").select("node", "sign"), threshold, recall)
 
     sized = members.join(nodes.select(F.col("node").alias("__node"), "key", "row", "n", "copies"), F.col("node") == F.col("__node")).drop("__node")
     sizes = sized.groupBy(F.col("root").alias("__root")).agg(F.count("*").alias("__rows"), F.sum("n").alias("__shingles"))

@@ -410,6 +410,31 @@ def test_blocks_of_a_hot_group_find_the_same(spark, monkeypatch):
     assert all(r[1] == 0 and r[2] > 0 for r in whole)
 
 
+def test_dense_regions_are_done_with_at_deep_prefixes(spark):
+    stem = prose(300).split()
+    rows = []
+    for k in range(600):  # near copies of one text, and pairs that are close to the threshold
+        own = list(stem)
+        own[k % 300] = f"w{k}"
+        rows.append((k, " ".join(own)))
+    for k in range(600, 640, 2):
+        own = prose(100).split()
+        other = list(own)
+        for at in (20, 60):
+            other[at] = f"v{k}"
+        rows += [(k, " ".join(own)), (k + 1, " ".join(other))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = near.arrow_map(frame.select("doc_id", F.col("doc_id").alias("row"), near._word_hashes().alias("words")), near._sign, "doc_id long, row long, key binary, n long, sign binary")
+    nodes = signed.select(F.col("doc_id").alias("node"), "sign")
+    members, steps = near.forest_candidates(nodes, 0.8, 0.9999)
+    roots = {r["node"]: r["root"] for r in members.collect()}
+    assert [depth for depth, _ in steps] == [8, 7, 6, 5]
+    # The first step is one row for each text and tree; nothing of the 600 near copies walks on.
+    assert 600 < steps[0][1] <= 600 * near.TREES + 100
+    assert all(n < 300 for _, n in steps[1:])
+    assert all(roots[k] == 0 for k in range(600)) and all(roots.get(k + 1) == k for k in range(600, 640, 2))
+
+
 def test_prefixes_shorten_until_the_recall():
     assert near.prefix_length(0.8, 0.9) == 8 and near.prefix_length(0.8, 0.9999) == 5
 
