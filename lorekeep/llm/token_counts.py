@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,8 @@ from lorekeep.llm.common import arrow_map
 # The white space of the pattern and its pieces.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-CACHE = 400_000
+CACHE, CACHE_CHARS = 400_000, 16_000_000
+LONG = 400  # bytes; longer pieces are merged by lists of places
 NONE = np.iinfo(np.int64).max
 
 
@@ -54,7 +57,9 @@ class RankMerger:
         self.pieces = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         ).findall
+        self.rank_of = dict(zip(pairs.tolist(), range(len(pairs)), strict=True))
         self.known: dict[str, int] = {}
+        self.held = 0  # characters of what is known
 
     def _rank(self, symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Rank of the pair that starts at each symbol; NONE where there is no merge."""
@@ -68,7 +73,9 @@ class RankMerger:
         """Number of tokens of each piece."""
         sizes = np.array([len(p) for p in pieces], np.int64)
         out = sizes.copy()
-        owner = np.flatnonzero(sizes > 1)
+        for place in np.flatnonzero(sizes > LONG).tolist():
+            out[place] = self.merged_long(pieces[place])
+        owner = np.flatnonzero((sizes > 1) & (sizes <= LONG))
         symbols = self.base[np.frombuffer(b"".join(pieces[i] for i in owner), np.uint8)]
         lengths = sizes[owner]
         while len(owner):
@@ -91,6 +98,48 @@ class RankMerger:
             symbols, owner, lengths = symbols[keep], owner[live], lengths[live]
         return out
 
+    def merged_long(self, piece: bytes) -> int:
+        """Number of tokens of one long piece: the same rounds, lowest rank first and all its places from the left, but a round visits
+        only the places of its rank, which wait in lists by rank; so the work is that of the merges and not rounds x length."""
+        first = self.base[np.frombuffer(piece, np.uint8)]
+        size, width, rank_of = len(first), self.width, self.rank_of.get
+        last = np.zeros(size, bool)
+        last[-1] = True
+        ranks = self._rank(first, last)
+        order = np.argsort(ranks, kind="stable")
+        order = order[: int((ranks != NONE).sum())]
+        names, starts = np.unique(ranks[order], return_index=True)
+        waiting = dict(zip(names.tolist(), [own.tolist() for own in np.split(order, starts[1:])], strict=True)) if len(names) else {}
+        heap = sorted(waiting)
+        symbol, made = array("q", first.tolist()), self.made.tolist()
+        after, before = array("i", range(1, size + 1)), array("i", range(-1, size - 1))
+
+        def wait(rank: int | None, place: int) -> None:
+            if rank is not None:
+                if rank in waiting:
+                    waiting[rank].append(place)
+                else:
+                    waiting[rank] = [place]
+                    heappush(heap, rank)
+
+        left = size
+        while heap:
+            rank = heappop(heap)
+            new = made[rank]
+            for i in sorted(waiting.pop(rank, ())):
+                j = after[i]
+                if j >= size or symbol[i] < 0 or rank_of(symbol[i] * width + symbol[j]) != rank:
+                    continue  # one of the two has gone into another merge
+                k = after[j]
+                symbol[i], symbol[j], after[i] = new, -1, k
+                left -= 1
+                if k < size:
+                    before[k] = i
+                    wait(rank_of(new * width + symbol[k]), i)
+                if before[i] >= 0:
+                    wait(rank_of(symbol[before[i]] * width + new), before[i])
+        return left
+
     @staticmethod
     def _apart(hit: np.ndarray) -> np.ndarray:
         """Of hits in a row, every second one from the first: a symbol belongs to one merge only."""
@@ -110,6 +159,7 @@ class RankMerger:
         counts = dict(zip(unique, self.merged([p.encode() for p in unique]).tolist(), strict=True))
         for chunk, pieces in zip(chunks, split, strict=True):
             self.known[chunk] = sum(counts[p] for p in pieces)
+            self.held += len(chunk)
 
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of whole texts; a special token's string is that one token."""
@@ -120,14 +170,18 @@ class RankMerger:
             chunks.append([chunk for part in parts for chunk in CHUNK.findall(part)])
         new = set().union(*chunks)
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
+            self.forget()
         self.learn(new - self.known.keys())
         known = self.known.__getitem__
         out = [n + sum(map(known, own)) for n, own in zip(specials, chunks, strict=True)]
-        if len(self.known) > CACHE:
-            self.known.clear()
+        if len(self.known) > CACHE or self.held > CACHE_CHARS:
+            self.forget()
         return out
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
+
 
 @lru_cache(maxsize=1)
 def merger(path: str) -> RankMerger:
@@ -140,7 +194,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     A null or empty text has 0 of both. Repeated rows give repeated results, null ids stay, other columns do not
     matter, an empty table gives no rows. No shuffle: batches of texts are bounded by bytes, and what a worker
-    remembers of earlier chunks is bounded by number. Returns doc_id, n_bytes, n_tokens, over_limit.
+    remembers of earlier chunks is bounded by number and by characters, and a word of any length takes time in proportion to its merges. Returns doc_id, n_bytes, n_tokens, over_limit.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 

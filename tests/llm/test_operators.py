@@ -275,7 +275,9 @@ FUZZ = ["".join(RANDOM.choice(ALPHABET) for _ in range(RANDOM.randint(0, 60))) f
 def test_token_counts_equal_the_library(spark, docs, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = tokenizers.Tokenizer.from_file(path)
-    texts = [t for t in TEXTS if t is not None] + FUZZ + ["<|endoftext|>" * 3, "ab" * 700, "a" * 3000]
+    long = ["".join(RANDOM.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (399, 401, 5_000, 100_000)]
+    long += ["é" * 900, "aab" * 2_000, "=-" * 2_000, *["".join(RANDOM.choices(["the", "ing", "tion", "a", "e"], k=300)) for _ in range(40)]]
+    texts = [t for t in TEXTS if t is not None] + FUZZ + ["<|endoftext|>" * 3, "ab" * 700, "a" * 3000, *long]
     assert token_counts.RankMerger(path).count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
     got = token_counts.count_tokens(docs, path).collect()
     want = Counter((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in ROWS)
