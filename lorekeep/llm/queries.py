@@ -35,7 +35,9 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = load(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("block")
     )
-    return urls.judge(pages, URL_RULES, urls.mine(pages, labels)).drop("url")
+    judged = urls.judge(pages, URL_RULES, urls.mine(pages, labels)).drop("url")
+    first = ["page_id", "host", "path", "rule", "verdict"]
+    return judged.select(*first, *[c for c in judged.columns if c not in first])
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,8 @@ def mine(
     FP-growth runs over the tokens of all labelled pages with the label as one more token. Rules that end in the label are
     kept from ``min_confidence`` on, if no rule over fewer of their tokens is as confident. At least ``min_count`` pages
     must bear a rule out, however many are labelled. Tokens that occur in exactly the same labelled pages are one item of
-    FP-growth, and each of them stands in the rules over it, so copies of a long URL do not list all subsets of its tokens.
+    FP-growth, and each of them stands in the rules over it, and tokens of blocked pages alone are rules by themselves and no items,
+    so copies and variants of a long URL do not list all subsets of its tokens.
     More than ``max_rules`` that are left raise, because the rules are sent to every task; none are dropped.
     """
     labelled = (
@@ -100,8 +101,16 @@ def mine(
     # The same pages: as many, and the same sums of two hashes of them.
     each = labelled.select("__page", "__block", F.explode("__tokens").alias("__token"))
     summed = [F.sum(F.xxhash64("__page", F.lit(salt)).cast("decimal(38,0)")).alias(f"__sum{salt}") for salt in (0, 1)]
-    tokens = each.groupBy("__token").agg(F.count("*").alias("__n"), F.count_if("__block").alias("__b"), *summed).where(F.col("__b") >= min_count)
-    groups = tokens.groupBy("__n", "__sum0", "__sum1").agg(F.min("__token").alias("__item"), F.collect_list("__token").alias("__same"))
+    tokens = written(
+        each.groupBy("__token").agg(F.count("*").alias("__n"), F.count_if("__block").alias("__b"), *summed).where(F.col("__b") >= min_count), "url-counts"
+    )
+    # A token of blocked pages alone is a rule that no longer rule can be surer than; what shares it is not combined.
+    sure = tokens.where("__n = __b").select("__token", "__b").limit(max_rules + 1).collect()
+    if len(sure) > max_rules:
+        raise ValueError(f"more than {max_rules} rules: raise min_count or min_confidence")
+    certain = [Mined((r["__token"],), 1.0, r["__b"] / rows) for r in sure]
+    ordered = lambda rules: sorted(rules, key=lambda r: (-r.confidence, len(r.tokens), r.tokens))
+    groups = tokens.where("__n > __b").groupBy("__n", "__sum0", "__sum1").agg(F.min("__token").alias("__item"), F.collect_list("__token").alias("__same"))
     groups = written(groups.select("__item", "__same"), "url-items")
     # One token of a group stands for it; the others are dropped, and with them what no rule can hold.
     wanted = groups.select(F.col("__item").alias("__token"))
@@ -111,7 +120,7 @@ def mine(
     merged = written(merged.select(items.alias("items")), "url-merged")
     held = merged.count()
     if not held:
-        return []
+        return ordered(certain)
     support = min(1.0, (min_count - 0.5) / held)  # half a page less, as FP-growth rounds the product up
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(merged)
     found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(
@@ -130,13 +139,13 @@ def mine(
         rest = found.where(F.size("tokens") > size).join(idle.select("tokens").distinct(), "tokens", "left_anti")
         found = written(rest, "url-rules")
     if not kept:
-        return []
+        return ordered(certain)
     used = pages.sparkSession.createDataFrame([(t,) for t in {t for r in kept for t in r["tokens"]}], "__item string")
     same = {r["__item"]: sorted(r["__same"]) for r in groups.join(F.broadcast(used), "__item").collect()}
-    if sum(prod(len(same[t]) for t in r["tokens"]) for r in kept) > max_rules:
+    if len(certain) + sum(prod(len(same[t]) for t in r["tokens"]) for r in kept) > max_rules:
         raise ValueError(f"more than {max_rules} rules: raise min_count or min_confidence")
     rules = [Mined(tuple(sorted(one)), r["confidence"], r["support"]) for r in kept for one in product(*[same[t] for t in r["tokens"]])]
-    return sorted(rules, key=lambda r: (-r.confidence, len(r.tokens), r.tokens))
+    return ordered(certain + rules)
 
 
 def judge(pages: DataFrame, rules: Sequence[HostRule], mined: Sequence[Mined]) -> DataFrame:

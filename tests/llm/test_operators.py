@@ -138,6 +138,18 @@ def test_copies_of_a_long_url_give_short_rules(spark):
     assert all(r.confidence == 1 and r.support == 25 / 60 for r in mined)
 
 
+@pytest.mark.parametrize("n", [18, 25])
+def test_variants_of_a_long_url_give_short_rules(spark, n):
+    """200 blocked pages that share n words, each without one of them: 2^n subsets occur together."""
+    own = [chr(97 + i) + "zz" for i in range(n)]
+    rows = [(k, "x://spam/" + "/".join(w for i, w in enumerate(own) if i != k % n)) for k in range(200)]
+    rows += [(200 + k, f"x://news/{chr(97 + k % 20)}yy") for k in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    mined = urls.mine(pages, pages.select("page_id", (F.col("page_id") < 200).alias("block")))
+    assert sorted(r.tokens for r in mined) == sorted([("host=spam",), *((f"path={w}",) for w in own)])
+    assert all(r.confidence == 1 for r in mined)
+
+
 def test_mined_rules_against_brute_force(spark):
     random = np.random.default_rng(4)
     drawn = random.random((300, 5)) < 0.5
