@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from lorekeep.session import scratch_path
 
 METRICS = ("cosine", "euclidean", "dotproduct")  # fixed values
 RESIDENT_BYTES = 32 << 20  # of the queries that every task holds
-PASS_BLOCKS = 4  # blocks of queries that meet the index in one pass
+PASS_BYTES = 128 << 20  # of the queries that meet the index in one pass, in blocks of RESIDENT_BYTES
 HITS_TO_BROADCAST = 500_000
 SLAB_ROWS = 16_384
 BLOCK_SCORES = 2_000_000
@@ -201,18 +200,20 @@ def _local_hits(
 
 
 def _many_hits(queries: DataFrame, vectors: DataFrame, k: int, metric: str, by_namespace: bool, bound: int) -> DataFrame:
-    """More queries than a task may hold: PASS_BLOCKS blocks of them in each pass over the index, which is never copied or shuffled.
+    """More queries than a task may hold at once: as many as PASS_BYTES hold, in blocks of ``bound``, in each pass over the index, which
+    is never copied or shuffled.
 
-    Neither the driver nor a task holds more than the blocks of one pass. With more than one pass each writes its hits, of bounded
-    number for each query, to the shared folder before the next is loaded.
+    Neither the driver nor a worker holds more than the queries of one pass. With more than one pass each writes its hits, of bounded number
+    for each query, to the shared folder before the next is loaded.
     """
-    spark, paths, held = vectors.sparkSession, [], []
-    blocks = _blocks(queries, bound)
-    while held or not paths:
-        held = held or list(islice(blocks, PASS_BLOCKS))
-        hits = _local_hits(vectors, held, k, metric, by_namespace)
-        held = list(islice(blocks, PASS_BLOCKS))
-        if not paths and not held:
+    spark, paths = vectors.sparkSession, []
+    longest = queries.agg(F.max(F.size("values"))).first()[0]
+    most = max(bound, PASS_BYTES // (8 * max(1, longest or 1)))
+    whole = _resident(queries, most)
+    for ids, matrix in [whole] if whole else _blocks(queries, most):
+        cuts = range(0, max(1, len(ids)), bound)
+        hits = _local_hits(vectors, [(ids[at : at + bound], matrix[at : at + bound]) for at in cuts], k, metric, by_namespace)
+        if whole:
             return hits
         paths.append(scratch_path(spark, "hits"))
         hits.write.parquet(paths[-1])

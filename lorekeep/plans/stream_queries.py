@@ -15,7 +15,7 @@ from lorekeep.operators import search as sr
 from lorekeep.operators.embedding import embed_hash
 from lorekeep.operators import volume as vl
 from lorekeep.plans import bindings as b
-from lorekeep.plans.registry import ORACLES, query
+from lorekeep.plans.registry import ORACLES, QUERIES, query
 from lorekeep.session import scratch_path
 from lorekeep.sources.envelope import decode_events
 from lorekeep.streaming import events as ev
@@ -319,6 +319,14 @@ def sink_reports(spark, sf_dir):
     return report.select(names.alias("report"), F.coalesce(*rows).alias("rows_read"))
 
 
+@query("sink_critical_matches", ORACLES["critical_only"])
+def sink_critical_matches(spark, sf_dir):
+    """The critical matches beside the scan report: rows of files, as many as there are matches."""
+    rows = QUERIES["critical_only"](spark, sf_dir)
+    path = sinks.write_samples(rows, scratch_path(spark, "critical"))
+    return spark.read.schema(rows.schema).json(path)
+
+
 @query(
     "sink_index",
     f"""WITH {b.VECTORS_SQL} SELECT namespace, count(*) AS vector_count,

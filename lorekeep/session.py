@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,9 +63,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SCOPES: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder; nothing is ever written twice to one path."""
-    return f"{shared_folder(spark)}/lorekeep/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; nothing is ever written twice to one path.
+
+    It stays until the ``scratch_scope`` around it ends, outside of one until the caller removes it.
+    """
+    return f"{_SCOPES[-1] if _SCOPES else shared_folder(spark) + '/lorekeep'}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """Scratch tables made inside are removed at the end, whatever happens: read or write the results before.
+
+    One scope at a time is open in a driver; one inside another has a folder of its own.
+    """
+    folder = f"{shared_folder(spark)}/lorekeep/scope-{uuid.uuid4().hex}"
+    _SCOPES.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPES.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from lorekeep.operators import messages as ms
 from lorekeep.operators import postings as ps
 from lorekeep.operators import running as rn
 from lorekeep.operators import search as sr
-from lorekeep.session import scratch_path
+from lorekeep.session import scratch_path, scratch_scope, shared_folder
 from lorekeep import sinks
 from lorekeep.sinks import overwrite_namespaces, write_index
 from lorekeep.sources import exports as ex
@@ -70,7 +70,7 @@ def brute(vectors, queries, names, k, metric, per_namespace, allowed=None):
 @pytest.mark.parametrize("resident", [100, 4])
 def test_top_k_equals_brute_force(spark, monkeypatch, metric, resident):
     monkeypatch.setattr(sr, "SLAB_ROWS", 10)  # many blocks, slabs and passes once the queries do not fit
-    monkeypatch.setattr(sr, "PASS_BLOCKS", 3)
+    monkeypatch.setattr(sr, "PASS_BYTES", 8 * 12 * 9)
     v, a, vectors, queries, names = vectors_and_queries(spark)
     got = sr.top_k(a, v, 7, metric, resident=resident).collect()
     assert {(r.query_id, r.namespace, r.id, r["rank"]) for r in got} == brute(vectors, queries, names, 7, metric, False)
@@ -116,9 +116,8 @@ def test_many_queries_never_shuffle_the_index(spark):
     ids = lambda df: sorted(map(tuple, df.collect()))
     plan = sr.top_k(a, v, 3, resident=8)._jdf.queryExecution().executedPlan().toString()
     assert ids(sr.top_k(a, v, 3, resident=8)) == ids(sr.top_k(a, v, 3))
-    # Only hits are exchanged: the one exchange stands above the pass over the index, or above the hits it wrote.
-    below = plan[plan.index("Exchange") :] if "Exchange" in plan else ""
-    assert "values" not in below.split("MapInArrow")[0] and "Exchange" not in "".join(below.split("MapInArrow")[1:])
+    # What is exchanged is hits, above the pass over the index; nothing below the pass is.
+    assert plan.count("hashpartitioning") == 1 and "hashpartitioning" not in plan[plan.index("MapInArrow") :]
 
 
 def clusters(spark, n=6000, dim=16, groups=40, seed=5):
@@ -510,3 +509,21 @@ def test_no_caps_unless_asked(spark):
     assert ms.recent_messages(messages, NOW, 1).count() == 700
     files = spark.range(150).selectExpr("CAST(id AS STRING) file_id", "array('f') parents", "'t' mime_type", "'n' name", "'x' content")
     assert ex.list_files(files, "f").count() == ex.search_files(files, "x").count() == 150
+
+
+def test_scratch_goes_with_its_scope(spark):
+    import os
+
+    v, a, *_ = vectors_and_queries(spark)
+    folder = shared_folder(spark).removeprefix("file://") + "/lorekeep"
+    os.makedirs(folder, exist_ok=True)
+    before = set(os.listdir(folder))
+    with scratch_scope(spark) as scope:
+        path = ivf.build(v, scratch_path(spark, "t-ivf"), cells=4)
+        assert path.startswith(scope) and ivf.top_k(spark, path, a, 3, resident=8).count() == 75
+        with pytest.raises(ZeroDivisionError), scratch_scope(spark):
+            v.write.parquet(scratch_path(spark, "t-inner"))
+            1 / 0
+        assert len(os.listdir(scope.removeprefix("file://"))) > 1
+    assert set(os.listdir(folder)) == before
+    assert not scratch_path(spark, "t-after").startswith(scope)
