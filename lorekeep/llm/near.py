@@ -137,28 +137,36 @@ def _close(least_equal: int):
     return run
 
 
-def _candidates(least_equal: int):
-    """Within groups of texts with a common prefix: a forest over the pairs whose signatures are close enough.
+def _candidates(least_equal: int, last: int):
+    """Within subtrees (__g) of texts with ``last`` bytes in common: a forest over the pairs whose signatures are close enough.
 
-    Pairs that are connected already, here or by deeper prefixes, are not compared, so a group of copies costs little, and a
-    group gives fewer edges than rows.
+    A subtree is sorted by its branches and walked from prefixes one byte short of whole to those of ``last`` bytes, so a
+    prefix holds neighbours. Pairs that are connected already, by other trees or by deeper prefixes, are not compared: a dense region is
+    done with at a deep prefix, and a group gives fewer edges than rows.
     """
 
     def run(table: pa.Table) -> pa.RecordBatch | None:
-        group, node, block, cross = (table.column(c).to_numpy() for c in ("__g", "node", "__b", "__cross"))
-        sign = _binary(table.column("sign"), TREES * DEPTH)
-        _, first, own = np.unique(table.column("comp").to_numpy(), return_index=True, return_inverse=True)
+        branch = _binary(table.column("branch"), DEPTH).copy().view(">u8")[:, 0].astype(np.uint64)
+        order = np.lexsort((branch, table.column("__g").to_numpy()))
+        branch = branch[order]
+        group, node, block, cross, comp = (table.column(c).to_numpy()[order] for c in ("__g", "node", "__b", "__cross", "comp"))
+        sign = _binary(table.column("sign"), TREES * DEPTH)[order]
+        _, first, own = np.unique(comp, return_index=True, return_inverse=True)
         parent, used = first[own], []
-        sizes = np.diff(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])))
-        for k in range(1, int(sizes.max())):
-            at = np.flatnonzero((group[k:] == group[:-k]) & (~cross[k:] | (block[k:] != block[:-k])))
-            if not len(at):
-                continue
-            root = _roots(parent)
-            at = at[root[at] != root[at + k]]
-            close = [a[(sign[a] == sign[a + k]).sum(1) >= least_equal] for a in np.array_split(at, len(at) // 50_000 + 1)]
-            at = np.concatenate(close)
-            used += _unite(parent, at, at + k)
+        for depth in range(DEPTH - 1, last - 1, -1):
+            prefix = branch >> np.uint64(8 * (DEPTH - depth))
+            opens = np.concatenate([[True], (group[1:] != group[:-1]) | (prefix[1:] != prefix[:-1])])
+            run_of = np.cumsum(opens)
+            sizes = np.bincount(run_of)
+            for k in range(1, int(sizes.max())):
+                at = np.flatnonzero((run_of[k:] == run_of[:-k]) & (~cross[k:] | (block[k:] != block[:-k])))
+                if not len(at):
+                    continue
+                root = _roots(parent)
+                at = at[root[at] != root[at + k]]
+                close = [a[(sign[a] == sign[a + k]).sum(1) >= least_equal] for a in np.array_split(at, len(at) // 50_000 + 1)]
+                at = np.concatenate(close)
+                used += _unite(parent, at, at + k)
         if not used:
             return None
         left, right = np.array(used).T
@@ -167,48 +175,44 @@ def _candidates(least_equal: int):
     return run
 
 
-def forest_candidates(nodes: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Components (node, root) of the candidates among nodes (node, sign), and (depth, rows compared) of each step of the walk.
+def forest_candidates(nodes: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, int]:
+    """Components (node, root) of the candidates among nodes (node, sign), and the rows that walk on from whole branches.
 
     A trie holds one branch of DEPTH bytes of each text. The walk starts at whole branches: every text is held against the smallest
-    node of its branch, in one row each, which already connects most of a group of near copies. Then prefixes are shortened byte by byte, until
-    a pair at the threshold has met in some tree with probability ``recall``. At each depth only those subtrees are opened whose texts do not
-    yet form one component, so dense regions are done with at deep prefixes and only texts that are still apart walk on. What a subtree
-    connects does not depend on the order, and the last depth sees every pair that is apart: all components are those of
-    comparing whole subtrees at the last depth.
+    node of its branch, in one row each, which already connects most of a group of near copies. Then prefixes are shortened byte by byte
+    (``_candidates``), until a pair at the threshold has met in some tree with probability ``recall``, in those subtrees only whose texts
+    do not yet form one component; dense regions stop there, only texts that are still apart walk on. The last depth sees every pair that is
+    apart, so all components are those of comparing whole subtrees at the last depth.
     """
     total = TREES * DEPTH
     least_equal = int(total * threshold - 4 * (total * threshold * (1 - threshold)) ** 0.5)
     last = prefix_length(threshold, recall)
     tree = lambda t: F.substring("sign", t * DEPTH + 1, F.lit(DEPTH))
     every = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), tree)).alias("tree", "branch"))
-    prefix = lambda n: F.xxhash64("tree", F.substring("branch", 1, n))
-    tries = every.withColumn("top", prefix(last))
+    tries = every.withColumn("top", F.xxhash64("tree", F.substring("branch", 1, last)))
     shared = tries.groupBy(F.col("top").alias("__top")).agg(F.count("*").alias("size")).where("size > 1").select("__top")
-    met = tries.join(shared, F.col("top") == F.col("__top")).select("node", "tree", "branch")
+    met = tries.join(shared, F.col("top") == F.col("__top")).select("node", "tree", "branch", "top")
     signs = nodes.select(F.col("node").alias("__node"), "sign")
     met = written(met.join(signs, F.col("node") == F.col("__node")).drop("__node"), "near-branches")
 
-    whole = met.withColumn("__g", prefix(DEPTH))
+    whole = met.withColumn("__g", F.xxhash64("tree", "branch"))
     reps = whole.groupBy(F.col("__g").alias("__of")).agg(F.min(F.struct("node", "sign")).alias("rep"), F.count("*").alias("size")).where("size > 1")
     beside = whole.join(reps.select("__of", F.col("rep.node").alias("__rep"), F.col("rep.sign").alias("__sign")), F.col("__g") == F.col("__of"))
     beside = beside.where("node <> __rep").select("node", "__rep", "sign", "__sign")
-    edges = written(arrow_map(beside, _close(least_equal), "a long, b long").distinct(), "near-beside")
-    labels = components(edges, "near-candidates")
-    steps = [(DEPTH, beside.count())]
-    for depth in range(DEPTH - 1, last - 1, -1):
-        own = met.join(labels.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
-        own = own.select("node", "sign", F.coalesce("root", "node").alias("comp"), prefix(depth).alias("__top"))
-        apart = own.groupBy(F.col("__top").alias("__open")).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size"))
-        apart = apart.where("least < most").select("__open", "size")
-        live = written(own.join(apart, F.col("__top") == F.col("__open")).select("__top", "node", "comp", "sign", "size"), "near-open")
-        steps.append((depth, live.count()))
-        if not steps[-1][1]:
-            continue
-        blocked = _blocked(live, ["__top"], F.ceil(F.col("size") / BLOCK_ROWS)).select("__g", "node", "comp", "__b", "__cross", "sign")
-        found = written(arrow_groups(blocked, "__g", _candidates(least_equal), "a long, b long"), "near-found")
-        labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), "near-candidates")
-    return labels, steps
+    labels = components(arrow_map(beside, _close(least_equal), "a long, b long"), "near-beside")
+
+    own = met.join(labels.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
+    own = own.select("node", "sign", F.coalesce("root", "node").alias("comp"), "branch", F.col("top").alias("__top"))
+    apart = own.groupBy(F.col("__top").alias("__open")).agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size"))
+    apart = apart.where("least < most").select("__open", "size")
+    live = written(own.join(apart, F.col("__top") == F.col("__open")).select("__top", "node", "comp", "branch", "sign", "size"), "near-open")
+    count = live.count()
+    if not count:
+        return labels, 0
+    blocked = _blocked(live, ["__top"], F.ceil(F.col("size") / BLOCK_ROWS)).select("__g", "node", "comp", "__b", "__cross", "branch", "sign")
+    found = arrow_groups(blocked, "__g", _candidates(least_equal, last), "a long, b long")
+    edges = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
+    return components(edges, "near-candidates"), count
 
 
 def _verified(threshold: float):

@@ -440,12 +440,10 @@ def test_dense_regions_are_done_with_at_deep_prefixes(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     signed = near.arrow_map(frame.select("doc_id", F.col("doc_id").alias("row"), near._word_hashes().alias("words")), near._sign, "doc_id long, row long, key binary, n long, sign binary")
     nodes = signed.select(F.col("doc_id").alias("node"), "sign")
-    members, steps = near.forest_candidates(nodes, 0.8, 0.9999)
+    members, open_rows = near.forest_candidates(nodes, 0.8, 0.9999)
     roots = {r["node"]: r["root"] for r in members.collect()}
-    assert [depth for depth, _ in steps] == [8, 7, 6, 5]
-    # The first step is one row for each text and tree; nothing of the 600 near copies walks on.
-    assert 600 < steps[0][1] <= 600 * near.TREES + 100
-    assert all(n < 300 for _, n in steps[1:])
+    # Nothing of the 600 near copies, which share subtrees in all trees, walks on.
+    assert open_rows < 300
     assert all(roots[k] == 0 for k in range(600)) and all(roots.get(k + 1) == k for k in range(600, 640, 2))
 
 
