@@ -9,7 +9,7 @@ from lorekeep.operators import messages as ms
 from lorekeep.plans import bindings as b
 from lorekeep.plans.registry import query
 from lorekeep.session import scratch_path
-from lorekeep.sinks import write_samples
+from lorekeep.sinks import write_files, write_samples
 from lorekeep.sources import exports as ex
 from lorekeep.sources.envelope import decode_events
 from lorekeep.sources.files import read_files
@@ -154,9 +154,9 @@ def scan_files_by_mime(spark, sf_dir):
     folder = scratch_path(spark, "files")
     docs = b.table(spark, sf_dir, "documents", "doc_id").select(
         F.element_at(F.array(*map(F.lit, _FILE_KINDS)), (F.col("doc_id") % 6 + 1).cast("int")).alias("kind"),
-        F.when(F.col("doc_id") % 10 == 0, F.concat(F.unhex(F.lit("FF")), F.encode("text", "utf-8")).cast("string")).otherwise(F.col("text")).alias("body"),
+        F.when(F.col("doc_id") % 10 == 0, F.concat(F.unhex(F.lit("FF")), F.encode("text", "utf-8"))).otherwise(F.encode("text", "utf-8")).alias("body"),
     )
-    docs.write.partitionBy("kind").option("maxRecordsPerFile", 1).text(folder)
+    write_files(docs, folder)
     files = read_files(spark, folder, pattern="*.txt", kind=F.regexp_extract("path", "kind=([^/]+)/", 1))
     return files.groupBy("mime_type", "format").agg(
         F.count(F.lit(1)).alias("files"),
