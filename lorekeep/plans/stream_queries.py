@@ -215,9 +215,12 @@ def stream_late_rows(spark, sf_dir):
     last = events.agg(F.date_trunc("day", F.max("ts")).alias("day")).first()["day"]
     early = F.col("ts") < F.lit(last) - F.make_dt_interval(F.lit(5))
     group = F.when(early, 2).when(F.col("ts") < F.lit(last), 1).otherwise(0)
+    counts = events.agg(*[F.count(F.when(group == number, 1)) for number in range(3)]).first()
+    files = max(1, min(spark.sparkContext.defaultParallelism, min(counts) // 100_000))  # of each group, so a batch is a group
     for number in range(3):
-        events.where(group == number).coalesce(1).write.parquet(f"{path}/in/group={number}")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{path}/in")
+        mine = events.where(group == number)
+        (mine.coalesce(1) if files == 1 else mine.repartition(files)).write.parquet(f"{path}/in/group={number}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(f"{path}/in")
     late = ev.LateRows()
     first = ev.first_of_repeats(stream, ["event_id"], "event_id", delay="1 hour")
     ev.run_to_end(first, f"{path}/out", f"{path}/checkpoint", late)

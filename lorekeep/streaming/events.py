@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import json
 import threading
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -41,48 +41,67 @@ def dedup_stream(
 _EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-def first_of_repeats(stream: DataFrame, content: list[str], tie: str, ts: str = "ts", within: int = 3600, delay: str = "1 hour") -> DataFrame:
+_HELD = pa.schema([("key", pa.string()), ("at", pa.int64()), ("tie", pa.string()), ("row", pa.string())])
+_LAST = pa.schema([("key", pa.string()), ("at", pa.int64())])
+
+
+def _packed(frame: pd.DataFrame, schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_table(pa.Table.from_pandas(frame, schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(held: bytes | None, schema: pa.Schema) -> pd.DataFrame:
+    table = pa.ipc.open_stream(bytes(held)).read_all() if held else schema.empty_table()
+    return table.to_pandas()
+
+
+def first_of_repeats(
+    stream: DataFrame, content: list[str], tie: str, ts: str = "ts", within: int = 3600, delay: str = "1 hour", buckets: int = 1024
+) -> DataFrame:
     """The whole first event of each run of events with the same ``content`` columns; a run ends after ``within`` seconds without one.
 
-    Events wait in the state of their content (its hash is the key) until the watermark has passed them, and are then taken in order of
+    Events wait in the state until the watermark has passed them, and are then taken in order of
     time and ``tie`` (unique), so the result is a function of the events and not of batches, as long as none is later than
-    ``delay``; runs go on across any edge of the clock. Event-time timers wake a content when its next event is due, and forget it when the run has
-    ended. Events that the watermark has not passed when the stream ends are given out when it goes on.
+    ``delay``; runs go on across any edge of the clock. A state holds the contents of one of ``buckets`` (fixed for a checkpoint), so that a call
+    of Python meets many contents at once. Event-time timers wake it when its next event is due, and it forgets a content when its run has
+    ended. Events that the watermark has not passed when the stream ends are given out when it goes on; those without a time never are.
     """
     micros = within * 1_000_000
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held = state.get if state.exists else (None, "[]")
-        waiting = json.loads(held)
-        for frame in frames:
-            waiting += [list(w) for w in zip(frame["__at"].tolist(), frame["__tie"].tolist(), frame["__row"].tolist(), strict=True)]
+        held, ends = state.get if state.exists else (None, None)
+        came = [frame[["__key", "__at", "__tie", "__row"]].set_axis(_HELD.names, axis=1) for frame in frames]
+        waiting = pd.concat([_unpacked(held, _HELD), *came], ignore_index=True).astype({"at": "int64"})
+        last = _unpacked(ends, _LAST)
         now = state.getCurrentWatermarkMs()
-        waiting.sort()
-        due = [w for w in waiting if w[0] // 1000 < now]
-        waiting = waiting[len(due) :]
-        out = []
-        for at, _, row in due:
-            if last is None or at - last > micros:
-                out.append(row)
-            last = at
-        ends = waiting[0][0] // 1000 if waiting else (last + micros) // 1000 + 1
-        if waiting or ends >= now:
-            state.update((last, json.dumps(waiting)))
-            state.setTimeoutTimestamp(max(ends, now + 1))
-        else:
+        passed = waiting["at"] // 1000 < now
+        due, waiting = waiting[passed].sort_values(["at", "tie", "row"]), waiting[~passed]
+        line = pd.concat([last, due], ignore_index=True).astype({"at": "int64"}).sort_values("key", kind="stable")  # the last one of each content, then what is due
+        gap = line.groupby("key")["at"].diff()
+        out = line.loc[line["row"].notna() & ~(gap <= micros), "row"] if len(due) else ()
+        last = line[["key", "at"]].drop_duplicates("key", keep="last")
+        last = last[(last["at"] + micros) // 1000 + 1 >= now]
+        if len(waiting) or len(last):
+            state.update((_packed(waiting, _HELD), _packed(last, _LAST)))
+            wakes = [*(waiting["at"] // 1000).nsmallest(1), *((last["at"] + micros) // 1000 + 1).nsmallest(1)]
+            state.setTimeoutTimestamp(max(int(min(wakes)), now + 1))
+        elif state.exists:
             state.remove()
-        if out:
-            yield pd.DataFrame({"__row": out})
+        if len(out):
+            yield pd.DataFrame({"__row": out.to_numpy()})
 
-    keyed = stream.withWatermark(ts, delay).select(
+    keyed = stream.withWatermark(ts, delay).where(F.col(ts).isNotNull()).select(
         ts,
         F.sha2(F.to_json(F.struct(*content), _EXACT), 256).alias("__key"),
         F.unix_micros(ts).alias("__at"),
         F.col(tie).cast("string").alias("__tie"),
         F.to_json(F.struct(*stream.columns), _EXACT).alias("__row"),
     )
-    first = keyed.groupBy("__key").applyInPandasWithState(
-        run, "__row string", "last long, waiting string", "append", GroupStateTimeout.EventTimeTimeout
+    placed = keyed.withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(buckets)))
+    first = placed.groupBy("__bucket").applyInPandasWithState(
+        run, "__row string", "held binary, ends binary", "append", GroupStateTimeout.EventTimeTimeout
     )
     return first.select(F.from_json("__row", stream.schema, _EXACT).alias("row")).select("row.*")
 

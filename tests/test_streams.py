@@ -308,3 +308,24 @@ def test_first_of_repeats_does_not_depend_on_batches(spark):
         rows = {r.id: (r.ts, r.said, r.list) for r in out.collect()}
         assert sorted(rows) == sorted(want) and rows == {r.id: (r.ts, r.said, r.list) for r in df.collect() if r.id in rows}
         assert counted.table(spark).agg(F.sum("dropped")).first()[0] == 0
+
+
+def test_many_contents_share_a_state(spark):
+    """Each content of its own cost a call of Python; 300 contents in four buckets are as many state rows at most."""
+    rows = [(number, number % 300, minute) for number, minute in enumerate([0] * 300 + [40] * 300 + [130] * 300 + [400] * 300)]
+    df = spark.createDataFrame(rows, "id int, said int, minute int").select(
+        "id", "said", F.when(F.col("said") != 7, STAMP + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minute"))).alias("ts")
+    )
+    folder, path = scratch_path(spark, "t-events"), scratch_path(spark, "t-first")
+    df.write.parquet(folder)
+    states = []
+
+    class Watch(ev.LateRows):
+        def onQueryProgress(self, event) -> None:
+            states.extend(o.numRowsTotal for o in event.progress.stateOperators)
+            super().onQueryProgress(event)
+
+    first = ev.first_of_repeats(spark.readStream.schema(df.schema).parquet(folder), ["said"], "id", delay="1 hour", buckets=4)
+    out = ev.run_to_end(first, f"{path}/out", f"{path}/cp", Watch())
+    assert sorted(r.id for r in out.collect()) == sorted(i for i, said, minute in rows if minute in (0, 130) and said != 7)
+    assert 0 < max(states) <= 4
