@@ -29,7 +29,7 @@ class Rule:
 
     @property
     def spark_pattern(self) -> str:
-        return UNICODE + self.pattern
+        return HEADS.get(self.pattern.removeprefix("(?i)"), "") + UNICODE + self.pattern
 
     def possible(self, text: Column) -> Column:
         if isinstance(self.needs, str):
@@ -39,6 +39,15 @@ class Rule:
     def count(self, text: Column) -> Column:
         return F.regexp_count(text, F.lit(self.spark_pattern))
 
+    def if_possible(self, text: Column, value: Column, default: Column) -> Column:
+        """``value`` after ``needs`` where that is a search for literals: a pattern would take as long as the rule itself."""
+        return F.coalesce(value if isinstance(self.needs, str) else F.when(self.possible(text), value), default)
+
+    @property
+    def by_lines(self) -> bool:
+        """Whether it finds in ``told_lines`` what it finds in the text."""
+        return self.pattern.removeprefix("(?i)") in _BY_LINES
+
 
 # Patterns that decide which characters count as personal data or secrets.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
@@ -66,6 +75,44 @@ ID_NUMBER_13 = r"\b[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]{7}\b
 PHONE_INTL = r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}\b"
 TOKEN_ASSIGNMENT = r"""\b(?:token|secret)\s*[:=]\s*["']?[A-Za-z0-9_\-]{20,}["']?"""
 
+# What holds wherever a match begins, told from single characters: most places are left before the word boundary, which is slow as Unicode
+# has it. They follow from the patterns, in any case (long s is an s, the Kelvin sign a k), and change no match.
+_AFTER_NO_WORD = "(?<![A-Za-z0-9_])"
+HEADS = {
+    PHONE_US: "(?=[+(0-9])",
+    PHONE_ZA: "(?=[+20])",
+    PREFIXED_KEY: "(?=[spk])" + _AFTER_NO_WORD,
+    ASSIGNED_KEY: "(?=[aAsS\u017f])" + _AFTER_NO_WORD,
+    AWS_KEY_SHORT: "(?=A)" + _AFTER_NO_WORD,
+    AWS_KEY_LONG: "(?=[aA])" + _AFTER_NO_WORD,
+    CREDIT_CARD: "(?=[345])" + _AFTER_NO_WORD,
+    IP_ADDRESS: "(?=[0-9])" + _AFTER_NO_WORD,
+    BEARER: "(?=B)" + _AFTER_NO_WORD,
+    SLACK_TOKEN: "(?=[xX][oO])" + _AFTER_NO_WORD,
+    OPENAI_KEY: "(?=[sS\u017f][kK\u212a]-)" + _AFTER_NO_WORD,
+    ANTHROPIC_KEY: "(?=[sS\u017f][kK\u212a]-)" + _AFTER_NO_WORD,
+    ID_NUMBER: "(?=19|20)" + _AFTER_NO_WORD,
+    JWT: "(?=[eE][yY][jJ])" + _AFTER_NO_WORD,
+    ID_NUMBER_13: "(?=[0-9])" + _AFTER_NO_WORD,
+    TOKEN_ASSIGNMENT: "(?=[tTsS\u017f])" + _AFTER_NO_WORD,
+}
+
+# Patterns of which each line of a match, and each line between its lines, meets _PART: one with an at sign, a digit, a long word, the words
+# of an assignment, or nothing but white space and the signs between. No match holds a number sign.
+_BY_LINES = {
+    EMAIL, PHONE_US, PHONE_ZA, PREFIXED_KEY, ASSIGNED_KEY, AWS_KEY_SHORT, AWS_KEY_LONG, CREDIT_CARD, SSN, IP_ADDRESS, SLACK_TOKEN,
+    OPENAI_KEY, ANTHROPIC_KEY, ID_NUMBER, JWT, ID_NUMBER_13, PHONE_INTL,
+}
+_PART = (
+    r"[@\p{Nd}]|(?<!\S)\S{19}|(?=[kKtTeE\u212a])(?:[kK\u212a][eE][yY]|[tT][oO][kK\u212a][eE]|[eE][yY][jJ])|\A(?U:[\s:=]*)\z"
+)
+
+
+def told_lines(text: Column) -> Column:
+    """The text with a number sign for each line that can hold no part of a match of a rule ``by_lines``; lines keep their numbers."""
+    return F.array_join(F.transform(F.split(text, "\n", -1), lambda line: F.when(line.rlike(_PART), line).otherwise("#")), "\n")
+
+
 _SEPARATED_DIGITS = "[0-9][-.]?[0-9]{4}"
 
 # The eight redaction types in the order their passes run.

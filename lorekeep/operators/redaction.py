@@ -41,7 +41,7 @@ def redacted_text(text: Column, rules: str | tuple[Rule, ...] = "redactor", type
     )
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -79,7 +79,7 @@ def _counted(text: Column, rules: tuple[Rule, ...]) -> Column:
         after = lambda cut: F.when(F.size(cut) == 1, state).otherwise(
             F.struct(_rejoined(cut, rule["marker"]).alias("text"), (state["hits"] + _hits(cut)).alias("hits"))
         )
-        return _let(pieces(state["text"], rule["pattern"]), after)
+        return let(pieces(state["text"], rule["pattern"]), after)
 
     return F.aggregate(_passes(text, rules), start, step)
 
@@ -147,7 +147,7 @@ def located(cut: Column) -> Column:
         found = F.aggregate(blocks, start, walk, lambda state: F.flatten(state["done"]))
         return F.when(F.size(cut) == 1, none).otherwise(found)
 
-    return _let(cut, walked)
+    return let(cut, walked)
 
 
 def redaction_list(
@@ -174,7 +174,7 @@ def redaction_list(
                 F.concat(state["records"], F.transform(located(cut), as_record)).alias("records"),
             )
         )
-        return _let(pieces(state["text"], rule["pattern"]), after)
+        return let(pieces(state["text"], rule["pattern"]), after)
 
     return F.aggregate(_passes(text, pick_rules(rules, types)), start, step, lambda state: state["records"])
 

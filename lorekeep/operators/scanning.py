@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorekeep.functions.rules import CRITICAL_TYPES, Rule, pick_rules
-from lorekeep.operators.redaction import located, pieces, redact
+from lorekeep.functions.rules import CRITICAL_TYPES, Rule, pick_rules, told_lines
+from lorekeep.operators.redaction import let, located, pieces, redact
 
 # Texts of the scan report.
 APPROVED = "APPROVED for embeddings"
@@ -29,11 +29,17 @@ def _as_hit(rule: Rule):
 
 def text_hits(text: Column, rules: str | tuple[Rule, ...] = "scanner") -> Column:
     """Every match of every rule in one text as an array; rules are independent of each other."""
-    per_rule = []
-    for rule in pick_rules(rules):
-        hits = F.transform(located(pieces(text, F.lit(rule.spark_pattern))), _as_hit(rule))
-        per_rule.append(F.when(rule.possible(text), hits).otherwise(F.array().cast(_HIT)))
-    return F.concat(*per_rule)
+    none = F.array().cast(_HIT)
+
+    def found(whole: Column, told: Column) -> Column:
+        per_rule = []
+        for rule in pick_rules(rules):
+            own = told if rule.by_lines else whole
+            hits = F.transform(located(pieces(own, F.lit(rule.spark_pattern))), _as_hit(rule))
+            per_rule.append(rule.if_possible(own, hits, none))
+        return F.concat(*per_rule)
+
+    return let(text, lambda whole: let(told_lines(whole), lambda told: found(whole, told)))
 
 
 def string_leaves(schema: T.StructType, names: Sequence[str] | None = None) -> Column:
@@ -123,13 +129,13 @@ def scan_pii(
 
 def scan_counts(df: DataFrame, col: str = "text", rules: str | tuple[Rule, ...] = "scanner") -> DataFrame:
     """Add one ``n_<type>`` column per rule: hits in the text, without building the matches."""
-    text = F.col(col)
-    return df.withColumns(
+    text, told = F.col(col), F.col("__told")
+    return df.withColumn("__told", told_lines(text)).withColumns(
         {
-            f"n_{rule.name}": F.when(rule.possible(text), rule.count(text)).otherwise(0)
+            f"n_{rule.name}": rule.if_possible(told if rule.by_lines else text, rule.count(told if rule.by_lines else text), F.lit(0))
             for rule in pick_rules(rules)
         }
-    )
+    ).drop("__told")
 
 
 def matches_by_type(matches: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.functions.rules import EXTENDED, REDACTOR, SCANNER, pick_rules
+from lorekeep.functions.rules import EXTENDED, REDACTOR, SCANNER, pick_rules, told_lines
 from lorekeep.functions.tokens import token_count
 from lorekeep.operators import chunking as ck
 from lorekeep.operators import redaction as rd
@@ -291,3 +291,47 @@ def test_rules_see_unicode_as_python_does(spark):
     for rules in (REDACTOR, SCANNER, EXTENDED):
         got = rd.redact(frame(spark, texts), "text", "clean", rules=rules).orderBy("doc_id").collect()
         assert [r.clean for r in got] == [python_redact(t, rules)[0] for t in texts]
+
+
+def test_heads_change_no_match(spark):
+    """A rule finds with its head what it finds without, on edges of words and letters that fold beyond ASCII; and it counts null as null."""
+    found = {
+        "phone": ["555-010-1234", "(555)0101234", "+1.555.010.1234", "+27 82 123 4567", "0821234567", "0\n82123456 7"],
+        "key": ["sk-" + "a" * 48, "\u017fk-" + "a" * 48, "s\u212a-ant-" + "b" * 95, "pk_" + "c" * 20, "\u017fecret_key = " + "d" * 20, "API KEY: " + "e" * 20, "apikey=" + "e" * 20],
+        "other": ["A3T" + "Z" * 16, "a\u212aia" + "Z" * 16, "AKIA" + "Z" * 16, "4000000000000", "10.0.0.1", "Bearer\nabc=", "xoxb-1234567890-1234567890-" + "f" * 24, "199001011234567", "9001011234567"],
+        "more": ["eyJa.eyJb.c", "EYJa.eyjb.c", "token = " + "g" * 20, "to\u212aen: " + "g" * 20, "000-12-1234", "+1 (555) 010-1234", "a@b.cd"],
+    }
+    edges = ["", " ", "a", "_", "0", "\u00e9", "\u0660", "\u2028", ".", "\U0001f600", "\u0301"]
+    texts = [left + text + right for group in found.values() for text in group for left in edges for right in edges] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    rules = {rule.spark_pattern: rule for rule in (*REDACTOR, *SCANNER, *EXTENDED)}
+    plain = {pattern: "(?U)" + rule.pattern for pattern, rule in rules.items()}
+    values = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    same = [F.sum((~values(a).eqNullSafe(values(b))).cast("int")) for a, b in plain.items()]
+    hits = [F.sum(F.size(values(a))) for a in plain]
+    counted = df.agg(*same).first()
+    assert not any(counted) and all(n > 0 for n in df.where("text IS NOT NULL").agg(*hits).first())
+    assert sum(a != b for a, b in plain.items()) == 18
+
+
+def test_lines_without_a_part_change_no_match(spark):
+    """Matches across lines stay, none arises where a line between was left out, and lines keep their numbers."""
+    rng = random.Random(5)
+    bits = [
+        "0", "27", "+27", "82 123", "4567", "8 2 1 2 3 4 5 6 7", "\u0661", "words only here", "", " \u2003 ", "#", "==", " : ", "api_key", "secret-\u212aey", "access token", "=",
+        "'" + "d" * 20, "e" * 20 + "'", "a@b.cd", "eyJa.eyJb.c", "AKIA" + "Z" * 16, "10.0.0.1", "4000000000000", "sk-" + "a" * 48, "sk-ant-" + "b" * 95, "xoxb-1234567890-1234567890-" + "f" * 24,
+    ]
+    texts = ["".join(rng.choice(bits) + rng.choice(["\n", "\n", " ", "\r\n"]) for _ in range(rng.randint(1, 9))) for _ in range(4000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "id int, text string")
+    rules = {rule.spark_pattern: rule for rule in (*REDACTOR, *SCANNER, *EXTENDED) if rule.by_lines}
+    values = lambda text, rule: F.regexp_extract_all(text, F.lit("(?U)" + rule.pattern), F.lit(0))
+    told = df.withColumn("told", told_lines(F.col("text")))
+    same = [F.sum((~values("text", rule).eqNullSafe(values("told", rule))).cast("int")) for rule in rules.values()]
+    assert len(rules) >= 20 and not any(told.agg(*same).first())
+    assert told.where("told <> text").count() > 500
+    by_line = sc.scan_pii(df, "id").collect()
+    for row in by_line[::50]:
+        assert row.value.split("\n")[0] in texts[row.id].split("\n")[row.line_number - 1]
+    want = {rule.name: sum(n[0] for n in df.select(F.size(values("text", rule))).collect() if n[0] and n[0] > 0) for rule in SCANNER}
+    assert {r.type: r.matches for r in sc.count_by_type(df).collect()} == {name: n for name, n in want.items() if n}
+    assert len(by_line) == sum(want.values()) and sc.scan_counts(df).where("id = -1 AND n_phone = 0").count() == 1
