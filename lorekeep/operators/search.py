@@ -27,6 +27,7 @@ PASS_BYTES = 128 << 20  # of the queries that meet the index in one pass, in blo
 HITS_TO_BROADCAST = 500_000
 SLAB_ROWS = 16_384
 BLOCK_SCORES = 2_000_000
+RUN = 128  # rows of which the highest score stands for all
 SCORE_PLACES = 6
 _HITS = "query_id string, namespace string, id string, score double"
 _ARROW_HITS = pa.schema(
@@ -51,22 +52,60 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms == 0, np.nan, norms)
 
 
-def goodness(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
-    """Scores of all vectors against all queries, higher is better, -inf where undefined."""
+def _raw(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of all vectors against all queries, not rounded, higher is better, nan where undefined; those of a query lie side by side.
+
+    For the cosine both must be of length one.
+    """
     if len(vectors) and len(queries) and vectors.shape[1] != queries.shape[1]:
         raise ValueError(f"queries have {queries.shape[1]} dimensions, vectors {vectors.shape[1]}")
-    if metric == "cosine":
-        scores = _unit(vectors) @ _unit(queries).T
-    elif metric == "dotproduct":
-        scores = vectors @ queries.T
-    else:
-        scores = np.empty((len(vectors), len(queries)))
-        for j, query in enumerate(queries):
-            gap = vectors - query
-            scores[:, j] = -np.sqrt((gap * gap).sum(axis=1))
+    if metric != "euclidean":
+        return (queries @ vectors.T).T
+    scores = np.empty((len(queries), len(vectors)))
+    for j, query in enumerate(queries):
+        gap = vectors - query
+        scores[j] = -np.sqrt((gap * gap).sum(axis=1))
+    return scores.T
+
+
+def _rounded(scores: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(scores), -np.inf, np.round(scores, SCORE_PLACES) + 0.0)
 
 
+def goodness(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of all vectors against all queries, higher is better, -inf where undefined."""
+    if metric == "cosine":
+        vectors, queries = _unit(vectors), _unit(queries)
+    return _rounded(_raw(vectors, queries, metric))
+
+
+def _contenders(scores: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Queries, rows and rounded scores of all that may be among the best ``k`` of a query, and not below its ``floor``; by query.
+
+    Scores have a row for each query. They are read once, for the highest of each run of RUN rows: the k-th highest of these is a bound
+    that k rows reach, and only runs that reach it are looked into.
+    """
+    n = scores.shape[1]
+    starts = np.arange(0, n, RUN)
+    whole = n - n % RUN
+    peaks = scores[:, :whole].reshape(len(scores), -1, RUN).max(axis=2)
+    if whole < n:
+        peaks = np.concatenate([peaks, scores[:, whole:].max(axis=1, keepdims=True)], axis=1)
+    if np.isnan(peaks).any():
+        return _contenders(np.where(np.isnan(scores), -np.inf, scores), floor, k)
+    if n > k:
+        bounds = peaks if len(starts) > k else scores
+        at = bounds.shape[1] - k
+        floor = np.maximum(floor, np.partition(bounds, at, axis=1)[:, at])
+    known = np.isfinite(floor)
+    floor = np.where(known, floor - 10.0**-SCORE_PLACES - 1e-9 * np.abs(np.where(known, floor, 0)), floor)  # what rounding may bring up to it
+    asked, runs = np.nonzero(peaks >= floor[:, None])
+    rows = starts[runs][:, None] + np.arange(min(RUN, n))
+    found = scores[asked[:, None], np.minimum(rows, n - 1)]
+    which, place = np.nonzero((found >= floor[asked][:, None]) & (rows < n))
+    return asked[which], rows[which, place], _rounded(found[which, place])
+
+
 class _Best:
     """Best k (score, id) per query of the rows seen so far in one task: of each namespace, or of all of them together,
     where an id carries its namespace."""
@@ -81,14 +120,14 @@ class _Best:
         """``columns`` names the queries that were scored; by default all."""
         every = self.kept.setdefault(namespace, [[] for _ in range(self.queries)])
         kept = every if columns is None else [every[j] for j in columns]
+        if not len(ids) or not kept:
+            return
         floor = np.array([pairs[-1][0] if len(pairs) == self.k else -np.inf for pairs in kept])
-        if len(ids) > self.k:
-            floor = np.maximum(floor, np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k])
-        asked, rows = np.nonzero((scores >= floor).T)
+        asked, rows, good = _contenders(np.ascontiguousarray(scores.T), floor, self.k)
         bounds = np.searchsorted(asked, np.arange(len(kept) + 1))
-        for j in np.unique(asked):
-            mine = rows[bounds[j] : bounds[j + 1]]
-            pairs = kept[j] + list(zip(scores[mine, j].tolist(), ids[mine].tolist()))
+        for j in np.flatnonzero(np.diff(bounds)).tolist():
+            mine = slice(bounds[j], bounds[j + 1])
+            pairs = kept[j] + list(zip(good[mine].tolist(), ids[rows[mine]].tolist()))
             pairs.sort(key=lambda pair: (-pair[0], pair[1]))
             every[j if columns is None else columns[j]] = pairs[: self.k]
 
@@ -103,20 +142,29 @@ class _Best:
         ]
 
 
-def _score_batch(best: _Best, batch: pa.RecordBatch, queries: np.ndarray, metric: str) -> None:
-    """Score a batch in blocks, so the scores held at once do not grow with the number of queries."""
+def _groups(batch: pa.RecordBatch, metric: str, by_namespace: bool) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """Namespace, ids and vectors, ready to be scored, of a batch: one group, whose ids carry their namespace, or one for each namespace."""
+    namespaces = np.asarray(batch.column("namespace").to_pylist(), dtype=object)
+    ids = np.asarray(batch.column("id").to_pylist(), dtype=object)
+    vectors = _matrix(batch.column("values"))
+    vectors = _unit(vectors) if metric == "cosine" else vectors
+    if not by_namespace:
+        return [("", _named(ids, namespaces), vectors)]
+    return [(name, ids[mine], vectors[mine]) for name in sorted(set(namespaces.tolist())) for mine in [namespaces == name]]
+
+
+def _score_groups(best: _Best, groups: list[tuple[str, np.ndarray, np.ndarray]], queries: np.ndarray, metric: str) -> None:
+    """Score in blocks, so the scores held at once do not grow with the number of queries."""
     step = max(1, BLOCK_SCORES // max(1, len(queries)))
-    for start in range(0, batch.num_rows, step):
-        block = batch.slice(start, step)
-        namespaces = np.asarray(block.column("namespace").to_pylist(), dtype=object)
-        ids = np.asarray(block.column("id").to_pylist(), dtype=object)
-        scores = goodness(_matrix(block.column("values")), queries, metric)
-        if not best.by_namespace:
-            best.add("", _named(ids, namespaces), scores)
-            continue
-        for namespace in sorted(set(namespaces.tolist())):
-            mine = namespaces == namespace
-            best.add(namespace, ids[mine], scores[mine])
+    asked = _unit(queries) if metric == "cosine" else queries
+    for namespace, ids, vectors in groups:
+        for start in range(0, len(ids), step):
+            block = slice(start, start + step)
+            best.add(namespace, ids[block], _raw(vectors[block], asked, metric))
+
+
+def _score_batch(best: _Best, batch: pa.RecordBatch, queries: np.ndarray, metric: str) -> None:
+    _score_groups(best, _groups(batch, metric, best.by_namespace), queries, metric)
 
 
 def _named(ids: np.ndarray, namespaces: np.ndarray) -> np.ndarray:
@@ -178,11 +226,13 @@ def _local_hits(
         bests: dict[int, _Best] = {}
 
         def meet(slab: list[pa.RecordBatch]) -> None:
+            table = pa.Table.from_batches(slab).combine_chunks().to_batches() if slab else []
+            groups = [group for batch in table for group in _groups(batch, metric, by_namespace)]
             for number, block in enumerate(blocks):
                 query_ids, queries = block.value
                 best = bests.setdefault(number, _Best(len(query_ids), k, by_namespace))
-                for batch in slab if query_ids else ():
-                    _score_batch(best, batch, queries, metric)
+                if query_ids:
+                    _score_groups(best, groups, queries, metric)
 
         slab, rows = [], 0
         for batch in batches:
@@ -201,12 +251,15 @@ def _local_hits(
 
 def _many_hits(queries: DataFrame, vectors: DataFrame, k: int, metric: str, by_namespace: bool, bound: int) -> DataFrame:
     """More queries than a task may hold at once: as many as PASS_BYTES hold, in blocks of ``bound``, in each pass over the index, which
-    is never copied or shuffled.
+    is never copied, and shuffled only where it has fewer splits than there are cores.
 
     Neither the driver nor a worker holds more than the queries of one pass. With more than one pass each writes its hits, of bounded number
     for each query, to the shared folder before the next is loaded.
     """
     spark, paths = vectors.sparkSession, []
+    cores = spark.sparkContext.defaultParallelism
+    if vectors.rdd.getNumPartitions() < cores:
+        vectors = vectors.repartition(cores)
     longest = queries.agg(F.max(F.size("values"))).first()[0]
     most = max(bound, PASS_BYTES // (8 * max(1, longest or 1)))
     whole = _resident(queries, most)

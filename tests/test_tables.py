@@ -552,3 +552,18 @@ def test_vectors_are_made_in_bounded_parts():
     made = em.in_parts(tokens, lambda part: met.append(sum(len(row or ()) for row in part.to_pylist())) or pc.list_value_length(part))
     assert made.equals(pc.list_value_length(tokens)) and met == [300_000, 300_001, 700_000, 1]
     assert len(em.in_parts(tokens.slice(0, 0), pc.list_value_length)) == 0
+
+
+@pytest.mark.parametrize("k", [1, 5, 400])
+def test_contenders_hold_the_best_of_every_query(k):
+    rng = np.random.default_rng(3)
+    scores = np.round(rng.standard_normal((7, 1000)), 2)
+    scores[1, 10:400], scores[2, 5], scores[3], scores[4, 990:] = 1.0, np.nan, np.nan, 9.0
+    scores[5, :3] = -np.inf
+    asked, rows, good = sr._contenders(scores, np.full(7, -np.inf), k)
+    clean = np.where(np.isnan(scores), -np.inf, scores)
+    for j in range(7):
+        mine = asked == j
+        met = sorted(zip(-good[mine], rows[mine]))[:k]
+        assert met == sorted(zip(-clean[j], range(1000)))[:k]
+    assert k > 1 or len(rows[asked == 0]) < 100
