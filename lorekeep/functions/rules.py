@@ -113,6 +113,25 @@ def told_lines(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n", -1), lambda line: F.when(line.rlike(_PART), line).otherwise("#")), "\n")
 
 
+# The same for these two as well, but for a bearer and a token on different lines, where that token may be any word.
+_PART_MORE = _PART + r"|Bearer|(?i:(?u:secret))"
+_PARTED = UNICODE + r"Bearer\s*\n"
+
+
+def by_told_lines(rules: tuple[Rule, ...]) -> bool:
+    """Whether every rule finds in the lines of ``lines_told``, and between their replacements, what it finds in a text that is not ``parted``."""
+    return all(rule.by_lines or rule.pattern.removeprefix("(?i)") in (BEARER, TOKEN_ASSIGNMENT) for rule in rules)
+
+
+def lines_told(text: Column) -> Column:
+    """Array of {line, told}: the lines, and whether each can hold a part of a match."""
+    return F.transform(F.split(text, "\n", -1), lambda line: F.struct(line.alias("line"), line.rlike(_PART_MORE).alias("told")))
+
+
+def parted(text: Column) -> Column:
+    return text.contains("Bearer") & text.rlike(_PARTED)
+
+
 _SEPARATED_DIGITS = "[0-9][-.]?[0-9]{4}"
 
 # The eight redaction types in the order their passes run.

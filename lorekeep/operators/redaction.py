@@ -2,7 +2,8 @@
 
 The passes of a rule set are folded over one text inside one expression, and only over the rules whose
 ``needs`` the text meets. A chain of projections would do the same, but each would name its predecessor
-more than once, and a filter pushed through such a chain grows with every rule.
+more than once, and a filter pushed through such a chain grows with every rule. The passes see only the
+lines that can hold a part of a match; the others are put back afterwards.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.functions.rules import Rule, pick_rules
+from lorekeep.functions.rules import Rule, by_told_lines, lines_told, parted, pick_rules
 
 _FENCE = "\uffff"
 _BLOCK = 1000
@@ -34,11 +35,15 @@ def _passes(text: Column, rules: tuple[Rule, ...]) -> Column:
 
 def redacted_text(text: Column, rules: str | tuple[Rule, ...] = "redactor", types: list[str] | None = None) -> Column:
     """The text after all passes; null becomes empty."""
-    return F.aggregate(
-        _passes(text, pick_rules(rules, types)),
-        F.coalesce(text, F.lit("")),
-        lambda stage, rule: F.regexp_replace(stage, rule["pattern"], rule["marker"]),
+    chosen = pick_rules(rules, types)
+    replaced = lambda text: F.aggregate(
+        _passes(text, chosen), text, lambda stage, rule: F.regexp_replace(stage, rule["pattern"], rule["marker"])
     )
+    whole = F.coalesce(text, F.lit(""))
+    if not by_told_lines(chosen):
+        return replaced(whole)
+    back = lambda marked, told: let(replaced(told), lambda done: F.when(done == told, whole).otherwise(_put_back(marked, done)))
+    return F.when(parted(whole), replaced(whole)).otherwise(_of_told_lines(whole, back))
 
 
 def let(value: Column, body) -> Column:
@@ -46,6 +51,20 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _of_told_lines(text: Column, body) -> Column:
+    """``body`` of the marked lines, and of the text with a number sign, which no match holds, for each that no match can touch."""
+    short = lambda marked: F.array_join(F.transform(marked, lambda m: F.when(m["told"], m["line"]).otherwise("#")), "\n")
+    return let(lines_told(text), lambda marked: let(short(marked), lambda told: body(marked, told)))
+
+
+def _put_back(marked: Column, done: Column) -> Column:
+    """The lines left out, in their places again: every line of ``done`` that is a number sign stands for the next of them."""
+    rest = F.transform(F.filter(marked, lambda m: ~m["told"]), lambda m: m["line"])
+    around = F.split(F.concat(F.lit("\n"), done, F.lit("\n")), "\n#(?=\n)", -1)
+    both = F.zip_with(around, rest, lambda gap, line: F.coalesce(F.concat(gap, F.lit("\n"), line), gap))
+    return let(F.array_join(both, ""), lambda joined: F.substring(joined, F.lit(2), F.length(joined) - 2))
+
+
 def pieces(text: Column, pattern: Column) -> Column:
     """The text cut at its matches: gap, match, gap, ..., match, gap. One pass of the pattern.
 
@@ -73,7 +92,8 @@ def _hits(cut: Column) -> Column:
 
 def _counted(text: Column, rules: tuple[Rule, ...]) -> Column:
     """Struct of the redacted text and the number of redactions."""
-    start = F.struct(F.coalesce(text, F.lit("")).alias("text"), F.lit(0).alias("hits"))
+    whole = F.coalesce(text, F.lit(""))
+    none = F.struct(whole.alias("text"), F.lit(0).alias("hits"))
 
     def step(state: Column, rule: Column) -> Column:
         after = lambda cut: F.when(F.size(cut) == 1, state).otherwise(
@@ -81,7 +101,12 @@ def _counted(text: Column, rules: tuple[Rule, ...]) -> Column:
         )
         return let(pieces(state["text"], rule["pattern"]), after)
 
-    return F.aggregate(_passes(text, rules), start, step)
+    replaced = lambda text: F.aggregate(_passes(text, rules), F.struct(text.alias("text"), F.lit(0).alias("hits")), step)
+    if not by_told_lines(rules):
+        return replaced(whole)
+    put_back = lambda marked, done: F.struct(_put_back(marked, done["text"]).alias("text"), done["hits"].alias("hits"))
+    back = lambda marked, told: let(replaced(told), lambda done: F.when(done["hits"] == 0, none).otherwise(put_back(marked, done)))
+    return F.when(parted(whole), replaced(whole)).otherwise(_of_told_lines(whole, back))
 
 
 def redact(

@@ -21,7 +21,8 @@ def decode_events(df: DataFrame, data: str = "data") -> DataFrame:
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"},
     )
     named = lambda key: F.try_element_at(F.col("__event.metadata"), F.lit(key))
-    event = decoded.withColumn("__event", parsed)
+    # a row each: a filter on the reason is not pushed below, where it would decode and parse every event several times more
+    event = decoded.withColumn("__event", F.explode(F.array(parsed)))
     reason = (
         F.when(F.col("__text").isNull(), "bad base64")
         .when(~F.is_valid_utf8("__text"), "bad utf-8")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,13 +91,24 @@ class Store:
         base, later = self.state()
         return batch_id <= base.get("runs", {}).get(run, -1) or any((e["run"], e["batch_id"]) == (run, batch_id) for e in later)
 
-    def append(self, run: str, batch_id: int, parts: Mapping[str, DataFrame]) -> None:
-        """Write the parts of a batch and commit it; a repeated batch overwrites itself and is committed once."""
+    def append(self, run: str, batch_id: int, parts: Mapping[str, DataFrame | Callable[[], DataFrame]]) -> None:
+        """Write the parts of a batch and commit it; a repeated batch overwrites itself and is committed once.
+
+        A function is called for its rows when the parts before it are written.
+        """
         for part, rows in parts.items():
-            rows.write.mode("overwrite").parquet(self.place(part, run, batch_id))
+            (rows() if callable(rows) else rows).write.mode("overwrite").parquet(self.place(part, run, batch_id))
         if not self.committed(run, batch_id):
             self.log.commit("batch", {"run": run, "batch_id": batch_id})
 
+    def written(self, part: str, run: str, batch_id: int) -> DataFrame:
+        """Rows of a part of a batch, committed or not."""
+        return self.spark.read.schema(self.schemas[part]).parquet(self.place(part, run, batch_id))
+
+    def discard(self, part: str, run: str, batch_id: int) -> None:
+        """Delete what a batch wrote for its own use only."""
+        self.log.fs.delete(self.log._path(self.place(part, run, batch_id)), True)
+
     def _read(self, part: str, paths: Sequence[str], root: str, more: str) -> DataFrame:
         schema = f"{self.schemas[part]}, {more}"
         if not paths:

@@ -50,7 +50,11 @@ def chunk_rows(
 
     Redaction comes before chunking, because a secret may straddle the edge of a chunk.
     """
-    clean = redact(events, "content", "__clean", rules=rules).withColumn("content", F.col("__clean"))
+    return clean_chunks(redact(events, "content", "__clean", rules=rules).withColumn("content", F.col("__clean")), size, overlap)
+
+
+def clean_chunks(clean: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """``chunk_rows`` of events whose content is redacted already."""
     kept = clean.withColumn("__id", F.col("source_id"))
     chunks = chunk_documents(kept, extra="metadata", key="__id", size=size, overlap=overlap)
     return chunks.select(
@@ -168,6 +172,7 @@ def write_events(
     With a monthly ``budget`` the running gate takes documents in the order of their events until what the ledger has for the month
     of ``stamp`` and this batch would pass it; the others are not embedded and go to the part ``skipped``. Chunks that the model refuses
     are left out and reported among the dead as ``embedding failed``. Tokens and cost of what was embedded go to the ledger in the same commit.
+    The texts are redacted once, with their counts, and lie under ``clean`` until the commit; every part is made from there.
     """
     table = store(spark, path)
     if table.committed(run, batch_id):
@@ -175,14 +180,23 @@ def write_events(
     keys = ["namespace", "doc_id"]
     named = good.withColumns({"namespace": namespace_of(F.col("source")), "doc_id": F.concat_ws("-", "source", "source_id")})
     month = spark.range(1).select(F.date_format(stamp, "yyyy-MM")).first()[0]
+    counted = redact(named, "content", "__clean", rules=rules, count_as="redactions")
+    if budget is None:
+        counted = counted.withColumn("content", F.col("__clean")).drop("__clean")
+    else:  # what is skipped stays as it came
+        counted = counted.withColumn("__clean", F.when(F.col("redactions") > 0, F.col("__clean")))
+    cleaned = table.place("clean", run, batch_id)
+    counted.write.mode("overwrite").parquet(cleaned)
+    named = spark.read.schema(counted.schema).parquet(cleaned)
     skipped = named.where(F.lit(False)).withColumn("cost_usd", F.lit(0.0))
     if budget is not None:
         left = budget - spent_in(spark, path, month)
-        gate = _gated(chunk_rows(named, rules, size, overlap), named, month, left, price)
+        clean = lambda rows: rows.withColumn("content", F.coalesce("__clean", "content", F.lit(""))).drop("__clean")
+        gate = _gated(clean_chunks(clean(named), size, overlap), named, month, left, price)
         gate = cut_lineage(gate)
         skipped = named.join(gate.where("NOT accepted").select(*keys, "cost_usd"), keys)
-        named = named.join(gate.where("accepted").select(*keys), keys, "left_semi")
-    rows = with_vectors(chunk_rows(named, rules, size, overlap), embed, model, dims).withColumn("indexed_at", stamp)
+        named = clean(named.join(gate.where("accepted").select(*keys), keys, "left_semi"))
+    rows = with_vectors(clean_chunks(named, size, overlap), embed, model, dims).withColumn("indexed_at", stamp)
     place = table.place("made", run, batch_id)
     if embed:  # a model is called once for each text, though two parts are written from what it gives
         rows.write.mode("overwrite").parquet(place)
@@ -190,18 +204,21 @@ def write_events(
         failed = rows.where("values IS NULL").select(F.col("id").alias("raw"), F.lit("embedding failed").alias("reason"))
         dead = dead.select("raw", "reason").unionByName(failed)
     chunks = rows.where("values IS NOT NULL") if embed else rows
-    counted = redact(named, "content", "__clean", rules=rules, count_as="redactions")
-    spent = with_cost(chunks.select("token_count"), price, "token_count")
-    spent = spent.agg(F.sum("token_count").alias("tokens"), F.sum("cost_usd").alias("cost_usd")).where("tokens IS NOT NULL")
+    typed = lambda part, frame: frame.select(*[F.col(f.name).cast(f.dataType) for f in table.batches(part, []).drop("run", "batch_id").schema])
+
+    def spent() -> DataFrame:
+        told = with_cost(table.written("chunks", run, batch_id).select("token_count"), price, "token_count")
+        sums = told.agg(F.sum("token_count").alias("tokens"), F.sum("cost_usd").alias("cost_usd")).where("tokens IS NOT NULL")
+        return typed("ledger", sums.withColumns({"month": F.lit(month), "model": F.lit(model)}))
+
     parts = {
         "chunks": chunks,
-        "docs": counted.select(*keys, "redactions", "seen_at").withColumn("indexed_at", stamp),
+        "docs": named.select(*keys, "redactions", "seen_at").withColumn("indexed_at", stamp),
         "dead": dead,
         "skipped": skipped,
-        "ledger": spent.withColumns({"month": F.lit(month), "model": F.lit(model)}),
     }
-    typed = {part: frame.select(*[F.col(f.name).cast(f.dataType) for f in table.batches(part, []).drop("run", "batch_id").schema]) for part, frame in parts.items()}
-    table.append(run, batch_id, typed)
+    table.append(run, batch_id, {part: typed(part, frame) for part, frame in parts.items()} | {"ledger": spent})
+    table.discard("clean", run, batch_id)
 
 
 def write_batch(

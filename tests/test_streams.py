@@ -329,3 +329,24 @@ def test_many_contents_share_a_state(spark):
     out = ev.run_to_end(first, f"{path}/out", f"{path}/cp", Watch())
     assert sorted(r.id for r in out.collect()) == sorted(i for i, said, minute in rows if minute in (0, 130) and said != 7)
     assert 0 < max(states) <= 4
+
+
+def test_a_batch_is_redacted_once(spark, monkeypatch):
+    path, calls, real = scratch_path(spark, "t-once"), [], ig.redact
+    monkeypatch.setattr(ig, "redact", lambda *a, **b: calls.append(1) or real(*a, **b))
+    events = [envelope(doc="1", content="ssn 000-12-3456"), envelope(doc="2", content="a b"), envelope(doc="3", content=None), "%%%"]
+    batch = spark.createDataFrame([(e,) for e in events], "data string")
+    ig.write_batch(batch, 0, path, STAMP, "r", budget=2 * 0.02 / 1e6)
+    assert len(calls) == 1
+    table = ig.store(spark, path)
+    done = {r.doc_id: r.redactions for r in table.documents().collect()}
+    left = {r.source_id: r.content for r in ig.skipped_events(spark, path).collect()}
+    assert len(done) + len(left) == 3 and left.get("1", "ssn 000-12-3456") == "ssn 000-12-3456" and done.get("1", 1) == 1
+    assert table.every("ledger").agg(F.sum("tokens")).first()[0] == ig.current_index(spark, path).agg(F.sum("token_count")).first()[0]
+    assert not table.log.folders(table.place("clean", "r", 0))
+    assert {r.content for r in ig.current_index(spark, path).collect()} <= {"ssn [SSN_REDACTED]", "a b"}
+
+
+def test_a_filter_on_the_reason_parses_once(spark):
+    good = decode_events(spark.createDataFrame([(envelope(),)], "data string")).where("reason IS NULL")
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1 and good.count() == 1

@@ -335,3 +335,20 @@ def test_lines_without_a_part_change_no_match(spark):
     want = {rule.name: sum(n[0] for n in df.select(F.size(values("text", rule))).collect() if n[0] and n[0] > 0) for rule in SCANNER}
     assert {r.type: r.matches for r in sc.count_by_type(df).collect()} == {name: n for name, n in want.items() if n}
     assert len(by_line) == sum(want.values()) and sc.scan_counts(df).where("id = -1 AND n_phone = 0").count() == 1
+
+
+def test_lines_without_a_match_are_left_out_and_put_back(spark):
+    """Matches over line ends, lines that are a number sign, and a token on the line after its bearer."""
+    rng = random.Random(5)
+    pool = [
+        "#", "", "plain words", "a # b", "Bearer", "abc.def", "Bearer abc", "082 123", "4567", "api_key =", "k" * 20, "secret", "SECRET :", " " + "ab" * 12,
+        "token", '= "' + "ab" * 12, "mail " + SECRETS["email"], SECRETS["aws_key"], "##", " \t", "\r", "ſecret", SECRETS["ip_address"],
+    ]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(400)] + ["#", "\n", "#\n#", "\n#\n", ""]
+    for rules in ("redactor", "scanner", "extended"):
+        rows = rd.redact(rd.redact(frame(spark, texts), rules=rules, count_as="n"), out="plain", rules=rules).collect()
+        for row in rows:
+            text, records = python_redact(row.text, pick_rules(rules))
+            assert (row.redacted, row.n, row.plain) == (text, len(records), text)
+    seen = rd.redact(frame(spark, ["words\n" * 3 + SECRETS["email"]]), rules="extended")._jdf.queryExecution().optimizedPlan().toString()
+    assert r"\n#(?=" in seen or "\n#(?=" in seen
