@@ -398,9 +398,42 @@ def _candidates(model: Tagger, held: list[tuple[int, int, np.ndarray]], lengths:
         out[number].append(Found(KINDS[(label - 1) // 2], start + a, start + b, gain, cut))
 
 
+def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    while a < b and text[a] in " .,;:-/'\"":
+        a += 1
+    while b > a and text[b - 1] in " .,;:-/'\"(":
+        b -= 1
+    return a, b
+
+
+def covered(base: list[Span]) -> list[list[int]]:
+    """Starts and ends of the runs that base spans cover."""
+    starts, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return [starts, ends]
+
+
+def outside(a: int, b: int, runs: list[list[int]]) -> Iterator[tuple[int, int]]:
+    """What the covered runs leave of a span."""
+    starts, ends = runs
+    k = bisect_right(ends, a)
+    while k < len(starts) and starts[k] < b:
+        if a < starts[k]:
+            yield a, starts[k]
+        a = ends[k]
+        k += 1
+    if a < b:
+        yield a, b
+
+
 def reconciled(text: str, found: list[Found], base: list[Span]) -> list[tuple[str, int, int, float]]:
     """The added spans of a text: those of all windows, pieces of one span put together, checked, and of the overlapping ones those
-    with the greatest sum of gains; none overlaps a base span."""
+    with the greatest sum of gains; none overlaps a base span, what runs into one is cut there."""
     whole: dict[Span, float] = {}
     joined: list[list] = []
     for own in sorted(found, key=lambda f: (f.kind, f.start, f.end)):
@@ -414,15 +447,14 @@ def reconciled(text: str, found: list[Found], base: list[Span]) -> list[tuple[st
     for kind, a, b, score, cut in joined:
         if cut:
             whole.setdefault((kind, a, b), score)
-    fits = []
+    fits, runs = [], covered(base)
     for (kind, a, b), score in whole.items():
-        while a < b and text[a] in " .,;:-/'\"":
-            a += 1
-        while b > a and text[b - 1] in " .,;:-/'\"(":
-            b -= 1
-        if score > 0 and holds(kind, text[a:b]) and not (a and text[a - 1].isalnum()) and not (b < len(text) and text[b].isalnum()):
-            if not any(x < b and a < y for _, x, y in base):
-                fits.append((kind, a, b, score))
+        a, b = trimmed(text, a, b)
+        for x, y in outside(a, b, runs) if score > 0 else ():
+            share = (y - x) / (b - a)
+            x, y = trimmed(text, x, y)
+            if holds(kind, text[x:y]) and not (x and text[x - 1].isalnum()) and not (y < len(text) and text[y].isalnum()):
+                fits.append((kind, x, y, score * share))
     fits.sort(key=lambda f: (f[2], f[1]))
     ends, best = [f[2] for f in fits], [(0.0, ())]
     for k, own in enumerate(fits):

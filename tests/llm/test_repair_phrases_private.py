@@ -331,6 +331,16 @@ def test_a_phone_that_a_number_hides(tagger):
     assert ("phone", 5, 22, False) in [s[:4] for s in private.spans_of([text], tagger[0])[0]]
 
 
+def test_a_span_that_runs_into_a_base_span_is_cut_there():
+    text = "call +1 (017) 555-7713 10.20.30.40 or not"
+    base = private.base_spans(text)
+    assert base == [("ip", 23, 34)]
+    got = private.reconciled(text, [private.Found("phone", 5, 34, 29.0, False)], base)
+    assert got == [("phone", 5, 22, pytest.approx(18.0))]
+    assert private.reconciled(text, [private.Found("phone", 8, 30, 29.0, False)], [("ip", 10, 20), ("ip", 15, 34)]) == []
+    assert private.reconciled(text, [private.Found("ip", 23, 34, 9.0, False)], base) == []
+
+
 def test_spans_are_found_wherever_windows_begin(tagger):
     model, words = tagger
     text = "call (017) 555-7713 or mail a.b@c.de from 10[.]0[.]0[.]7"
