@@ -206,6 +206,15 @@ def test_hash_embedding_is_a_unit_vector(spark):
     assert [(r["values"] is None, r.token_count) for r in endpoint] == [(False, 3), (False, 3), (True, 0), (True, 0), (False, 2)]
 
 
+def test_endpoint_tells_what_the_call_has_cost(spark):
+    df = spark.createDataFrame([(i, "word " * 125_000) for i in range(4)] + [(4, None), (5, "")], "i int, content string")
+    for budget, share in ((0.04, 25.0), (0.0, 0.0)):
+        rows = em.embed_endpoint(df.repartition(3), budget=budget).collect()
+        told = {(r.model, r.total_tokens, r.total_cost_usd, r.monthly_budget_usd, r.budget_used_percent) for r in rows}
+        assert len(rows) == 6 and told == {("text-embedding-3-small", 500_000, 0.01, budget, share)}
+    assert em.embed_endpoint(df.where("false")).count() == 0
+
+
 def test_model_failure_costs_only_its_batch(spark):
     def load():
         def model(texts):
