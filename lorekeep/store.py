@@ -19,6 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 64  # of a new table; kept in its base entries
+SPREAD = 4  # parts that the rows of a bucket are dealt out to when it is written
+ROW_GROUP = 16 << 20  # bytes that a writer gathers, and a reader of one column takes at once at most; texts and vectors are wide
+
+
+def write_rows(rows: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """Over what lies there, in row groups that a task can hold several of."""
+    rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy(*by).parquet(path)
 
 
 class Log:
@@ -97,7 +104,7 @@ class Store:
         A function is called for its rows when the parts before it are written.
         """
         for part, rows in parts.items():
-            (rows() if callable(rows) else rows).write.mode("overwrite").parquet(self.place(part, run, batch_id))
+            write_rows(rows() if callable(rows) else rows, self.place(part, run, batch_id))
         if not self.committed(run, batch_id):
             self.log.commit("batch", {"run": run, "batch_id": batch_id})
 
@@ -151,7 +158,7 @@ class Store:
 
     def _current(self, base: dict, later: Sequence[dict], buckets: Sequence[int] | None = None) -> DataFrame:
         """Chunks of the newest version of every document: those of the base but for beaten documents, which are few and can be broadcast,
-        and those of later batches whose version stands."""
+        and those of later batches but for versions that do not stand, which are fewer than those that do: no chunk need be shuffled."""
         names = self.batches("chunks", []).drop("run", "batch_id").columns
         stand = self.base("chunks", base, buckets)
         if not later:
@@ -162,7 +169,9 @@ class Store:
         same = F.col("namespace").eqNullSafe(F.col("__namespace")) & F.col("doc_id").eqNullSafe(F.col("__doc_id"))
         kept = stand.join(renamed, same, "left_anti")
         version = (F.col("run") == F.col("__run")) & (F.col("batch_id") == F.col("__batch_id"))
-        fresh = self.batches("chunks", later).join(renamed, same & version, "left_semi")
+        lost = self.batches("docs", later).select(*keys).join(renamed, same & version, "left_anti")
+        lost = lost.select(*[F.col(c).alias(f"__{c}") for c in keys])
+        fresh = self.batches("chunks", later).join(lost, same & version, "left_anti")
         return kept.select(*names).unionByName(fresh.select(*names))
 
     def current(self) -> DataFrame:
@@ -193,8 +202,8 @@ class Store:
         entry = {"covers": version, "buckets": base["buckets"], "runs": dict(base.get("runs", {}))}
         for part, frame in (("docs", docs), ("chunks", rows)):
             out = f"{self.path}/base/{part}/v={attempt}"
-            placed = frame.withColumn("bucket", self.bucket(base["buckets"])).repartition("bucket")
-            placed.write.mode("overwrite").partitionBy("bucket").parquet(out)
+            placed = frame.withColumn("bucket", self.bucket(base["buckets"]))
+            write_rows(placed.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))), out, ["bucket"])
             written = {name.split("=")[1] for name in self.log.folders(out)}
             entry[part] = {b: v for b, v in base[part].items() if int(b) not in touched} | {b: attempt for b in sorted(written, key=int)}
         for e in later:

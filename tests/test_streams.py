@@ -3,8 +3,10 @@
 import base64
 import json
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from lorekeep import store
 from lorekeep.operators.governance import failure_rate
 from lorekeep.session import scratch_path
 from lorekeep.sources.envelope import decode_events
@@ -350,3 +352,49 @@ def test_a_batch_is_redacted_once(spark, monkeypatch):
 def test_a_filter_on_the_reason_parses_once(spark):
     good = decode_events(spark.createDataFrame([(envelope(),)], "data string")).where("reason IS NULL")
     assert good._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1 and good.count() == 1
+
+
+def test_a_batch_is_not_held_in_memory_and_its_row_groups_are_small(spark, monkeypatch):
+    path, plans, sizes = scratch_path(spark, "t-ingest"), [], []
+    whole, parts = ig.write_events, ig.clean_chunks
+
+    def met(session, place, good, dead, *rest, **options):
+        plans.extend(frame._jdf.queryExecution().withCachedData().toString() for frame in (good, dead))
+        assert sorted(r.reason for r in dead.collect()) == ["bad base64", "missing id"]
+        whole(session, place, good, dead, *rest, **options)
+
+    def seen(clean, *rest):
+        files = [name.removeprefix("file://") for name in clean.inputFiles()]
+        sizes.extend(footer.row_group(i).num_rows for footer in map(pq.read_metadata, files) for i in range(footer.num_row_groups))
+        return parts(clean, *rest)
+
+    monkeypatch.setattr(ig, "write_events", met)
+    monkeypatch.setattr(ig, "clean_chunks", seen)
+    monkeypatch.setattr(store, "ROW_GROUP", 1 << 18)
+    events = [envelope(doc=str(i), content=" ".join(f"w{i * 400 + j}" for j in range(400)), timestamp="2024-01-02") for i in range(1200)]
+    batch = batch_of(spark, *events, "%%%", envelope(doc=None)).coalesce(1)
+    ig.write_batch(batch, 0, path, STAMP, "r")
+    assert "InMemoryRelation" not in "".join(plans) and len(plans) == 2
+    assert sum(sizes) == 1200 and max(sizes) < 1200
+    assert ig.current_index(spark, path).count() == 1200
+    assert ig.store(spark, path).log.folders(f"{path}/decoded/run=r") == []
+
+
+def test_chunks_are_compacted_without_a_join_that_shuffles_them(spark):
+    """Only versions that do not stand are looked for, by their keys, and a bucket is written by several tasks."""
+    path = scratch_path(spark, "t-ingest")
+    for batch, day in ((0, "2024-01-02"), (1, "2024-01-01"), (2, "2024-01-03")):
+        events = [envelope(doc=str(i), content=f"day {day} {i}", timestamp=day) for i in range(40 if batch < 2 else 5)]
+        ig.write_batch(batch_of(spark, *events), batch, path, STAMP, "r")
+    want = sorted([f"day 2024-01-03 {i}" for i in range(5)] + [f"day 2024-01-02 {i}" for i in range(5, 40)])
+    table = ig.store(spark, path)
+    rows = table.current()
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and sorted(r.content for r in rows.collect()) == want
+    table.buckets = 1
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesced, "false")
+    table.compact()
+    spark.conf.unset(coalesced)
+    base, _ = table.state()
+    assert len(table.base("chunks", base).inputFiles()) > 1 and sorted(r.content for r in table.current().collect()) == want
