@@ -18,6 +18,7 @@ from lorekeep.plans import bindings as b
 from lorekeep.plans.registry import ORACLES, QUERIES, query
 from lorekeep.session import scratch_path
 from lorekeep.sources.envelope import decode_events
+from lorekeep.store import write_rows
 from lorekeep.streaming import events as ev
 from lorekeep.streaming import ingest as ig
 
@@ -30,7 +31,7 @@ def _event_stream(spark, sf_dir):
 def _envelope_stream(spark, sf_dir):
     """The corpus as a stream of envelopes, written once as the topic and read as a stream."""
     topic = scratch_path(spark, "topic")
-    b.envelopes(spark, sf_dir).write.parquet(topic)
+    write_rows(b.envelopes(spark, sf_dir), topic)
     return spark.readStream.schema("data string").parquet(topic)
 
 

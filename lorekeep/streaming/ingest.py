@@ -23,7 +23,7 @@ from lorekeep.operators.redaction import redact
 from lorekeep.session import cut_lineage
 from lorekeep.sinks import write_index
 from lorekeep.sources.envelope import dead_events, decode_events, good_events
-from lorekeep.store import Store
+from lorekeep.store import Store, write_rows
 
 CHUNKS = """namespace string, id string, doc_id string, chunk_index int, token_count int, author string, timestamp string,
 url string, extra map<string,string>, content string, preview string, values array<double>, model string, dimension int,
@@ -186,7 +186,7 @@ def write_events(
     else:  # what is skipped stays as it came
         counted = counted.withColumn("__clean", F.when(F.col("redactions") > 0, F.col("__clean")))
     cleaned = table.place("clean", run, batch_id)
-    counted.write.mode("overwrite").parquet(cleaned)
+    write_rows(counted, cleaned)
     named = spark.read.schema(counted.schema).parquet(cleaned)
     skipped = named.where(F.lit(False)).withColumn("cost_usd", F.lit(0.0))
     if budget is not None:
@@ -195,11 +195,11 @@ def write_events(
         gate = _gated(clean_chunks(clean(named), size, overlap), named, month, left, price)
         gate = cut_lineage(gate)
         skipped = named.join(gate.where("NOT accepted").select(*keys, "cost_usd"), keys)
-        named = clean(named.join(gate.where("accepted").select(*keys), keys, "left_semi"))
+        named = clean(named).join(gate.where("accepted").select(*keys), keys, "left_semi")
     rows = with_vectors(clean_chunks(named, size, overlap), embed, model, dims).withColumn("indexed_at", stamp)
     place = table.place("made", run, batch_id)
     if embed:  # a model is called once for each text, though two parts are written from what it gives
-        rows.write.mode("overwrite").parquet(place)
+        write_rows(rows, place)
         rows = spark.read.schema(rows.schema).parquet(place)
         failed = rows.where("values IS NULL").select(F.col("id").alias("raw"), F.lit("embedding failed").alias("reason"))
         dead = dead.select("raw", "reason").unionByName(failed)
@@ -224,13 +224,23 @@ def write_events(
 def write_batch(
     batch: DataFrame, batch_id: int, path: str, indexed_at: Column | None = None, run: str | None = None, **options
 ) -> None:
-    """One micro-batch, decoded once, through ``write_events``."""
-    decoded = decode_events(batch).persist()
-    good, dead = split_dead(decoded)
+    """One micro-batch, decoded once, through ``write_events``.
+
+    What is decoded lies under ``decoded`` until the commit, with the raw event where it is dead. It is not persisted: Spark's serializer
+    keeps a hundred cached batches, some 400 MB, in the memory of each task that writes them to disk or reads them again.
+    """
+    spark, run = batch.sparkSession, run or stream_id(batch)
+    table = store(spark, path)
+    if table.committed(run, batch_id):
+        return
+    told = decode_events(batch)
+    told = told.withColumn("raw", F.when(F.col("reason").isNotNull(), F.col("raw")))
+    place = table.place("decoded", run, batch_id)
+    write_rows(told, place)
+    good, dead = split_dead(spark.read.schema(told.schema).parquet(place))
     stamp = F.current_timestamp() if indexed_at is None else indexed_at
-    events = newest_events(good, stamp)
-    write_events(batch.sparkSession, path, events, dead, run or stream_id(batch), batch_id, stamp, **options)
-    decoded.unpersist()
+    write_events(spark, path, newest_events(good, stamp), dead, run, batch_id, stamp, **options)
+    table.discard("decoded", run, batch_id)
 
 
 def take_up(spark: SparkSession, path: str, indexed_at: Column | None = None, **options) -> int:
