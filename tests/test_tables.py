@@ -25,6 +25,7 @@ from lorekeep.session import scratch_path, scratch_scope, shared_folder
 from lorekeep import sinks
 from lorekeep.sinks import overwrite_namespaces, write_index
 from lorekeep.sources import exports as ex
+from lorekeep.sources import files
 from lorekeep.sources.files import read_files
 
 NOW = F.lit("2024-01-10 00:00:00").cast("timestamp")
@@ -403,6 +404,27 @@ def test_files_by_mime(spark, tmp_path):
     assert (rows["c.gsheet"].content, rows["c.gsheet"].format) == ("x,y", "text/csv")
 
 
+def test_files_are_listed_by_the_tasks(spark, tmp_path, monkeypatch):
+    """The driver sees folders, never files, and what is found is what Spark's own reader finds."""
+    for name in ("a.txt", "b.pdf", "_c.txt", ".d.txt", "x/e é %20.txt", "x/y/f.txt", "_z/g.txt", "k=1/_h=1.txt", "k=1/i.TXT", "x/empty.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else f"{name}\n".encode() + b"\xff")
+    (tmp_path / "nothing").mkdir()
+    rows = lambda df: sorted(map(tuple, df.selectExpr("path", "modificationTime", "length", "hex(content)").collect()))
+    for pattern in (None, "*.txt", "[a-f]*.{txt,pdf}"):
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        want = rows((reader.option("pathGlobFilter", pattern) if pattern else reader).load(str(tmp_path)))
+        for most in (10_000, 1, 0):
+            monkeypatch.setattr(files, "FOLDERS", most)
+            for place in (str(tmp_path), f"file://{tmp_path}"):
+                assert rows(files._binary_files(spark, place, pattern)) == want and len(want) >= 4
+        monkeypatch.setattr(files, "FOLDERS", 10_000)
+    assert read_files(spark, str(tmp_path)).inputFiles() == []
+    single = read_files(spark, str(tmp_path / "a.txt")).first()
+    assert (single.size, single.content) == (7, "a.txt\n")
+    assert read_files(spark, str(tmp_path / "nothing")).count() == 0
+
+
 def test_identity(spark):
     row = spark.range(1).select(
         idn.namespace_of(F.lit("slack")).alias("a"),
