@@ -226,8 +226,8 @@ def write_batch(
 ) -> None:
     """One micro-batch, decoded once, through ``write_events``.
 
-    What is decoded lies under ``decoded`` until the commit, with the raw event where it is dead. It is not persisted: Spark's serializer
-    keeps a hundred cached batches, some 400 MB, in the memory of each task that writes them to disk or reads them again.
+    What is decoded lies under ``decoded`` until the commit, with the raw event where it is dead. It is not persisted: tasks that cached it ran
+    out of heap, in memory or on disk alike.
     """
     spark, run = batch.sparkSession, run or stream_id(batch)
     table = store(spark, path)
